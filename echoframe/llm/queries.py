@@ -61,6 +61,13 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op8_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .katz import scored
+    from .language_id import held_out
+
+    return scored(table(spark, sf_dir, "documents").select("doc_id", "text", held_out(F.col("doc_id"), 5, 1).alias("held_out")))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secret_scan import spans
 
@@ -82,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_language_id": op5_language_id,
     "op6_decontaminate": op6_decontaminate,
     "op7_bpe": op7_bpe,
+    "op8_katz": op8_katz,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
 }
