@@ -7,9 +7,10 @@ block can be read alone, and a checkpoint lets a reader begin inside a document.
 then id, so the lengths say everything. Decoding looks up the next ``limit`` bits in one table, for all checkpoints of a
 batch side by side.
 
-Encoding with a vocabulary is done per unit: texts are cut before single spaces between characters that aren't white
-space, where byte-level splitting begins a new piece in any case; each distinct unit of a batch is encoded once by the
-tokenizers library, and the units' ids are put together by position.
+Encoding with a vocabulary is done per unit: texts are cut before single spaces, and around other single white-space
+bytes, between characters that aren't white space, where byte-level splitting ends and begins a piece in any case. Units
+are told apart by 64-bit hashes; a unit that a worker hasn't met is encoded by the tokenizers library, many at once with
+line feeds between them, and the units' ids are put together by position.
 
 Defined cases: a null or empty text has only the end id; repeated doc_ids stand side by side, ordered by their ids; a null
 doc_id comes first; an empty table gives an empty result.
@@ -33,11 +34,11 @@ from .scratch import new_path, written
 LIMIT = 16
 STRIDE = 128
 BLOCK_TOKENS = 1 << 18
-CACHE = 400_000
+CACHE = 1_500_000
 END = 2
 
 _tokenizers: dict[str, object] = {}
-_units: dict[str, dict[bytes, np.ndarray]] = {}
+_units: dict[str, "Units"] = {}
 
 
 def tokenizer(path: str):
@@ -48,26 +49,44 @@ def tokenizer(path: str):
 
         _tokenizers[path] = t = Tokenizer.from_file(path)
         t.encode_special_tokens = True  # their strings in a text are ordinary text
-        _units[path] = {}
+        _units[path] = Units()
     return _tokenizers[path]
 
 
+class Units:
+    """Ids of units by hash, as sorted arrays."""
+
+    def __init__(self):
+        self.hash, self.start, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def missing(self, h: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hash, h)
+        return (at == len(self.hash)) | (self.hash[np.minimum(at, len(self.hash) - 1)] != h) if len(self.hash) else np.ones(len(h), bool)
+
+    def add(self, h: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
+        """Ascending hashes that are missing, with their ids one after the other."""
+        at = np.searchsorted(self.hash, h)
+        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(size) - size)
+        self.size, self.hash = np.insert(self.size, at, size), np.insert(self.hash, at, h)
+        self.flat = np.concatenate([self.flat, flat])
+
+
 def unit_cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Positions where units begin: the rows' bounds, and single spaces between characters that aren't white space."""
+    """Positions where units begin: the rows' bounds, and around single white space between other characters."""
     n = len(raw)
     row = np.zeros(n + 1, bool)
     row[at] = True
     if n > 2:
-        space = raw == 32
         # bytes that may end or begin a white-space character beyond ASCII count as white space: too few cuts are harmless
         blank = SEPARATOR[raw] | ((raw >= 28) & (raw <= 31)) | (raw == 0x85) | (raw == 0xA0)
         tail = np.zeros(n, bool)
         tail[2:] = (raw[:-2] >= 0xE1) & (raw[:-2] <= 0xE3)  # the last byte of U+1000-U+3FFF
         lead = (raw >= 0xE1) & (raw <= 0xE3) | (raw == 0xC2)
-        cut = np.zeros(n + 1, bool)
-        cut[1 : n - 1] = space[1:-1] & ~(blank | tail)[:-2] & ~(blank | lead)[2:]
-        cut[1 : n - 1] &= ~row[1 : n - 1] & ~row[2:n]
-        row |= cut
+        alone = np.zeros(n + 1, bool)
+        alone[1 : n - 1] = SEPARATOR[raw[1:-1]] & ~(blank | tail)[:-2] & ~(blank | lead)[2:]
+        alone[1 : n - 1] &= ~row[1 : n - 1] & ~row[2:n]
+        row |= alone
+        row[1:] |= alone[:-1] & (raw != 32)  # white space but a space is a piece of its own
     row[n] = False
     return np.flatnonzero(row)
 
@@ -79,31 +98,61 @@ def take_ragged(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
     return flat[index]
 
 
+def encode_units(t, raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of ids of each unit, and all ids in the units' order."""
+    feed = t.encode("\n", add_special_tokens=False).ids
+    feeds = np.append(0, np.cumsum(SEPARATOR[raw] & (raw != 32)))
+    odd = SEPARATOR[raw] | ((raw >= 28) & (raw <= 31)) | (raw == 0x85) | (raw == 0xA0) | (raw == 0xC2) | ((raw >= 0xE1) & (raw <= 0xE3))
+    spaces = np.append(0, np.cumsum(odd))  # and bytes that may belong to other white space
+    # between line feeds a unit is read as if alone, if it has no white space but a space at its beginning
+    plain = (feeds[e] == feeds[s]) & (spaces[e] - spaces[s] == (raw[s] == 32)) & (e - s > 1) if len(feed) == 1 else np.zeros(len(s), bool)
+    size, parts = np.zeros(len(s), np.int64), {}
+    own = np.flatnonzero(~plain)
+    for i, x in zip(own.tolist(), t.encode_batch_fast([raw[a:b].tobytes().decode() for a, b in zip(s[own].tolist(), e[own].tolist())], add_special_tokens=False)):
+        parts[i] = x.ids
+        size[i] = len(x.ids)
+    many = np.flatnonzero(plain)
+    got = []
+    if len(many):
+        length = e[many] - s[many] + 1
+        text = np.full(int(length.sum()), 10, np.uint8)
+        inside = np.ones(len(text), bool)
+        inside[np.cumsum(length) - 1] = False
+        text[inside] = take_ragged(raw, s[many], length - 1)
+        ends = np.cumsum(length)
+        cuts = np.append(0, ends[np.append(np.flatnonzero(np.diff(ends // 65536)), len(ends) - 1)])
+        pieces = [text[a:b].tobytes().decode() for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        got = np.concatenate([np.array(x.ids, np.uint32) for x in t.encode_batch_fast(pieces, add_special_tokens=False)])
+        stop = np.flatnonzero(got == feed[0])
+        size[many] = np.diff(np.append(-1, stop)) - 1
+        got = got[got != feed[0]]
+    out = np.empty(int(size.sum()), np.uint32)
+    mine = np.repeat(plain, size)
+    out[mine] = got
+    if parts:
+        out[~mine] = np.concatenate([np.array(parts[i], np.uint32) for i in own.tolist()])
+    return size, out
+
+
 def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, one after the other, and each text's number of ids."""
     t = tokenizer(path)
-    cache = _units[path]
     raw, at = text_bytes(column)
     s = unit_cuts(raw, at)
     if not len(s):
         return np.empty(0, np.uint32), np.zeros(len(column), np.int64)
     e = np.append(s[1:], len(raw))
-    h = span_hashes(raw, s, e)
-    _, first, back = np.unique(h, return_index=True, return_inverse=True)
-    data = raw.tobytes()
-    units = [data[a:b] for a, b in zip(s[first].tolist(), e[first].tolist())]
-    new = [u for u in units if u not in cache]
-    got = {u: np.array(x.ids, np.uint32) for u, x in zip(new, t.encode_batch_fast([u.decode() for u in new], add_special_tokens=False))}
-    ids = [cache[u] if u in cache else got[u] for u in units]
-    if len(cache) + len(got) > CACHE:
-        cache.clear()
-    cache.update(got)
-    n = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.concatenate(ids)
-    begin = np.cumsum(n) - n
-    out = take_ragged(flat, begin[back], n[back])
+    h, first, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
+    if len(_units[path].hash) > CACHE:
+        _units[path] = Units()
+    known = _units[path]
+    new = known.missing(h)
+    if new.any():
+        known.add(h[new], *encode_units(t, raw, s[first[new]], e[first[new]]))
+    place = np.searchsorted(known.hash, h)
+    begin, n = known.start[place][back], known.size[place][back]
     of = np.searchsorted(at, s, "right") - 1
-    return out, np.bincount(of, n[back], len(column)).astype(np.int64)
+    return take_ragged(known.flat, begin, n), np.bincount(of, n, len(column)).astype(np.int64)
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
