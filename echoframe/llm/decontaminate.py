@@ -60,7 +60,7 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Index:
-    """The items' pieces and keys; built once per task from their word hashes."""
+    """The items' pieces and keys, built on the driver from their word hashes and sent with the tasks."""
 
     def __init__(self, items: list[tuple[int, list[int]]], p: Search):
         self.p = p
@@ -96,22 +96,24 @@ class Index:
         self.vocabulary = [np.unique(w) for w in self.words]
 
     def embed(self, x: np.ndarray, repeats: int | None = None) -> np.ndarray:
-        """Keys (repeat, window) of windows (window, word)."""
+        """Keys (repeat, window) of windows (window, word); all repeats walk side by side."""
         count, n = x.shape
+        repeats = self.repeats if repeats is None else repeats
         x = np.concatenate([x, np.zeros((count, 1), U64)], axis=1)  # past the end: a blank
+        at = self.at[n][:repeats]
+        sampled: dict[int, list[int]] = {}
+        for r, row in enumerate(at.tolist()):
+            for j in row:
+                sampled.setdefault(j, []).append(r)
+        pointer = np.zeros((repeats, count), np.int64)
+        key = np.zeros((repeats, count), U64)
         rows = np.arange(count)
-        out = []
-        for r in range(self.repeats if repeats is None else repeats):
-            at = self.at[n][r]
-            pointer = np.zeros(count, np.int64)
-            key = np.zeros(count, U64)
-            for j in range(int(at[-1]) + 1):
-                w = x[rows, pointer]
-                for _ in range(int((at == j).sum())):
-                    key = mix(key + w + U64(j))
-                pointer = np.minimum(pointer + ((w * self.odd[r, j]) >> U64(63)).astype(np.int64), n)
-            out.append(key)
-        return np.array(out)
+        for j in range(int(at.max()) + 1):
+            w = x[rows, pointer]
+            for r in sampled.get(j, ()):
+                key[r] = mix(key[r] + w[r] + U64(j))
+            pointer = np.minimum(pointer + ((w * self.odd[:repeats, j, None]) >> U64(63)).astype(np.int64), n)
+        return key
 
     def fitted(self, rng: np.random.Generator) -> int:
         """Repeats after which ``recall`` of simulated passages with the most edits allowed have met their item. The
@@ -214,10 +216,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Search = Search(), text: s
     schema = "doc_id long, item_id long, distance long, end_word long"
     out = None
     for block in blocks(benchmark, p, item, text):
+        if not block:
+            continue
 
-        def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            index = Index(block, p) if block else None
-            for b in batches if index else ():
+        def run(batches: Iterator[pa.RecordBatch], index=Index(block, p)) -> Iterator[pa.RecordBatch]:
+            for b in batches:
                 for s in slices(b, "text"):
                     keys = s.column("doc_id").to_pylist()
                     got = [(keys[r], index.ids[j], d, e) for (r, j), (d, e) in sorted(index.search(*words(s.column("text"))).items())]
@@ -228,27 +231,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Search = Search(), text: s
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-_built: dict[int, Index] = {}
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search(), text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents without any item, with their columns as they came. No join: each text is searched where it is read."""
     for block in blocks(benchmark, p, item, text):
-        token = hash(tuple(i for i, _ in block)) ^ id(block)
+        if not block:
+            continue
+        index = Index(block, p)
 
         @F.arrow_udf("boolean")
-        def leaks(x: pa.Array, block=block, token=token) -> pa.Array:
-            if token not in _built:
-                _built.clear()
-                _built[token] = Index(block, p)
+        def leaks(x: pa.Array, index=index) -> pa.Array:
             found = np.zeros(len(x), bool)
             batch, at = pa.RecordBatch.from_arrays([x.cast(pa.string())], ["text"]), 0
             for s in slices(batch, "text"):
-                for r, _ in _built[token].search(*words(s.column("text"))):
+                for r, _ in index.search(*words(s.column("text"))):
                     found[at + r] = True
                 at += s.num_rows
             return pa.array(found)
 
-        if block:
-            docs = docs.where(~leaks(F.col(text)))
+        docs = docs.where(~leaks(F.col(text)))
     return docs
