@@ -30,7 +30,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 DIGIT = frozenset("0123456789")
 PHONE = frozenset(" ().0123456789-")
-_AFTER_CUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#|:|=|is))*[ \t]*([A-Za-z0-9][A-Za-z0-9-]{5,33}(?: [A-Z0-9]{2,4})*)")
+_AFTER_CUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#|:|=|is))*[ \t]*([A-Za-z0-9][A-Za-z0-9-]{5,33})")
+_IBAN = re.compile(r"[ \t:#=]*([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
 _USERINFO = re.compile(r"[^\s/@?#<>\"']+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 
 _automaton = None
@@ -154,17 +155,13 @@ def iban_ok(x: str) -> bool:
 def accounts(t: str, cues: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     done = 0
     for s, e in cues:
-        if s < done or s and t[s - 1].isalnum() or not (m := _AFTER_CUE.match(t, e)) or m.start(1) == e:
+        iban = t[s:e].lower() == "iban"
+        if s < done or s and t[s - 1].isalnum() or not (m := (_IBAN if iban else _AFTER_CUE).match(t, e)) or m.start(1) == e:
             continue
         x = m[1]
-        if t[s:e].lower() == "iban":
-            while not iban_ok(x) and " " in x:
-                x = x.rpartition(" ")[0]
-            good = iban_ok(x)
-        else:
-            x = x.split(" ")[0]
-            good = sum(c in DIGIT for c in x) >= 6
-        if good:
+        while iban and not iban_ok(x) and " " in x:  # words may follow
+            x = x.rpartition(" ")[0]
+        if iban_ok(x) if iban else sum(c in DIGIT for c in x) >= 6:
             done = m.start(1) + len(x)
             yield m.start(1), done
 

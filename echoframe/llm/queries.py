@@ -94,4 +94,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
 }
 
-ORACLES: dict[str, str] = {}
+QUALITY_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+l AS (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
+w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM l),
+g AS (SELECT r, i, w || ' ' || lead(w) OVER o || ' ' || lead(w, 2) OVER o AS g FROM w WINDOW o AS (PARTITION BY r ORDER BY i)),
+again AS (SELECT r, g FROM g WHERE g IS NOT NULL GROUP BY ALL HAVING count(*) > 1),
+covered AS (SELECT DISTINCT r, i + k AS i FROM g JOIN again USING (r, g), range(3) t(k)),
+rep AS (SELECT r, count(*) AS n FROM covered GROUP BY r),
+ln AS (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d),
+li AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT x) AS dup FROM ln WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT r, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(li.dup, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words, coalesce(li.n, 0) AS n_lines
+  FROM d JOIN l USING (r) LEFT JOIN rep USING (r) LEFT JOIN li USING (r)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed OR 100 * n_symbols > 30 * word_chars OR 100 * n_dup_lines > 60 * n_lines) AS bad FROM f WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(bad / n) AS m, var_pop(bad / n) - avg((bad / n) * (1 - bad / n) / n) AS v FROM h),
+q AS (SELECT m, CASE WHEN v > 1e-9 THEN least(1000.0, greatest(2.0, m * (1 - m) / v - 1)) ELSE 1000.0 END AS weight FROM p),
+s AS (SELECT source, (bad + m * weight) / (n + weight) AS host_rate FROM h, q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(host_rate, 0) <= 0.75 AS kept, round(host_rate, 9) AS host_rate
+FROM f LEFT JOIN s USING (source)
+"""
+
+#: The other operators have no SQL form; tests/llm holds them against brute force, exact round trips and held-out accuracy.
+ORACLES: dict[str, str] = {"op1_quality_rules": QUALITY_SQL}
