@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -158,6 +159,23 @@ def butterworth(order: int, cutoff: float | tuple[float, float], rate: int, kind
     return sos
 
 
+BLOCK = 512
+
+
+@lru_cache(maxsize=64)
+def section(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, ...]:
+    """Of one section over a block: spectrum of the impulse response, what each state adds to the outputs, how the block
+    moves the states, and what each input leaves in them."""
+    step = np.array([[-a1, 1.0], [-a2, 0.0]])
+    into = np.array([b1 - a1 * b0, b2 - a2 * b0])
+    powers = [np.eye(2)]
+    for _ in range(BLOCK):
+        powers.append(step @ powers[-1])
+    p = np.array(powers)
+    unit = np.append(b0, p[: BLOCK - 1, 0] @ into)
+    return np.fft.rfft(unit, 2 * BLOCK), p[:BLOCK, 0], p[BLOCK], p[:BLOCK][::-1] @ into
+
+
 def filtered(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The cascade applied once, causal, from rest.
 
@@ -165,36 +183,15 @@ def filtered(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
     response, and the two states carried into the block add their decays.
     """
     y = np.asarray(x, np.float64)
-    block = 512
-    for b0, b1, b2, _, a1, a2 in sos:
-        unit = np.zeros(block)
-        s1 = s2 = 0.0
-        for i in range(block):  # impulse response, once per section
-            v = 1.0 if i == 0 else 0.0
-            o = b0 * v + s1
-            s1, s2 = b1 * v - a1 * o + s2, b2 * v - a2 * o
-            unit[i] = o
-        decay = np.zeros((block + 1, 2))  # output from state (1, 0) and (0, 1)
-        move = np.linalg.matrix_power(np.array([[-a1, 1.0], [-a2, 0.0]]), block)
-        m = np.eye(2)
-        step = np.array([[-a1, 1.0], [-a2, 0.0]])
-        for i in range(block):
-            decay[i] = m[0]
-            m = step @ m
-        spectrum = np.fft.rfft(unit, 2 * block)
-        powers = np.zeros((block, 2))
-        m = np.eye(2)
-        for i in range(block - 1, -1, -1):  # state after the block from an input at i
-            powers[i] = m @ np.array([b1 - a1 * b0, b2 - a2 * b0])
-            m = step @ m
-        out = np.empty(len(y))
-        state = np.zeros(2)
-        for a in range(0, len(y), block):
-            v = y[a : a + block]
-            free = np.fft.irfft(np.fft.rfft(v, 2 * block) * spectrum, 2 * block)[: len(v)]
+    for b0, b1, b2, _, a1, a2 in np.asarray(sos).tolist():
+        spectrum, decay, move, left = section(b0, b1, b2, a1, a2)
+        out, state = np.empty(len(y)), np.zeros(2)
+        for a in range(0, len(y), BLOCK):
+            v = y[a : a + BLOCK]
+            free = np.fft.irfft(np.fft.rfft(v, 2 * BLOCK) * spectrum, 2 * BLOCK)[: len(v)]
             out[a : a + len(v)] = free + decay[: len(v)] @ state
-            if len(v) == block:
-                state = move @ state + v @ powers
+            if len(v) == BLOCK:
+                state = move @ state + v @ left
         y = out
     return y
 
@@ -280,3 +277,13 @@ def transient_features(rate: int, window_ms: float = 20.0):
         return pa.array(rows, pa.struct([(n, pa.float64()) for n in names]))
 
     return run
+
+
+def mapped(signal):
+    """Arrow function from array to array by a function of a NumPy signal."""
+
+    @F.arrow_udf("array<double>")
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if not v.is_valid else np.asarray(signal(np.asarray(v.values, np.float64)), np.float64) for v in x], pa.list_(pa.float64()))
+
+    return run

@@ -148,7 +148,44 @@ def wave_describe(spark, sf):
     return g.select(F.col("label").cast("long").alias("label"), "n_waves", r6(mean, "mean"), r6(F.sqrt(F.col("q") / F.col("n") - mean * mean), "std"), r6(F.col("max_peak"), "max_peak"), r6(F.col("mean_rms"), "mean_rms"))
 
 
+def wave_transient(spark, sf):
+    """Attack, decay, sharpness, concentration, rise slope and symmetry about each signal's peak."""
+    from ..functions.kernels import transient_features
+
+    w = waves(spark, sf).withColumn("at", W.peak_at(X()))
+    return w.select("id", transient_features(RATE)(X(), F.col("at")).alias("f")).select("id", *[F.round(f"f.{n}", 6).alias(n) for n in ("attack_time_ms", "decay_time_ms", "peak_sharpness", "energy_concentration", "rise_slope", "envelope_symmetry")])
+
+
+def wave_filter(spark, sf):
+    """Level of each signal through a band-pass, causal and zero-phase, and after resampling."""
+    from ..functions import kernels as K
+
+    sos = K.butterworth(4, (4000.0, 20000.0), RATE, "bandpass")
+    level = lambda f: F.round(W.rms(K.mapped(f)(X())), 6)
+    return waves(spark, sf).select("id", level(lambda x: K.filtered(sos, x)).alias("causal"), level(lambda x: K.zero_phase(sos, x)).alias("zero_phase"), level(lambda x: K.resampled(x, RATE, 44100)).alias("resampled"))
+
+
+def wave_augment(spark, sf):
+    """Level of each signal after seeded augmentation, and length of a click train made of it (null where it didn't fit)."""
+    from ..operators import augment as A
+
+    w = waves(spark, sf).select("id", A.augmented(X(), F.col("id"), 9, RATE).alias("y"), A.click_trains(X(), X(), F.col("id"), 9, RATE, 16000).alias("t"))
+    return w.select("id", F.round(W.rms(F.col("y")), 6).alias("rms"), F.size("t").cast("long").alias("train_samples"))
+
+
+def wave_model_scores(spark, sf):
+    """Class-1 probability of each signal by the convolutional scorer with seeded weights, against its label."""
+    from ..operators import model as N
+
+    w = waves(spark, sf).select(F.col("id").cast("string").alias("path"), (F.col("label") % 2).alias("y"), N.score(N.initial(N.Shape(), 1), X()).alias("score"))
+    return N.predictions(w, "path", "y").withColumn("confidence", F.round("confidence", 4))
+
+
 PLANS = {
+    "wave_transient": (wave_transient, None),
+    "wave_filter": (wave_filter, None),
+    "wave_augment": (wave_augment, None),
+    "wave_model_scores": (wave_model_scores, None),
     "wave_levels": (wave_levels, f"WITH {LEVELS} SELECT id, round(rms, 6) AS rms, round(peak, 6) AS peak, round(20 * log10(peak / rms), 6) AS crest_db, pk AS peak_at FROM lv"),
     "wave_zcr": (wave_zcr, f"WITH {SAMPLES} SELECT id, round(sum(abs(sign(v) - sign(p))) / 2 / 64, 6) AS zcr FROM (SELECT id, v, lag(v) OVER (PARTITION BY id ORDER BY i) AS p FROM samples) GROUP BY id"),
     "wave_energy": (wave_energy, ENERGY_SQL),
