@@ -287,3 +287,11 @@ def mapped(signal):
         return pa.array([None if not v.is_valid else np.asarray(signal(np.asarray(v.values, np.float64)), np.float64) for v in x], pa.list_(pa.float64()))
 
     return run
+
+
+def spectrum_db(x: np.ndarray, rate: int, width: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hz, seconds and dB (time, frequency) of Hann frames that overlap by half."""
+    width = max(2, min(width, len(x)))
+    f = frames(np.asarray(x, np.float64), width, max(1, width // 2))
+    m = np.abs(np.fft.rfft(f * np.hanning(f.shape[1]), axis=1))
+    return np.fft.rfftfreq(f.shape[1], 1 / rate), np.arange(len(f)) * max(1, width // 2) / rate, 20 * np.log10(m + 1e-10)

@@ -182,3 +182,10 @@ def realised_snr_db(mix: Column, clean: Column) -> Column:
 def reverberated(x: Column, delay: int, gain: float) -> Column:
     """One echo, scaled back under a peak of 1."""
     return let(F.transform(x, lambda v, i: v + gain * F.coalesce(F.get(x, i - delay), F.lit(0.0))), lambda y: let(peak(y), lambda p: F.when(p > 1, F.transform(y, lambda v: v / p)).otherwise(y)))
+
+
+def de_emphasis(x: Column, c: float = 0.97) -> Column:
+    """Inverse of :func:`pre_emphasis`: y[n] = x[n] + c y[n-1]."""
+    empty = F.struct(F.array().cast("array<double>").alias("y"), F.lit(0.0).alias("last"))
+    step = lambda a, v: let(v + c * a["last"], lambda y: F.struct(F.concat(a["y"], F.array(y)).alias("y"), y.alias("last")))
+    return F.aggregate(x, empty, step, lambda a: a["y"])

@@ -107,3 +107,15 @@ def collected_names(df: DataFrame, path: str) -> DataFrame:
     w = Window.partitionBy("name")
     out = df.withColumn("name", name).withColumns({"_i": F.row_number().over(w.orderBy(path)) - 1, "_n": F.count("*").over(w)})
     return out.withColumn("new_name", F.when(F.col("_i") == 0, F.col("name")).otherwise(F.format_string("%s_%03d", "name", "_i"))).drop("_i", "_n")
+
+
+def capacity(clean: DataFrame, noise: DataFrame, part: list[str], per_clean: int = 2) -> DataFrame:
+    """Per part: rows wanted, rows there, and whether noise must be used again."""
+    want = clean.groupBy(*part).agg((F.count("*") * per_clean).alias("wanted"))
+    have = noise.groupBy(*part).agg(F.count("*").alias("available"))
+    return want.join(have, part, "left").na.fill(0, ["available"]).withColumn("reuse", F.col("wanted") > F.col("available"))
+
+
+def strategy(df: DataFrame, seed: int, share: float, *key: str) -> DataFrame:
+    """``strategy`` of each row: one random parent with probability ``share``, else any parent."""
+    return df.withColumn("strategy", F.when(draw(seed, *key) < share, "one_parent").otherwise("any_parent"))

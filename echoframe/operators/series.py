@@ -100,3 +100,24 @@ def chunk_ranges(df: DataFrame, length: str, chunk: int, overlap: int) -> DataFr
     out = df.select("*", F.posexplode(starts).alias("chunk_id", "start_sample")).where(F.col(length) > 0)
     out = out.where((F.col("start_sample") == 0) | (F.col("start_sample") - step + chunk < F.col(length)))
     return out.withColumn("end_sample", F.least(F.col("start_sample") + chunk, F.col(length).cast("long")))
+
+
+def spaced_peaks(df: DataFrame, value: str, part: list[str], order: list[str], threshold: float, min_distance: int) -> DataFrame:
+    """Largest row of each run above the threshold; after a run's end, ``min_distance`` more rows are left out, so a run that
+    begins among them is cut. Columns of ``part`` and peak_pos, v."""
+    df = df.withColumn("pos", F.row_number().over(by(part, *order)) - 1)
+    above = islands(df.where(F.col(value) > threshold), "pos", part, ["pos"], min_distance + 1, "_island")
+    runs = above.groupBy(*part, "_island").agg(F.sort_array(F.collect_list(F.struct("pos", F.col(value).alias("v")))).alias("_rows"))
+    run = lambda pos, v, last: F.struct(pos.alias("peak_pos"), v.alias("v"), last.alias("last"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        e = F.get(acc, F.size(acc) - 1)
+        longer = run(F.when(x["v"] > e["v"], x["pos"]).otherwise(e["peak_pos"]), F.greatest(x["v"], e["v"]), x["pos"])
+        return (
+            F.when((F.size(acc) > 0) & (x["pos"] == e["last"] + 1), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer)))
+            .when((F.size(acc) == 0) | (x["pos"] >= e["last"] + 1 + min_distance), F.concat(acc, F.array(run(x["pos"], x["v"], x["pos"]))))
+            .otherwise(acc)
+        )
+
+    peaks = F.explode(F.aggregate("_rows", F.array().cast("array<struct<peak_pos:int,v:double,last:int>>"), fold)).alias("_k")
+    return runs.select(*part, peaks).select(*part, "_k.peak_pos", "_k.v")

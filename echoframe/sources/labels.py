@@ -47,3 +47,22 @@ def category_report(labels: DataFrame) -> DataFrame:
     """Count and share of each category."""
     total = labels.count()
     return labels.groupBy("category").agg(F.count("*").alias("n")).withColumn("percent", 100.0 * F.col("n") / max(1, total))
+
+
+def labelled_segments(cut: DataFrame, labels: DataFrame, ceiling: float = 0.95) -> DataFrame:
+    """Audio of each labelled interval (stem, start, end, label), its peak at ``ceiling``.
+
+    An interval is cut from the first chunk that holds its start, at most to that chunk's end; empty ones go. Labels are
+    small next to audio: they go to the chunks' files.
+    """
+    from ..functions import waves
+
+    rate = F.col("sample_rate")
+    at = labels.select(F.col("stem").alias("file_id"), "start", "end", "label")
+    lo = F.greatest(F.lit(0), F.floor(F.col("start") * rate) - F.col("start_sample"))
+    hi = F.least(F.size("samples").cast("long"), F.floor(F.col("end") * rate) - F.col("start_sample"))
+    found = cut.join(at, "file_id").withColumns({"_lo": lo, "_hi": hi})
+    found = found.where((F.floor(F.col("start") * rate) >= F.col("start_sample")) & (F.col("_lo") < F.size("samples")) & (F.col("_hi") > F.col("_lo")))
+    piece = F.slice("samples", F.col("_lo").cast("int") + 1, (F.col("_hi") - F.col("_lo")).cast("int"))
+    out = found.select("source_file", "file_id", "chunk_id", "start", "end", "label", F.transform(waves.normalized_peak(piece.cast("array<double>")), lambda v: v * ceiling).alias("samples"))
+    return out.groupBy("source_file", "file_id", "start", "end", "label").agg(F.min_by("samples", "chunk_id").alias("samples"))

@@ -100,3 +100,13 @@ def test_labels(spark, tmp_path):
     (tmp_path / "l.json").write_text('{"a.wav": {"category": "c1", "choice": "y", "timestamp": "t"}, "b.wav": {"category": "c1", "choice": "n", "timestamp": "t"}}')
     got = labels.category_report(labels.read_label_json(spark, str(tmp_path / "l.json"))).collect()
     assert [(r.category, r.n, r.percent) for r in got] == [("c1", 2, 100.0)]
+
+
+def test_labelled_segments_are_cut_and_scaled(spark, tmp_path):
+    (tmp_path / "x.wav").write_bytes(audio.encode(click_track(4, [1.0, 3.2]), RATE))
+    cut = audio.chunks(audio.files(spark, [str(tmp_path)]), 2.0, 0.5)
+    marks = spark.createDataFrame([("x", 0.9, 1.1, "a"), ("x", 3.0, 3.4, "b"), ("x", 9.0, 9.5, "late"), ("x", 2.0, 2.0, "empty")], "stem string, start double, end double, label string")
+    got = {r.label: r for r in labels.labelled_segments(cut, marks).collect()}
+    assert set(got) == {"a", "b"} and all(abs(max(map(abs, r.samples)) - 0.95) < 1e-6 for r in got.values()) and len(got["a"].samples) == int(1.1 * RATE) - int(0.9 * RATE)
+    hz, at, db = kernels.spectrum_db(np.sin(2 * np.pi * 5000 * np.arange(4096) / RATE), RATE)
+    assert abs(hz[db.mean(axis=0).argmax()] - 5000) < RATE / 512 and len(at) == len(db)

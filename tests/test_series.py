@@ -86,3 +86,37 @@ def test_chunks_cover_and_stop(spark):
     for r in series.chunk_ranges(df, "n", 10, 2).collect():
         got.setdefault(r.id, []).append((r.start_sample, r.end_sample))
     assert got == {1: [(0, 5)], 2: [(0, 10)], 3: [(0, 10), (8, 11)], 4: [(0, 10), (8, 18), (16, 26), (24, 28)]}
+
+
+def test_spaced_peaks_equal_a_plain_loop(spark):
+    rng = random.Random(7)
+    rows = [(s, i, rng.randrange(10) / 2) for s in (0, 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "src int, idx int, v double")
+    want = set()
+    for s in (0, 1):
+        v = [x for q, _, x in rows if q == s]
+        i = 0
+        while i < len(v):
+            if v[i] > 2:
+                e = i
+                while e < len(v) and v[e] > 2:
+                    e += 1
+                want.add((s, max(range(i, e), key=lambda k: (v[k], -k))))
+                i = e + 3
+            else:
+                i += 1
+    assert {(r.src, r.peak_pos) for r in series.spaced_peaks(df, "v", ["src"], ["idx"], 2.0, 3).collect()} == want
+
+
+def test_emphasis_is_undone_and_capacity_told(spark):
+    from echoframe.functions import waves
+    from echoframe.operators import datasets
+
+    x = [0.5, -1.0, 2.0, 0.25]
+    df = spark.createDataFrame([(x, [])], "x array<double>, e array<double>")
+    got = df.select(waves.de_emphasis(waves.pre_emphasis(df.x)).alias("y"), waves.de_emphasis(df.e).alias("e")).first()
+    assert all(abs(a - b) < 1e-12 for a, b in zip(got.y, x)) and got.e == []
+    clean = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "p string, id int")
+    got = {r.p: (r.wanted, r.available, r.reuse) for r in datasets.capacity(clean, clean.where("id > 1"), ["p"]).collect()}
+    assert got == {"a": (4, 1, True), "b": (2, 1, True)}
+    assert datasets.strategy(clean, 1, 0.7, "id").where("strategy is null").count() == 0
