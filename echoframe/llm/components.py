@@ -1,4 +1,4 @@
-"""Connected components of a link table by joins alone: labels spread to neighbours and jump to their labels' labels."""
+"""Connected components of a link table by joins alone: links are contracted until none is left."""
 
 from __future__ import annotations
 
@@ -8,22 +8,29 @@ from pyspark.sql import functions as F
 from .scratch import written
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """``node, label``: the least node of each node's component. ``links`` has node ids in a and b.
+def contracted(links: DataFrame, to: DataFrame) -> DataFrame:
+    """Links between the places that their ends move to; those inside one place go, equal ones are one."""
+    at = lambda c: to.select(F.col("v").alias(c), F.col("to").alias(f"to_{c}"))
+    moved = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("to_a", "a").alias("a"), F.coalesce("to_b", "b").alias("b"))
+    return moved.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    A round sends every label over every link, takes the least, and replaces a label by its node's label; paths halve, so
-    the rounds grow as the logarithm of the longest path. Each round is a written table, nothing comes to the driver but
-    the number of labels that changed.
+
+def components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``node, label`` with the labels of linked nodes brought together to the least one.
+
+    ``labels`` has the labels so far (at first each node's own id), ``links`` node ids in a and b. In a round every end of
+    a link moves to its least neighbour, and on to where that moved; links then join the new places, and most are gone.
+    Paths halve, so rounds grow as the logarithm of the longest. Every round is a written table; only whether links are
+    left comes to the driver.
     """
-    both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = nodes.select("node", F.col("node").alias("label"))
-    while True:
-        sent = both.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
-        least = written(labels.unionByName(sent).groupBy("node").agg(F.min("label").alias("label")), "labels")
-        up = least.select(F.col("node").alias("_n"), F.col("label").alias("_up"))
-        new = written(least.join(up, F.col("label") == F.col("_n")).select("node", F.col("_up").alias("label")), "labels")
-        old = labels.select(F.col("node"), F.col("label").alias("_old"))
-        changed = new.join(old, "node").where("label <> _old").count()
-        labels = new
-        if not changed:
-            return labels
+    links = written(contracted(links, labels.select(F.col("node").alias("v"), F.col("label").alias("to"))), "links")
+    while not links.isEmpty():
+        ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hook = written(ends.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("_least")).select("v", F.least("v", "_least").alias("to")), "hooks")
+        for _ in range(2):
+            on = hook.select(F.col("v").alias("to"), F.col("to").alias("_on"))
+            hook = written(hook.join(on, "to", "left").select("v", F.coalesce("_on", "to").alias("to")), "hooks")
+        place = hook.where("v <> to").select(F.col("v").alias("label"), "to")
+        labels = written(labels.join(place, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+        links = written(contracted(links, hook), "links")
+    return labels

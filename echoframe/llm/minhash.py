@@ -10,7 +10,10 @@ least ``threshold``.
 Equal word sequences are one text from the start, so copies cost a row each. In a band's bucket the texts are compared
 with one leader, not with each other; links make components, and buckets with texts of several components go on with
 other leaders. What is still apart after ``rounds`` is compared pair by pair across components, so no candidate is lost
-and none is compared twice.
+and none is compared twice; pairs go without a comparison only where a bound shows that they can't be similar. The bound
+knows each text's runs that no other remaining text has, and which runs of a pivot, a text with few such runs, it has, as
+bits: two texts have in common what their bits say and no more of the rest than the smaller rest. Where runs repeat, with
+shares p and q of runs of their own, a probability Jaccard is at most 1 / (1 / (1 - p) + q / (1 - q)).
 
 Defined cases: a text without words is alone in its class; a null id too, with a null class; rows with one id count as one
 document; an empty table gives an empty result; other columns pass through :func:`deduplicated` unchanged.
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -107,7 +110,7 @@ def signed(docs: DataFrame, p: Bands, text: str = "text", key: str = "doc_id") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = p.bands * p.rows
         for b in batches:
-            for s in slices(b, "text"):
+            for s in slices(b, "text", 2 << 20):
                 h, row = word_hashes(*text_bytes(s.column("text")))
                 size = np.bincount(row, minlength=s.num_rows)
                 sig = prob_minhash(*counted(*shingles(h, row, p.width)), s.num_rows, m, p.seed)
@@ -186,10 +189,59 @@ def linked(pairs: DataFrame, runs: DataFrame, p: Bands) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "runs_a", "counts_a", "runs_b", "counts_b").mapInArrow(check, "a long, b long")
 
 
+def own_runs(runs: DataFrame) -> DataFrame:
+    """Per text: its distinct runs (n), those of them that no other text of the table has (u), and their share by count (own)."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, g, c in zip(b.column("doc_id").to_pylist(), b.column("runs"), b.column("counts")):
+                h, c = np.frombuffer(g.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), d)), pa.array(h), pa.array(c / c.sum())], ["doc", "h", "share"])
+
+    rows = runs.select("doc_id", "runs", "counts").mapInArrow(spread, "doc long, h long, share double")
+    alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("share").alias("share")).where("n = 1")
+    alone = alone.groupBy("doc").agg(F.count("*").alias("u"), F.sum("share").alias("own"))
+    size = runs.select(F.col("doc_id").alias("doc"), (F.octet_length("runs") / 8).cast("long").alias("n"))
+    return size.join(alone, "doc", "left").na.fill(0).withColumn("own", F.least(F.col("own"), F.lit(1 - 1e-9)))
+
+
+def pivoted(rest: DataFrame, runs: DataFrame, sized: DataFrame) -> DataFrame:
+    """Per text of ``rest``: n, own, whether all its counts are one, its pivot, the pivot's runs that it has as bits, and
+    how many other runs it has that some text shares. The pivot is the text with the least own share in any of its buckets."""
+    at = rest.join(sized.select(F.col("doc").alias("rep"), "own"), "rep")
+    best = at.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("best"))
+    pivot = at.join(best, "band").groupBy("rep").agg(F.min("best").alias("best")).select(F.col("rep").alias("doc"), F.col("best.rep").alias("pivot"))
+
+    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out, extra, plain = [], [], []
+            for d, v, u, g, c, h in zip(b.column("doc").to_pylist(), b.column("pivot").to_pylist(), b.column("u").to_pylist(), b.column("runs"), b.column("counts"), b.column("pivot_runs")):
+                g, h = np.frombuffer(g.as_buffer(), U64), np.frombuffer(h.as_buffer(), U64)
+                has = np.isin(h, g, assume_unique=True)
+                extra.append(0 if d == v else len(g) - int(has.sum()) - u)
+                plain.append(int(np.frombuffer(c.as_buffer(), np.int32).max()) == 1)
+                out.append(np.packbits(np.pad(has, (0, -len(has) % 64))).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "n", "own", "pivot")), pa.array(plain, pa.bool_()), pa.array(out, pa.list_(pa.int64())), pa.array(extra, pa.int64())], ["doc", "n", "own", "pivot", "plain", "bits", "extra"])
+
+    both = pivot.join(sized, "doc").join(runs.select(F.col("doc_id").alias("doc"), "runs", "counts"), "doc").join(runs.select(F.col("doc_id").alias("pivot"), F.col("runs").alias("pivot_runs")), "pivot")
+    return both.select("doc", "n", "u", "own", "pivot", "runs", "counts", "pivot_runs").mapInArrow(bits, "doc long, n long, own double, pivot long, plain boolean, bits array<long>, extra long")
+
+
+def may_link(p: Bands) -> Column:
+    """Whether the bounds allow a link of two rows of :func:`pivoted` with suffixes _a and _b."""
+    a, b = ({c: F.col(f"{c}_{s}") for c in ("n", "own", "pivot", "plain", "bits", "extra")} for s in "ab")
+    shared = F.aggregate(F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
+    common = F.when(a["pivot"] == b["pivot"], shared + F.least(a["extra"], b["extra"])).otherwise(F.least(a["n"], b["n"]))
+    bound = lambda s, t: 1 / (1 / (1 - s) + t / (1 - t))
+    by_count = F.least(bound(a["own"], b["own"]), bound(b["own"], a["own"])) >= p.threshold - 1e-9
+    by_set = common >= p.threshold * (a["n"] + b["n"] - common)
+    return F.when(a["plain"] & b["plain"], by_set & by_count).otherwise(by_set | by_count)  # plain: both measures are one
+
+
 def semi(docs: DataFrame, ids: DataFrame, key: str, p: Bands, how: str = "left_semi") -> DataFrame:
     small = ids.count() <= p.broadcast_ids
-    other = ids.select(F.col(ids.columns[0]).alias("_id"))
-    return docs.join(F.broadcast(other) if small else other, F.col(key) == F.col("_id"), how)
+    other = ids.select(F.col(ids.columns[0]).alias("_near_id"))
+    return docs.join(F.broadcast(other) if small else other, F.col(key) == F.col("_near_id"), how)
 
 
 def classes(docs: DataFrame, p: Bands = Bands(), text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -206,7 +258,7 @@ def classes(docs: DataFrame, p: Bands = Bands(), text: str = "text", key: str =
     runs = written(run_table(semi(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), nodes, "doc_id", p), p.width).dropDuplicates(["doc_id"]), "near-runs")
 
     none = spark.createDataFrame([], "a long, b long")
-    tested, links, labels = none, none, nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+    tested, labels = none, nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
     for t in range(p.rounds + 1):
         at = buckets.join(labels, F.col("rep") == F.col("node")).select("band", "rep", "label")
         # the leader is another text in every round
@@ -216,17 +268,19 @@ def classes(docs: DataFrame, p: Bands = Bands(), text: str = "text", key: str =
             pairs = at.join(apart, "band").where(F.col("label") != F.col("leader.label")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"))
         else:
             rest = written(at.join(apart.select("band"), "band"), "near-rest")
-            other = rest.select("band", F.col("rep").alias("a"), F.col("label").alias("of_a"))
-            pairs = rest.join(other, "band").where((F.col("a") < F.col("rep")) & (F.col("of_a") != F.col("label"))).select("a", F.col("rep").alias("b"))
+            left = runs.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+            sized = written(own_runs(left), "near-own")
+            known = written(pivoted(rest, left, sized), "near-pivots")
+            side = lambda c: rest.join(known, F.col("rep") == F.col("doc")).select("band", F.col("rep").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "own", "pivot", "plain", "bits", "extra")])  # noqa: E731, B023
+            pairs = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & may_link(p)).select("a", "b")
         pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-pairs")
         if pairs.isEmpty():
             if t == p.rounds or apart.isEmpty():
                 break
             continue
         found = written(linked(pairs, runs, p), "near-links")
-        tested, links = tested.unionByName(pairs), links.unionByName(found)
-        if not found.isEmpty():
-            labels = components(nodes.select(F.col("rep").alias("node")), links)
+        tested = tested.unionByName(pairs)
+        labels = components(labels, found)
 
     moved = labels.where("node <> label")
     named = first.join(moved, F.col("rep") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("label", "rep").alias("label"))

@@ -27,7 +27,7 @@ def sentence(rng, n, words=400):
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(300, 299)]
     nodes = sorted({x for l in links for x in l} | {500})
-    got = {r.node: r.label for r in components.components(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components.components(spark.createDataFrame([(n, n) for n in nodes], "node long, label long"), spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 160)) and got[300] == 299 and got[500] == 500
 
 
