@@ -231,22 +231,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, p: Search = Search(), text: s
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def holds(index: Index):
+    """Arrow function: text -> whether it holds an item of the index."""
+
+    @F.arrow_udf("boolean")
+    def leaks(x: pa.Array) -> pa.Array:
+        found = np.zeros(len(x), bool)
+        batch, at = pa.RecordBatch.from_arrays([x.cast(pa.string())], ["text"]), 0
+        for s in slices(batch, "text"):
+            for r, _ in index.search(*words(s.column("text"))):
+                found[at + r] = True
+            at += s.num_rows
+        return pa.array(found)
+
+    return leaks
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search(), text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents without any item, with their columns as they came. No join: each text is searched where it is read."""
     for block in blocks(benchmark, p, item, text):
         if not block:
             continue
-        index = Index(block, p)
-
-        @F.arrow_udf("boolean")
-        def leaks(x: pa.Array, index=index) -> pa.Array:
-            found = np.zeros(len(x), bool)
-            batch, at = pa.RecordBatch.from_arrays([x.cast(pa.string())], ["text"]), 0
-            for s in slices(batch, "text"):
-                for r, _ in index.search(*words(s.column("text"))):
-                    found[at + r] = True
-                at += s.num_rows
-            return pa.array(found)
-
-        docs = docs.where(~leaks(F.col(text)))
+        docs = docs.where(~holds(Index(block, p))(F.col(text)))
     return docs
