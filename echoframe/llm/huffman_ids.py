@@ -305,7 +305,6 @@ def lanes(n: np.ndarray, marks: np.ndarray, bits: np.ndarray, byte_start: np.nda
     return np.repeat(byte_start * 8, marks) + bits, np.minimum(STRIDE, np.repeat(n, marks) - STRIDE * place)
 
 
-PACKED = "doc_id long, n long, marks binary, payload binary"
 BLOCKS = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, doc_tokens array<long>, doc_bytes array<long>, marks binary, payload binary"
 
 
@@ -315,46 +314,36 @@ def write(tokens: DataFrame, path: str) -> None:
     lengths = code_lengths(id_counts(tokens))
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/header")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = Code(lengths)
-        for b in batches:
-            for s in slices(b, "ids"):
-                n = s.column("n").to_numpy()
-                data, bounds, bits, marks = code.pack(ids_of(s.column("ids"), n), n)
-                at = np.append(0, np.cumsum(marks)) * 4
-                raw, mark = data.tobytes(), bits.astype("<u4").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        s.column("doc_id"),
-                        s.column("n"),
-                        pa.array([mark[x:y] for x, y in zip(at.tolist(), at[1:].tolist())], pa.binary()),
-                        pa.array([raw[x:y] for x, y in zip(bounds.tolist(), bounds[1:].tolist())], pa.binary()),
-                    ],
-                    ["doc_id", "n", "marks", "payload"],
-                )
+    names = [x.split()[0] for x in BLOCKS.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, first = TaskContext.get().partitionId(), 0, 0
-        held: list[tuple] = []
+        code, part, seq, first = Code(lengths), TaskContext.get().partitionId(), 0, 0
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            row = (part, seq, first, size, [h[0] for h in held], [h[1] for h in held], [len(h[3]) for h in held], b"".join(h[2] for h in held), b"".join(h[3] for h in held))
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], [x.split()[0] for x in BLOCKS.split(", ")])
+            n = np.concatenate([h.column("n").to_numpy() for h in held])
+            ids = np.concatenate([ids_of(h.column("ids"), h.column("n").to_numpy()) for h in held])
+            data, bounds, bits, _ = code.pack(ids, n)
+            row = (part, seq, first, size, [k for h in held for k in h.column("doc_id").to_pylist()], n.tolist(), np.diff(bounds).tolist(), bits.astype("<u4").tobytes(), data.tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                held.append(row)
-                size += row[1]
-                if size >= BLOCK_TOKENS:
-                    yield out()
-                    seq, first, held, size = seq + 1, first + size, [], 0
+            ends = np.cumsum(b.column("n").to_numpy()) + size
+            cuts = [0, *(np.flatnonzero(np.diff(ends // BLOCK_TOKENS, prepend=size // BLOCK_TOKENS)) + 1).tolist()]
+            for x, y in zip(cuts, cuts[1:]):  # a block ends with the document that fills it
+                held.append(b.slice(x, y - x))
+                size = sum(int(h.column("n").to_numpy().sum()) for h in held)
+                yield out()
+                seq, first, held, size = seq + 1, first + size, [], 0
+            if cuts[-1] < b.num_rows:
+                held.append(b.slice(cuts[-1]))
+                size += int(held[-1].column("n").to_numpy().sum())
         if held:
             yield out()
 
-    packed = tokens.mapInArrow(pack, PACKED)
-    packed.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "payload").mapInArrow(block, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    tokens.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(block, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
