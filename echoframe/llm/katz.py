@@ -31,10 +31,15 @@ from .scratch import written
 
 K = 5
 START, END = U64(0x5BD1E9955BD1E995), U64(0xC2B2AE3D27D4EB4F)
-#: Tokens of a bucket, and of the arrays that a task holds before it passes them on.
-BUCKET_TOKENS = 4_000_000
-HELD_TOKENS = 5_000_000
-#: A word is frequent if a task has it once in so many tokens; so at most as many rows come from a task.
+#: Files' buckets of a table: as many tasks work on it. A document's parts of one task are added before they are moved.
+FILES = 96
+#: Most tokens of a bucket, of which a file's bucket has several as the corpus grows, and tokens that a task holds before
+#: it passes them on.
+BUCKET_TOKENS = 1_600_000
+HELD_TOKENS = 1_500_000
+#: Documents whose parts a task adds before it passes them on.
+HELD_DOCS = 4_000_000
+#: A word is frequent if a slice of a task has it once in so many tokens; so at most as many rows come from a slice.
 FREQUENT = 4096
 
 
@@ -51,17 +56,17 @@ def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def frequent_words(docs: DataFrame) -> tuple[int, dict[int, int]]:
-    """Number of tokens, and the words that are frequent in some task with their occurrences there."""
+    """Number of tokens, and the words that are frequent in some slices with their occurrences there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for s in slices(b, "text", 16 << 20):
+            for s in slices(b, "text"):
                 w, _, _ = tokens_of(s.column("text"))
                 u, n = np.unique(w, return_counts=True)
                 keep = n >= len(w) / FREQUENT
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(u[keep], U64(0)).view(np.int64)), pa.array(np.append(n[keep], len(w)))], ["w", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    rows = written(docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "katz-frequent")
     total = rows.where("w = 0").agg(F.sum("n")).first()[0] or 0
     return total, {r.w: r.n for r in rows.where((F.col("w") != 0) & (F.col("n") * FREQUENT >= total)).collect()}
 
@@ -87,12 +92,12 @@ def widen(x: bytes, n: int) -> np.ndarray:
     return np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32)
 
 
-TOKENS = "kind int, bucket int, grp long, n_docs long, held binary, words binary, runs binary, contexts binary, context_at binary, docs binary, doc_ids array<long>"
-T_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
+TOKENS = "kind int, file int, bucket int, grp long, n_docs long, held binary, words binary, runs binary, contexts binary, context_at binary, docs binary, doc_ids array<long>"
+T_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6, pa.list_(pa.int64())]
 T_NAMES = [x.split()[0] for x in TOKENS.split(", ")]
 
 
-def token_rows(docs: DataFrame, ids: np.ndarray, frequent: np.ndarray) -> DataFrame:
+def token_rows(docs: DataFrame, ids: np.ndarray, n_buckets: int, frequent: np.ndarray) -> DataFrame:
     """Rows of kind 0: the tokens of one bucket and one group of documents. Rows of kind 1: the group's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,24 +107,26 @@ def token_rows(docs: DataFrame, ids: np.ndarray, frequent: np.ndarray) -> DataFr
 
         def out() -> Iterator[pa.RecordBatch]:
             words, before, of = np.concatenate(w), np.concatenate(v), np.concatenate(d)
+            w.clear(), v.clear(), d.clear()
             flags = np.packbits(np.concatenate(held)).tobytes()
             group = part * 4096 + seq
             n = np.bincount(of, minlength=docs_held)
-            rows = [(1, int(ids[group % len(ids)]), group, docs_held, flags, None, n.astype(np.uint32).tobytes(), None, None, None, [x for y in doc_ids for x in y])]
+            rows = [(1, int(ids[group % len(ids)]), -1, group, docs_held, flags, None, n.astype(np.uint32).tobytes(), None, None, None, [x for y in doc_ids for x in y])]
             to = mix(words)
             at = np.searchsorted(frequent, words)
             hot = frequent[np.minimum(at, len(frequent) - 1)] == words if len(frequent) else np.zeros(len(words), bool)
             to[hot] = mix(to[hot] ^ before[hot])
-            to = (to >> U64(33)) % U64(len(ids))
-            order = np.argsort((to << U64(54)) | (words >> U64(10)), kind="stable")  # buckets, and in them equal words side by side
+            to = (to >> U64(33)) % U64(n_buckets)
+            order = np.argsort(words, kind="stable")
+            order = order[np.argsort(to[order], kind="stable")]  # buckets, and in them equal words side by side
             to, words, before, of = to[order], words[order], before[order], of[order]
-            cuts = np.searchsorted(to, np.arange(len(ids) + 1, dtype=U64))
+            cuts = np.searchsorted(to, np.arange(n_buckets + 1, dtype=U64))
             for i, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())):
                 if b > a:
                     x = words[a:b]
                     first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
                     c, back = np.unique(before[a:b], return_inverse=True)
-                    rows.append((0, int(ids[i]), group, docs_held, flags, x[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), c.tobytes(), narrow(back, len(c)), narrow(of[a:b], docs_held), None))
+                    rows.append((0, int(ids[i % len(ids)]), i, group, docs_held, flags, x[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), c.tobytes(), narrow(back, len(c)), narrow(of[a:b], docs_held), None))
             for a in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows[a : a + 16]), T_KINDS)], T_NAMES)
 
@@ -128,7 +135,7 @@ def token_rows(docs: DataFrame, ids: np.ndarray, frequent: np.ndarray) -> DataFr
                 x, y, z = tokens_of(s.column("text"))
                 w.append(x)
                 v.append(y)
-                d.append(z + docs_held)
+                d.append((z + docs_held).astype(np.int32))
                 doc_ids.append(s.column("doc_id").to_pylist())
                 held.append(s.column("held_out").to_numpy(zero_copy_only=False).astype(bool))
                 size += len(x)
@@ -160,6 +167,7 @@ class Bucket:
             d.append((r["grp"] << 32) | doc)
             train.append(~held[doc])
         self.w, self.v, self.doc, self.train = (np.concatenate(x) for x in (w, v, d, train))
+        w.clear(), v.clear(), d.clear(), train.clear()
         self.words, self.word_at = np.unique(self.w, return_inverse=True)
         self.word_count = np.bincount(self.word_at, self.train).astype(np.int64)
         pair = mix(self.w + mix(self.v ^ U64(0x9E3779B97F4A7C15)))
@@ -193,8 +201,8 @@ def discounted(c: np.ndarray, discount: tuple[np.ndarray, float]) -> np.ndarray:
 
 
 STATS = "kind int, r long, n long"
-PARTS = "kind int, dest int, grp long, x1 binary, x2 binary, x3 binary, x4 binary"
-P_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+PARTS = "kind int, file int, dest int, grp long, x1 binary, x2 binary, x3 binary, x4 binary"
+P_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -203,10 +211,44 @@ def table_of(rows: list[tuple], kinds: list, schema: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
 
-def by_group(doc: np.ndarray, dest: int, *values: np.ndarray) -> list[tuple]:
+def by_group(doc: np.ndarray, file: int, *values: np.ndarray) -> list[tuple]:
     """Rows of kind 0 for ascending documents, one for each group."""
     cuts = np.append(0, np.append(np.flatnonzero(np.diff(doc >> 32)) + 1, len(doc))) if len(doc) else np.zeros(1, np.int64)
-    return [(0, dest, int(doc[a] >> 32), (doc[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes(), *(x[a:b].tobytes() for x in values)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+    return [(0, file, -1, int(doc[a] >> 32), (doc[a:b] & 0xFFFFFFFF).astype(np.uint32).tobytes(), *(x[a:b].tobytes() for x in values)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+
+
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of kind 0 of one task added up by document; others pass."""
+    sums: dict[int, list[np.ndarray]] = {}
+    names = [x.split()[0] for x in PARTS.split(", ")]
+    file = size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        for grp, (seen, known, base, score) in sums.items():
+            at = np.flatnonzero(seen)
+            row = (0, file, -1, grp, at.astype(np.uint32).tobytes(), known[at].astype(np.uint32).tobytes(), base[at].astype(np.float32).tobytes(), score[at].astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, P_KINDS)], names)
+        sums.clear()
+
+    for b in batches:
+        kind = np.asarray(b.column("kind"))
+        if (kind > 0).any():
+            yield b.filter(pa.array(kind > 0))
+        for i in np.flatnonzero(kind == 0).tolist():
+            grp, file = b.column("grp")[i].as_py(), b.column("file")[i].as_py()
+            x = [np.frombuffer(b.column(c)[i].as_buffer(), f) for c, f in (("x1", np.uint32), ("x2", np.uint32), ("x3", np.float32), ("x4", np.float32))]
+            top = int(x[0][-1]) + 1
+            have = sums.setdefault(grp, [np.zeros(0, bool), np.zeros(0), np.zeros(0), np.zeros(0)])
+            if len(have[0]) < top:
+                size += top - len(have[0])
+                have[:] = [np.append(v, np.zeros(top - len(v), v.dtype)) for v in have]
+            have[0][x[0]] = True
+            for v, more in zip(have[1:], x[1:]):
+                v[x[0]] += more
+        if size > HELD_DOCS:
+            yield from out()
+            size = 0
+    yield from out()
 
 
 def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
@@ -214,10 +256,10 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text", F.col(held_out).alias("held_out"))
     n_tokens, hot = frequent_words(docs)
-    n_buckets = max(1, -(-n_tokens // BUCKET_TOKENS))
-    ids = bucket_ids(spark, n_buckets)
+    n_buckets = FILES * max(1, -(-n_tokens // (BUCKET_TOKENS * FILES)))
+    ids = bucket_ids(spark, FILES)
     frequent = np.sort(np.array([w for w, n in hot.items() if n * 4 * n_buckets >= n_tokens], np.int64).view(U64))
-    tokens = bucketed(token_rows(docs, ids, frequent), n_buckets, "bucket")
+    tokens = bucketed(token_rows(docs, ids, n_buckets, frequent), FILES, "file")
     meta = written(spark.table(tokens).where("kind = 1").select("grp", "n_docs", "held", "runs", "doc_ids"), "katz-documents")
     rows = spark.table(tokens).where("kind = 0").drop("doc_ids", "kind")
 
@@ -231,7 +273,7 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
         out += [(5, int(w), int(n)) for w, n in zip(b.words[part].view(np.int64), b.word_count[part])]  # shares of frequent words
         return table_of(out, [pa.int32(), pa.int64(), pa.int64()], STATS)
 
-    got = {(r.kind, r.r): r.n for r in rows.groupBy("bucket").applyInArrow(stats, STATS).groupBy("kind", "r").agg(F.sum("n").alias("n")).collect()}
+    got = {(r.kind, r.r): r.n for r in rows.groupBy("file", "bucket").applyInArrow(stats, STATS).groupBy("kind", "r").agg(F.sum("n").alias("n")).collect()}
     own = {np.int64(r).view(U64): n for (kind, r), n in got.items() if kind == 5}
     hot_words = np.sort(np.array(list(own), U64))
     hot_counts = np.array([own[w] for w in hot_words], np.int64)
@@ -265,11 +307,10 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
         v, back = np.unique(b.v[first], return_inverse=True)
         left = np.bincount(back, b.pair_count[kind] - discounted(b.pair_count[kind], d2)).astype(np.float32)
         lower = np.bincount(back, p[b.word_at[first]]).astype(np.float32)
-        to = (mix(v ^ U64(77)) >> U64(33)) % U64(len(ids))
-        for i in range(len(ids)):
+        to = (mix(v ^ U64(77)) >> U64(33)) % U64(n_buckets)
+        for i in np.unique(to).tolist():
             mine = to == i
-            if mine.any():
-                out.append((1, int(ids[i]), 0, v[mine].tobytes(), left[mine].tobytes(), lower[mine].tobytes(), None))
+            out.append((1, int(ids[i % FILES]), i, 0, v[mine].tobytes(), left[mine].tobytes(), lower[mine].tobytes(), None))
         # unseen pairs ask for their context's alpha; a context that several tokens of a document ask for goes once
         ask = np.flatnonzero(~seen)
         if len(ask):
@@ -279,14 +320,16 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
             first = np.flatnonzero(np.append(True, (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])))
             n = np.diff(np.append(first, len(v))).astype(np.uint32)
             v, doc = v[first], doc[first]
-            to = (mix(v ^ U64(77)) >> U64(33)) % U64(len(ids))
-            for i in range(len(ids)):
+            to = (mix(v ^ U64(77)) >> U64(33)) % U64(n_buckets)
+            for i in np.unique(to).tolist():
                 mine = to == i
-                if mine.any():
-                    out.append((2, int(ids[i]), 0, v[mine].tobytes(), doc[mine].tobytes(), n[mine].tobytes(), None))
+                out.append((2, int(ids[i % FILES]), i, 0, v[mine].tobytes(), doc[mine].tobytes(), n[mine].tobytes(), None))
         return table_of(out, P_KINDS, PARTS)
 
-    moved = bucketed(rows.groupBy("bucket").applyInArrow(parts, PARTS), n_buckets, "dest")
+    shares = rows.groupBy("file", "bucket").applyInArrow(parts, PARTS)
+    if n_buckets > FILES:  # else a task has one part of a document already
+        shares = shares.mapInArrow(added, PARTS)
+    moved = bucketed(shares, FILES, "file")
     spark.sql(f"DROP TABLE {tokens}")
 
     def backed_off(t: pa.Table) -> pa.Table:
@@ -306,7 +349,7 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
         doc, back = np.unique(doc, return_inverse=True)
         return table_of(by_group(doc, 0, np.zeros(len(doc), np.uint32), np.zeros(len(doc), np.float32), np.bincount(back, got).astype(np.float32)), P_KINDS, PARTS)
 
-    more = spark.table(moved).where("kind > 0").groupBy("dest").applyInArrow(backed_off, PARTS)
+    more = spark.table(moved).where("kind > 0").groupBy("file", "dest").applyInArrow(backed_off, PARTS)
     same = spark.table(moved).where("kind = 0").select("grp", "x1", "x2", "x3", "x4").unionByName(more.select("grp", "x1", "x2", "x3", "x4"))
     nothing = [F.lit(None).cast(t).alias(n) for n, t in (("n_docs", "long"), ("held", "binary"), ("runs", "binary"), ("doc_ids", "array<long>"))]
     everything = same.select("grp", "x1", "x2", "x3", "x4", *nothing).unionByName(meta, allowMissingColumns=True)
