@@ -3,9 +3,10 @@
 A document is its runs of ``width`` words with their counts (a text of fewer words is one run). Each run is a Poisson
 process with its count as the rate; an arrival falls on a hashed component of the signature, and the component keeps the
 earliest. Arrivals are made in rounds for a whole batch, and a run ends as soon as it is later than every component of its
-document. Two signatures agree in a component with the probability Jaccard of the weighted runs. Bands of the signature
-give candidates, which are verified exactly: a link is a probability Jaccard, or a Jaccard of the sets of runs, of at
-least ``threshold``.
+document. Two signatures agree in a component with the probability Jaccard of the weighted runs. A text with runs that
+repeat has a second signature with all counts one, which agrees with others of its kind, and with those of texts without
+repeats, with the Jaccard of the sets. Bands of the signatures give candidates, which are verified exactly: a link is a
+probability Jaccard, or a Jaccard of the sets of runs, of at least ``threshold``.
 
 Equal word sequences are one text from the start, so copies cost a row each. In a band's bucket the texts are compared
 with one leader, not with each other; links make components, and buckets with texts of several components go on with
@@ -101,11 +102,20 @@ def prob_minhash(row: np.ndarray, g: np.ndarray, n: np.ndarray, count: int, m: i
     return holder.reshape(count, m)
 
 
+def both_minhash(row: np.ndarray, g: np.ndarray, n: np.ndarray, count: int, m: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of all rows by count, then of the rows with a count over one as sets; and each signature's row."""
+    again = np.unique(row[n > 1])
+    part = np.isin(row, again)
+    as_sets = prob_minhash(np.searchsorted(again, row[part]), g[part], np.ones(int(part.sum()), np.int64), len(again), m, seed)
+    return np.concatenate([prob_minhash(row, g, n, count, m, seed), as_sets]), np.append(np.arange(count), again)
+
+
 SIGNED = "doc_id long, k1 long, k2 long, bands array<long>"
 
 
 def signed(docs: DataFrame, p: Bands, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Per document: two hashes of its word sequence (null without words) and its bands' hashes."""
+    """Per document: two hashes of its word sequence (null without words) and its bands' hashes, those of both signatures
+    where it has two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = p.bands * p.rows
@@ -113,11 +123,12 @@ def signed(docs: DataFrame, p: Bands, text: str = "text", key: str = "doc_id") -
             for s in slices(b, "text", 2 << 20):
                 h, row = word_hashes(*text_bytes(s.column("text")))
                 size = np.bincount(row, minlength=s.num_rows)
-                sig = prob_minhash(*counted(*shingles(h, row, p.width)), s.num_rows, m, p.seed)
-                x = np.zeros((s.num_rows, p.bands), U64)
+                sig, of = both_minhash(*counted(*shingles(h, row, p.width)), s.num_rows, m, p.seed)
+                x = np.zeros((len(of), p.bands), U64)
                 for k in range(p.rows):
-                    x = x * U64(BASE) + sig.reshape(s.num_rows, p.bands, p.rows)[:, :, k]
-                x = mix(x + np.arange(p.bands, dtype=U64))
+                    x = x * U64(BASE) + sig.reshape(len(of), p.bands, p.rows)[:, :, k]
+                x = mix(x + np.arange(p.bands, dtype=U64))[np.argsort(of, kind="stable")]
+                at = np.append(0, np.cumsum(np.bincount(of, minlength=s.num_rows))) * p.bands
                 up, _ = powers(len(h) + 1)
                 place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
                 keys = []
@@ -130,7 +141,7 @@ def signed(docs: DataFrame, p: Bands, text: str = "text", key: str = "doc_id") -
                     [
                         s.column("doc_id"),
                         *(pa.array(k, mask=none) for k in keys),
-                        pa.ListArray.from_arrays(pa.array(np.arange(s.num_rows + 1, dtype=np.int32) * p.bands), pa.array(x.view(np.int64).ravel())),
+                        pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(x.view(np.int64).ravel())),
                     ],
                     ["doc_id", "k1", "k2", "bands"],
                 )
@@ -251,7 +262,7 @@ def classes(docs: DataFrame, p: Bands = Bands(), text: str = "text", key: str =
     known = all_rows.where(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
     first = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-first")
     own = known.join(first, ["k1", "k2"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
-    rows = written(own.select("rep", F.explode("bands").alias("band")), "near-bands")
+    rows = written(own.select("rep", F.explode(F.array_distinct("bands")).alias("band")), "near-bands")
     shared = rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band")
     buckets = written(rows.join(shared, "band"), "near-buckets")  # texts that share a band with another
     nodes = written(buckets.select("rep").distinct(), "near-nodes")

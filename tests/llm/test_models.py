@@ -67,6 +67,18 @@ def test_near_duplicates_equal_brute_force(spark):
     assert minhash.classes(df.limit(0)).count() == 0
 
 
+def test_sets_of_runs_alone_make_links(spark):
+    rng = random.Random(9)
+    texts = []
+    for _ in range(8):
+        w = [f"u{rng.randrange(10**9)}" for _ in range(104)]
+        texts += [" ".join(w), " ".join(w[:40] + w[40:64] * 20 + w[64:]), " ".join(w[:40] + w[40:64] * 5 + w[64:])]
+    one, many = (minhash.runs_of(t, 5) for t in texts[:2])
+    assert minhash.similarity(one, many) > 0.9
+    got = {r.doc_id: r.class_id for r in minhash.classes(docs_of(spark, texts)).collect()}
+    assert got == {i: i - i % 3 for i in range(len(texts))}
+
+
 def test_probability_jaccard_is_estimated():
     rng = np.random.default_rng(2)
     a = {int(h): int(n) for h, n in zip(rng.integers(1, 1 << 60, 60), rng.integers(1, 6, 60))}
