@@ -1,7 +1,8 @@
 """Secrets: fixed grammars, and a battery of randomness tests for tokens that no grammar names.
 
-A candidate is a long run of encoding characters that mixes digits and letters. Its encoding is inferred from its
-characters (hex, base32, base36, base62, base64), and under "uniform over that alphabet" three tests give p-values: a
+A candidate is a long run of encoding characters that mixes digits and letters, padding behind it included. A run that no
+single alphabet holds gives its parts between the characters that don't fit, by either base64 alphabet. Its encoding is
+inferred from its characters (hex, base32, base36, base62, base64), and under "uniform over that alphabet" three tests give p-values: a
 chi-squared test of uniformity (symbols binned so that each bin expects at least two), a Wald-Wolfowitz runs test about
 the middle of the alphabet, and lag-one serial correlation. A token that any test rejects at ``reject`` isn't random.
 Against it stands the null "ordinary text": its class changes (digit, lower, upper) follow a binomial with the rate of
@@ -29,7 +30,11 @@ _CUE = re.compile(r"(?i:password|passwd|secret|token|api_?key)", re.ASCII)
 _ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST = 20
+#: '=' belongs to a candidate only as padding behind it: NAME=value is two.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{14,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?")
+#: What a candidate with signs of both base64 alphabets is split at: the signs of one, those of the other.
+_PARTS = [re.compile(r"[A-Za-z0-9_-]+=*"), re.compile(r"[A-Za-z0-9+/]+=*")]
 
 #: Alphabets of the encodings, smallest first.
 ENCODINGS = [
@@ -98,15 +103,40 @@ def ordinary_p(token: str) -> float:
     return sum(math.comb(n, k) * ORDINARY_RATE**k * (1 - ORDINARY_RATE) ** (n - k) for k in range(seen, n + 1)) if n < 400 else float(seen < 2 * n * ORDINARY_RATE)
 
 
+def candidates(t: str) -> list[tuple[int, int]]:
+    """Spans to test; parts of one run by the two alphabets may overlap."""
+    found: list[tuple[int, int]] = []
+    for m in _CANDIDATE.finditer(t):
+        if m.end() - m.start() < LEAST:
+            continue
+        c = m[0]
+        if ("+" in c or "/" in c) and ("-" in c or "_" in c):
+            found += sorted({(m.start() + x.start(), m.start() + x.end()) for p in _PARTS for x in p.finditer(c) if x.end() - x.start() >= LEAST})
+        else:
+            found.append((m.start(), m.end()))
+    return [(s, e) for s, e in found if len({kind_of(c) for c in t[s:e]} & {0, 1, 2}) > 1 and sum(c.isdigit() for c in t[s:e]) > 2]
+
+
+def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, overlapping ones as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(found):
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], e))
+        else:
+            out.append((s, e))
+    return out
+
+
 def random_tokens(t: str) -> list[tuple[int, int]]:
     """Spans of tokens that pass the battery and the weighted step-up over the text's candidates."""
-    found = [(m.start(), m.end()) for m in _CANDIDATE.finditer(t) if len({kind_of(c) for c in m[0]} & {0, 1, 2}) > 1 and sum(c.isdigit() for c in m[0]) > 2]
+    found = candidates(t)
     if not found:
         return []
     mean = sum(e - s for s, e in found) / len(found)
     tested = sorted((min(1.0, ordinary_p(t[s:e]) * mean / (e - s)), s, e) for s, e in found)
     cut = max((i for i, (p, _, _) in enumerate(tested, 1) if p <= FDR * i / len(tested)), default=0)
-    return sorted((s, e) for _, s, e in tested[:cut] if (b := battery(t[s:e])) and min(b[1:]) >= REJECT)
+    return joined([(s, e) for _, s, e in tested[:cut] if (b := battery(t[s:e])) and min(b[1:]) >= REJECT])
 
 
 def base_spans(t: str) -> list[tuple[str, int, int]]:

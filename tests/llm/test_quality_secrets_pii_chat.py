@@ -45,6 +45,17 @@ def test_hosts_are_shrunk_and_judged(spark):
     assert quality_rules.judged(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_random_tokens_behind_names_and_in_paths():
+    key = "Zk3x9QmR7bLw2TfVuY8sPdHc4NaJ6eGi"
+    for t in (f"SIGNING_KEY={key}", f"a https://h.example/x?sig={key}&n=1", f"see path/with-dash/{key} there", f"some_name-x/{key}", f"K={key}==", f"k={key}"):
+        at = t.index(key)
+        got = [(s, e) for k, s, e in secret_scan.find(t) if k == "random"]
+        assert len(got) == 1 and got[0][0] <= at and got[0][1] >= at + len(key), t
+        assert key not in secret_scan.redact(t) and "[secret]" in secret_scan.redact(t)
+    assert secret_scan.redact(f"SIGNING_KEY={key}") == "SIGNING_KEY=[secret]" and secret_scan.redact(f"K={key}==") == "K=[secret]"
+    assert secret_scan.find("the/usual-path/to_some/2024-report/with-many_words/inside-it/2023") == []
+
+
 PII_BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
