@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,9 @@ def parsed_labels(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    """Intervals of all label files under a path, with the file's stem."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1).alias("stem"))
+    """Intervals of all label files under a path, with the stem of their recording: the file's, without ``_labels``."""
+    stem = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1)
+    lines = spark.read.text(path).select("value", F.replace(stem, F.lit("_labels"), F.lit("")).alias("stem"))
     parts = F.split(F.trim("value"), "\t")
     kept = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#") & (F.size(parts) >= 2))
     return kept.select("stem", F.get(parts, 0).try_cast("double").alias("start"), F.get(parts, 1).try_cast("double").alias("end"), F.coalesce(F.nullif(F.trim(F.get(parts, 2)), F.lit("")), F.lit("segment")).alias("label"))
@@ -49,20 +50,34 @@ def category_report(labels: DataFrame) -> DataFrame:
     return labels.groupBy("category").agg(F.count("*").alias("n")).withColumn("percent", 100.0 * F.col("n") / max(1, total))
 
 
+#: Of a folder's files with one stem, labels go to the first of these endings; other endings come behind.
+EXTENSIONS = ("wav", "flac", "mp3")
+
+
 def labelled_segments(cut: DataFrame, labels: DataFrame, ceiling: float = 0.95) -> DataFrame:
     """Audio of each labelled interval (stem, start, end, label), its peak at ``ceiling``.
 
-    An interval is cut from the first chunk that holds its start, at most to that chunk's end; empty ones go. Labels are
-    small next to audio: they go to the chunks' files.
+    An interval takes from each chunk that it overlaps the part up to the next chunk; it is clamped to the recording, and
+    empty ones go. Labels are small next to audio: they go to the chunks' files, and only the parts are shuffled.
     """
     from ..functions import waves
 
-    rate = F.col("sample_rate")
-    at = labels.select(F.col("stem").alias("file_id"), "start", "end", "label")
-    lo = F.greatest(F.lit(0), F.floor(F.col("start") * rate) - F.col("start_sample"))
-    hi = F.least(F.size("samples").cast("long"), F.floor(F.col("end") * rate) - F.col("start_sample"))
-    found = cut.join(at, "file_id").withColumns({"_lo": lo, "_hi": hi})
-    found = found.where((F.floor(F.col("start") * rate) >= F.col("start_sample")) & (F.col("_lo") < F.size("samples")) & (F.col("_hi") > F.col("_lo")))
-    piece = F.slice("samples", F.col("_lo").cast("int") + 1, (F.col("_hi") - F.col("_lo")).cast("int"))
-    out = found.select("source_file", "file_id", "chunk_id", "start", "end", "label", F.transform(waves.normalized_peak(piece.cast("array<double>")), lambda v: v * ceiling).alias("samples"))
-    return out.groupBy("source_file", "file_id", "start", "end", "label").agg(F.min_by("samples", "chunk_id").alias("samples"))
+    rate, first = F.col("sample_rate"), F.col("start_sample")
+    at = labels.select(F.col("stem").alias("file_id"), "start", "end", "label").distinct()
+    lo = F.greatest(first, F.floor(F.col("start") * rate))
+    hi = F.least(first + F.size("samples"), F.floor(F.col("end") * rate))
+    found = cut.join(F.broadcast(at), "file_id").withColumns({"_lo": lo, "_hi": hi})
+    found = found.where((F.col("_hi") > F.col("_lo")) | (first == 0))  # the first chunk tells that a file is there
+    piece = F.slice("samples", F.least(F.col("_lo") - first, F.size("samples")).cast("int") + 1, F.greatest(F.lit(0), F.col("_hi") - F.col("_lo")).cast("int"))
+    key = ["file_id", "start", "end", "label"]
+    place = F.array_position(F.array(*map(F.lit, EXTENSIONS)), F.lower(F.regexp_extract("source_file", r"\.([^./]*)$", 1)))
+    found = found.select("source_file", *key, "_lo", "_hi", piece.alias("_piece"), F.when(place > 0, place).otherwise(len(EXTENSIONS) + 1).alias("_rank"))
+    folder = F.regexp_extract("source_file", r"^(.*/)?[^/]*$", 1)
+    found = found.withColumn("_best", F.min(F.struct("_rank", "source_file")).over(Window.partitionBy(*key, folder)))
+    found = found.where((F.col("source_file") == F.col("_best.source_file")) & (F.col("_hi") > F.col("_lo")))
+    following = F.lead("_lo").over(Window.partitionBy(*key, "source_file").orderBy("_lo", "_hi"))
+    own = F.slice("_piece", F.lit(1), F.coalesce(F.least(F.col("_hi"), following) - F.col("_lo"), F.col("_hi") - F.col("_lo")).cast("int"))
+    parts = found.select("source_file", *key, "_lo", own.alias("_piece")).where(F.size("_piece") > 0)
+    out = parts.groupBy("source_file", *key).agg(F.array_sort(F.collect_list(F.struct("_lo", "_piece"))).alias("_parts"))
+    whole = F.flatten(F.col("_parts._piece")).cast("array<double>")
+    return out.select("source_file", *key, F.transform(waves.normalized_peak(whole), lambda v: v * ceiling).alias("samples"))

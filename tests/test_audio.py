@@ -110,3 +110,19 @@ def test_labelled_segments_are_cut_and_scaled(spark, tmp_path):
     assert set(got) == {"a", "b"} and all(abs(max(map(abs, r.samples)) - 0.95) < 1e-6 for r in got.values()) and len(got["a"].samples) == int(1.1 * RATE) - int(0.9 * RATE)
     hz, at, db = kernels.spectrum_db(np.sin(2 * np.pi * 5000 * np.arange(4096) / RATE), RATE)
     assert abs(hz[db.mean(axis=0).argmax()] - 5000) < RATE / 512 and len(at) == len(db)
+
+
+def test_labelled_segments_go_through_chunks(spark, tmp_path):
+    (tmp_path / "audio").mkdir()
+    (tmp_path / "marks").mkdir()
+    x = click_track(7, [1.0, 3.2, 6.5])
+    (tmp_path / "audio" / "x.wav").write_bytes(audio.encode(x, RATE))
+    np.save(tmp_path / "audio" / "x.npy", np.zeros(96000 * 9))
+    (tmp_path / "marks" / "x_labels.txt").write_text("1.9\t2.1\tedge\n0.5\t6.75\tlong\n-1\t0.4\tearly\n6.0\t9.0\tend\n8.0\t8.5\tlate\n")
+    cut = audio.chunks(audio.files(spark, [str(tmp_path / "audio")], "*"), 2.0, 0.5)
+    got = {r.label: r for r in labels.labelled_segments(cut, labels.read_labels(spark, str(tmp_path / "marks"))).collect()}
+    assert set(got) == {"edge", "long", "early", "end"} and all(r.source_file.endswith("x.wav") for r in got.values())
+    x = audio.decode(audio.encode(x, RATE))[0]
+    for name, lo, hi in (("edge", 1.9, 2.1), ("long", 0.5, 6.75), ("early", 0.0, 0.4), ("end", 6.0, 7.0)):
+        want = x[int(lo * RATE) : int(hi * RATE)]
+        assert len(got[name].samples) == len(want) and np.allclose(got[name].samples, want / np.abs(want).max() * 0.95, atol=1e-6), name
