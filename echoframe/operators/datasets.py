@@ -91,6 +91,31 @@ def mixed_samples(clean: DataFrame, noise: DataFrame, seed: int, part: list[str]
     return pairs.select(*part, "id", "noise_id", "snr_db", waves.mixed(F.col("wave"), F.col("noise"), F.col("snr_db")).alias("wave"), F.col("wave").alias("clean"))
 
 
+def negatives(clean: DataFrame, noise: DataFrame, noise_key: str, seed: int, part: list[str], per_clean: float = 1.0) -> DataFrame:
+    """Noise rows of each part that no positive of :func:`paired` with this seed has, ``per_clean`` for each clean row.
+
+    They go on in the ranks after the positives'; where noise is used up there are fewer, and :func:`capacity` tells so.
+    """
+    rank = F.row_number().over(Window.partitionBy(*part).orderBy(seeded(seed + 1, noise_key), noise_key)) - 1
+    used = clean.groupBy(*part).agg(F.count("*").alias("_used"))
+    out = noise.withColumn("_r", rank).join(used, part)
+    return out.where((F.col("_r") >= F.col("_used")) & (F.col("_r") < F.col("_used") + F.floor(F.col("_used") * per_clean))).drop("_r", "_used")
+
+
+def noise_crops(noise: DataFrame, key: str, samples: str, seed: int, n: int, length: int) -> DataFrame:
+    """``n`` rows (crop, start, samples) of each noise: ``length`` samples from a drawn start, clipped to [-1, 1].
+
+    Shorter noise is repeated up to ``length``; noise without samples has no crops.
+    """
+    size = F.size(samples)
+    tiled = F.slice(F.flatten(F.array_repeat(samples, F.ceil(length / size).cast("int"))), 1, length)
+    some = noise.where(size > 0).withColumn(samples, F.when(size < length, tiled).otherwise(F.col(samples)))
+    some = some.withColumn("crop", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n > 0 else some.withColumn("crop", F.lit(1)).limit(0)
+    some = some.withColumn("start", F.floor(draw(seed, key, "crop") * (F.size(samples) - length + 1)).cast("int"))
+    cut = F.slice(samples, F.col("start") + 1, length)
+    return some.withColumn(samples, F.transform(cut, lambda v: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), v))))
+
+
 def leaked(train: DataFrame, test: DataFrame, key: str) -> DataFrame:
     return train.select(key).intersect(test.select(key))
 

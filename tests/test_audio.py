@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from echoframe.functions import kernels
-from echoframe.operators import augment, detect, model
+from echoframe.operators import augment, datasets, detect, model
 from echoframe.params import Detection
 from echoframe.sources import audio, labels, sinks
 
@@ -126,3 +126,23 @@ def test_labelled_segments_go_through_chunks(spark, tmp_path):
     for name, lo, hi in (("edge", 1.9, 2.1), ("long", 0.5, 6.75), ("early", 0.0, 0.4), ("end", 6.0, 7.0)):
         want = x[int(lo * RATE) : int(hi * RATE)]
         assert len(got[name].samples) == len(want) and np.allclose(got[name].samples, want / np.abs(want).max() * 0.95, atol=1e-6), name
+
+
+def test_negatives_use_no_noise_of_a_positive(spark):
+    clean = spark.createDataFrame([(i, i % 2) for i in range(20)], "id long, part int")
+    noise = spark.createDataFrame([(i, int(i >= 35)) for i in range(47)], "noise_id long, part int")
+    used = {r.noise_id for r in datasets.paired(clean, noise, "id", "noise_id", 5, ["part"]).collect()}
+    got = [(r.part, r.noise_id) for r in datasets.negatives(clean, noise, "noise_id", 5, ["part"], 1.5).collect()]
+    assert len(used) == 20 and not used & {i for _, i in got} and len(set(got)) == len(got)
+    assert sum(p == 0 for p, _ in got) == 15 and sum(p == 1 for p, _ in got) == 2  # 12 pieces, 10 of them used
+
+
+def test_noise_crops_are_drawn_tiled_and_clipped(spark):
+    waves = {1: [float(i) / 50 for i in range(90)], 2: [0.1, 0.2, 0.3], 3: [], 4: [0.5] * 10}
+    df = spark.createDataFrame(list(waves.items()), "id long, noise array<double>")
+    got = datasets.noise_crops(df, "id", "noise", 3, 6, 10).collect()
+    assert sorted(r.id for r in got) == [1] * 6 + [2] * 6 + [4] * 6
+    for r in got:
+        x = np.resize(waves[r.id], max(10, len(waves[r.id])))
+        assert r.noise == np.clip(x[r.start : r.start + 10], -1, 1).tolist()
+    assert len({r.start for r in got if r.id == 1}) > 1
