@@ -47,8 +47,7 @@ def tokenizer(path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = t = Tokenizer.from_file(path)
-        t.encode_special_tokens = True  # their strings in a text are ordinary text
+        _tokenizers[path] = Tokenizer.from_file(path)
         _units[path] = Units()
     return _tokenizers[path]
 

@@ -115,6 +115,17 @@ def test_huffman_codes_and_files(spark):
         assert n.max() <= limit and abs((2.0 ** -n.astype(float)).sum() - 1) < 1e-9
 
 
+def test_special_strings_are_as_the_library_has_them(spark):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "x  \n <|endoftext|>\n\n y", "<|endoftext|><|endoftext|>", "it's<|endoftext|>.  ", "plain"]
+    want = [[*x.ids, 2] for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert sum(50256 in x for x in want) == 4
+    got = huffman_ids.round_trip(docs_of(spark, texts), path).orderBy("doc_id").collect()
+    assert [(r.n_tokens, r.ids_crc32) for r in got] == [(len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for x in want]
+
+
 def test_tree_encoding_equals_the_library(spark):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     enc = bpe.encoding(path)
