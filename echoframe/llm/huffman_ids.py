@@ -9,11 +9,13 @@ batch side by side.
 
 Encoding with a vocabulary is done per unit: texts are cut before single spaces, and around other single white-space
 bytes, between characters that aren't white space, where byte-level splitting ends and begins a piece in any case. Units
-are told apart by 64-bit hashes; a unit that a worker hasn't met is encoded by the tokenizers library, many at once with
-line feeds between them, and the units' ids are put together by position.
+are looked up by 64-bit hashes and compared byte by byte before ids are used again; a unit that a worker hasn't met, or whose
+hash another unit has, is encoded by the tokenizers library, many at once with line feeds between them, and the units' ids
+are put together by position.
 
-Defined cases: a null or empty text has only the end id; repeated doc_ids stand side by side, ordered by their ids; a null
-doc_id comes first; an empty table gives an empty result.
+Defined cases: a null or empty text has only the end id; a very long text is encoded whole and has a block of its own;
+repeated doc_ids stand side by side, ordered by their token ids; a null doc_id comes first; an empty table gives an empty
+result; columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .kernels import SEPARATOR, slices, span_hashes, text_bytes
-from .scratch import new_path, written
+from .kernels import SEPARATOR, differing, slices, span_hashes, text_bytes
+from .scratch import Tables, new_path, small_batches
 
 LIMIT = 16
 STRIDE = 128
 BLOCK_TOKENS = 1 << 18
-CACHE = 1_500_000
+#: Units that a worker keeps, and their bytes.
+CACHE, CACHE_BYTES = 1_000_000, 32 << 20
 END = 2
 
 _tokenizers: dict[str, object] = {}
@@ -53,21 +56,23 @@ def tokenizer(path: str):
 
 
 class Units:
-    """Ids of units by hash, as sorted arrays."""
+    """Bytes and ids of units by hash, as sorted arrays."""
 
     def __init__(self):
-        self.hash, self.start, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.hash, self.start, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
+        self.begin, self.bytes, self.raw = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint8)
 
     def missing(self, h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hash, h)
         return (at == len(self.hash)) | (self.hash[np.minimum(at, len(self.hash) - 1)] != h) if len(self.hash) else np.ones(len(h), bool)
 
-    def add(self, h: np.ndarray, size: np.ndarray, flat: np.ndarray) -> None:
-        """Ascending hashes that are missing, with their ids one after the other."""
+    def add(self, h: np.ndarray, size: np.ndarray, flat: np.ndarray, raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        """Ascending hashes that are missing, with their ids one after the other and their spans in ``raw``."""
         at = np.searchsorted(self.hash, h)
         self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(size) - size)
-        self.size, self.hash = np.insert(self.size, at, size), np.insert(self.hash, at, h)
-        self.flat = np.concatenate([self.flat, flat])
+        self.begin = np.insert(self.begin, at, len(self.raw) + np.cumsum(e - s) - (e - s))
+        self.size, self.bytes, self.hash = np.insert(self.size, at, size), np.insert(self.bytes, at, e - s), np.insert(self.hash, at, h)
+        self.flat, self.raw = np.concatenate([self.flat, flat]), np.concatenate([self.raw, take_ragged(raw, s, e - s)])
 
 
 def unit_cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -142,16 +147,29 @@ def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint32), np.zeros(len(column), np.int64)
     e = np.append(s[1:], len(raw))
     h, first, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
-    if len(_units[path].hash) > CACHE:
+    if len(_units[path].hash) > CACHE or len(_units[path].raw) > CACHE_BYTES:
         _units[path] = Units()
     known = _units[path]
     new = known.missing(h)
     if new.any():
-        known.add(h[new], *encode_units(t, raw, s[first[new]], e[first[new]]))
+        known.add(h[new], *encode_units(t, raw, s[first[new]], e[first[new]]), raw, s[first[new]], e[first[new]])
     place = np.searchsorted(known.hash, h)
-    begin, n = known.start[place][back], known.size[place][back]
+    begin, n, flat = known.start[place][back], known.size[place][back].astype(np.int64), known.flat
+    # a unit whose bytes aren't those that its hash stands for, in this slice or among the known ones, is encoded anew
+    again = np.flatnonzero(first[back] != np.arange(len(s)))
+    mine = first[back[again]]
+    odd = np.zeros(len(s), bool)
+    odd[again] = differing(raw, s[again], e[again], raw, s[mine], e[mine])
+    old = np.flatnonzero(~new)
+    met = np.zeros(len(h), bool)
+    met[old] = differing(raw, s[first[old]], e[first[old]], known.raw, known.begin[place[old]], known.begin[place[old]] + known.bytes[place[old]])
+    odd |= met[back]
+    if odd.any():
+        size, more = encode_units(t, raw, s[odd], e[odd])
+        begin[odd], n[odd] = len(flat) + np.cumsum(size) - size, size
+        flat = np.concatenate([flat, more])
     of = np.searchsorted(at, s, "right") - 1
-    return take_ragged(known.flat, begin, n), np.bincount(of, n, len(column)).astype(np.int64)
+    return take_ragged(flat, begin, n), np.bincount(of, n, len(column)).astype(np.int64)
 
 
 def with_end(ids: np.ndarray, n: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -376,6 +394,8 @@ def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 def round_trip(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Encode, write the file in the shared folder, and read it back."""
     spark = docs.sparkSession
+    small_batches(spark)
     out = new_path(spark, "huffman-ids")
-    write(written(token_table(docs, path, text, key), "token-ids"), out)
+    with Tables(spark, "huffman") as t:
+        write(t.put(token_table(docs, path, text, key), "token-ids"), out)
     return read(spark, out)

@@ -1,11 +1,14 @@
 """NumPy helpers over the bytes of Arrow string columns, used inside Spark's Arrow tasks.
 
 A batch is cut into slices of a few MB of text, so that memory is bounded by the slice or by the longest single text.
-Hashes are 64-bit polynomials over bytes with a final bit mix; two different words meet with probability 2**-64.
+Hashes chain a bit mix over blocks of 8 bytes, and over words by odd multipliers of their own, so no structure of a text
+(such as two letters in the order of Thue and Morse, where polynomials modulo 2**64 meet) makes two of them equal. They are
+no guard against somebody who looks for two equal ones; where that would give a wrong result, bytes are compared.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +25,6 @@ SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n; kept by the worker."""
-    if len(_powers.get("up", ())) < n:
-        size = max(n, SLICE_BYTES + 1024)
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            x = np.full(size, base, U64)
-            x[0] = 1
-            _powers[name] = np.multiply.accumulate(x)
-    return _powers["up"][:n], _powers["down"][:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers in which every input bit reaches every output bit."""
     x = np.asarray(x, U64)
@@ -82,12 +71,40 @@ def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return s, e, np.searchsorted(at, s, "right") - 1
 
 
+#: Bytes of a span that are hashed in blocks side by side with other spans; longer spans are rare and go one by one.
+LONG = 64
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], U64)  # masks of the first k bytes of a block
+
+
 def span_hashes(raw: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
-    up, down = powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=total[1:])
-    return mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    ahead = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each position on
+    size = e - s
+    h = mix(size.astype(U64) ^ U64(BASE))
+    live, k = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        h[live] = mix(h[live] ^ (ahead[s[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]))
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[s[i] : e[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def differing(raw: np.ndarray, s: np.ndarray, e: np.ndarray, other: np.ndarray, t: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """Whether the spans [s, e) of ``raw`` and [t, f) of ``other`` have different bytes."""
+    a, b = (np.ndarray(len(x) + 1, "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,)) for x in (raw, other))
+    size = e - s
+    out = size != f - t
+    live, k = np.flatnonzero(~out & (size > 0) & (size <= LONG)), 0
+    while len(live):
+        out[live] |= ((a[s[live] + k] ^ b[t[live] + k]) & _FIRST[np.minimum(size[live] - k, 8)]) != 0
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(~out & (size > LONG)).tolist():
+        out[i] = not np.array_equal(raw[s[i] : e[i]], other[t[i] : f[i]])
+    return out
 
 
 def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,12 +119,25 @@ def windows(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np
     if m <= 0:
         return np.empty(0, U64), np.empty(0, np.int64)
     out = np.zeros(m, U64)
-    for k in range(n):
-        out = out * U64(BASE) + hashes[k : k + m]
+    for k, odd in enumerate(multipliers(n)):
+        out += hashes[k : k + m] * odd
     keep = row[:m] == row[n - 1 :]
     return mix(out[keep]), row[:m][keep]
 
 
+def multipliers(n: int) -> np.ndarray:
+    """``n`` odd numbers, one for each place of a run."""
+    return mix(np.arange(1, n + 1, dtype=U64) * U64(BASE)) | U64(1)
+
+
+def sequence_hashes(h: np.ndarray, size: np.ndarray, salt: int) -> np.ndarray:
+    """A hash of each row's words in their order; ``size`` has the words of each row."""
+    place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
+    total = np.append(U64(0), np.cumsum(mix(h ^ mix(place.astype(U64) + U64(salt << 40)))))
+    ends = np.cumsum(size)
+    return mix(total[ends] - total[ends - size] + size.astype(U64))
+
+
 def crc_of_id(doc_id: int | None) -> int:
     """crc32 of the id as decimal text; a null id counts as the empty text."""
     import zlib

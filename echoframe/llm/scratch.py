@@ -4,25 +4,82 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from types import TracebackType
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a folder of this machine only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where that is unset, a local session gets a folder of its machine; a session
+    whose executors are elsewhere gets an error, as they would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session end at 8 MB, where they may be larger: 10,000 texts of any length would not fit beside
+    each other in the memory of a task's Python worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder; a lost executor costs a re-read, not a re-run."""
-    path = new_path(df.sparkSession, name)
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def saved(df: DataFrame, path: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder; a lost executor costs a re-read, not a re-run."""
+    return saved(df, new_path(df.sparkSession, name))
+
+
+class Tables:
+    """Tables of one computation: ``put`` writes one, ``drop`` deletes it, and leaving the block deletes all but those that
+    were given to ``keep``, as what the returned DataFrame reads must be."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name = spark, name
+        self.open: list[tuple[DataFrame, str]] = []
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, f"{self.name}-{name}")
+        out = saved(df, path)
+        self.open.append((out, path))
+        return out
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.open = [x for x in self.open if x[0] is not df]
+        return df
+
+    def drop(self, df: DataFrame) -> None:
+        for x in [x for x in self.open if x[0] is df]:
+            self.open.remove(x)
+            removed(self.spark, x[1])
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, kind: type | None, error: BaseException | None, trace: TracebackType | None) -> None:
+        for _, path in self.open:
+            removed(self.spark, path)
+        self.open.clear()
