@@ -9,15 +9,21 @@ repeats, with the Jaccard of the sets. Bands of the signatures give candidates,
 probability Jaccard, or a Jaccard of the sets of runs, of at least ``threshold``.
 
 Equal word sequences are one text from the start, so copies cost a row each. In a band's bucket the texts are compared
-with one leader, not with each other; links make components, and buckets with texts of several components go on with
-other leaders. What is still apart after ``rounds`` is compared pair by pair across components, so no candidate is lost
-and none is compared twice; pairs go without a comparison only where a bound shows that they can't be similar. The bound
-knows each text's runs that no other remaining text has, and which runs of a pivot, a text with few such runs, it has, as
-bits: two texts have in common what their bits say and no more of the rest than the smaller rest. Where runs repeat, with
-shares p and q of runs of their own, a probability Jaccard is at most 1 / (1 / (1 - p) + q / (1 - q)).
-
-Defined cases: a text without words is alone in its class; a null id too, with a null class; rows with one id count as one
-document; an empty table gives an empty result; other columns pass through :func:`deduplicated` unchanged.
+with one leader, not with each other: first with the text that meets most others, as it stands nearest to the middle of a
+group of copies, then with another one. Links make components. What is still apart goes through exact bounds, and a text
+that can be similar to nothing in a bucket leaves it, by its own numbers and the bucket's least ones: the share of its runs
+that no other remaining text has is lost in any comparison. Of the buckets left, only texts outside a bucket's largest
+component are compared with the others, where a bound allows it. The bound knows which runs of a pivot, the text with the
+fewest runs of its own around, each of the two has, as bits: two texts have in common what their bits say and no more of
+the rest than the smaller rest. Where runs repeat, with shares p and q of runs of their own, a probability Jaccard is at
+most 1 / (1 / (1 - p) + q / (1 - q)). So no candidate is lost, and none is compared twice. Copies of one text take one
+comparison each; only texts that are close to the threshold on either side of it, and outside the largest component of
+their buckets, take more.
+
+Defined cases: a text without words is alone in its class; a null id too, with a null class; rows with one id are one
+document, whose text is the first in order; very long texts are taken whole; ties between leaders and pivots go to the
+lower id; an empty table gives an empty result; other columns pass through :func:`deduplicated` unchanged, whatever their
+names are.
 """
 
 from __future__ import annotations
@@ -27,12 +33,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .kernels import BASE, U64, mix, powers, slices, text_bytes, windows, word_hashes
-from .scratch import written
+from .kernels import BASE, U64, mix, multipliers, sequence_hashes, slices, text_bytes, windows, word_hashes
+from .scratch import Tables, small_batches
 
 
 @dataclass(frozen=True)
@@ -57,8 +63,8 @@ def shingles(h: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np
         short = np.flatnonzero(n == k)
         if len(short):
             x = np.zeros(len(short), U64)
-            for i in range(k):
-                x = x * U64(BASE) + h[start[short] + i]
+            for i, odd in enumerate(multipliers(k)):
+                x += h[start[short] + i] * odd
             parts.append((mix(x + U64(k)), short))
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
@@ -120,22 +126,16 @@ def signed(docs: DataFrame, p: Bands, text: str = "text", key: str = "doc_id") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = p.bands * p.rows
         for b in batches:
-            for s in slices(b, "text", 2 << 20):
+            for s in slices(b, "text", 1 << 20):
                 h, row = word_hashes(*text_bytes(s.column("text")))
                 size = np.bincount(row, minlength=s.num_rows)
                 sig, of = both_minhash(*counted(*shingles(h, row, p.width)), s.num_rows, m, p.seed)
                 x = np.zeros((len(of), p.bands), U64)
-                for k in range(p.rows):
-                    x = x * U64(BASE) + sig.reshape(len(of), p.bands, p.rows)[:, :, k]
+                for k, odd in enumerate(multipliers(p.rows)):
+                    x += sig.reshape(len(of), p.bands, p.rows)[:, :, k] * odd
                 x = mix(x + np.arange(p.bands, dtype=U64))[np.argsort(of, kind="stable")]
                 at = np.append(0, np.cumsum(np.bincount(of, minlength=s.num_rows))) * p.bands
-                up, _ = powers(len(h) + 1)
-                place = np.arange(len(h)) - np.repeat(np.cumsum(size) - size, size)
-                keys = []
-                for salt in (1, 2):
-                    total = np.append(U64(0), np.cumsum(mix(h + U64(salt)) * up[place]))
-                    ends = np.cumsum(size)
-                    keys.append(mix(total[ends] - total[ends - size] + size.astype(U64)).view(np.int64))
+                keys = [sequence_hashes(h, size, salt).view(np.int64) for salt in (1, 2)]
                 none = size == 0
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -158,14 +158,15 @@ def runs_of(text: str, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def run_table(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id with the sorted distinct runs of its text and their counts, as bytes."""
+    """doc_id with the sorted distinct runs of its text and their counts, as bytes, and whether all counts are one."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [runs_of(t.as_py() or "", width) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([g.tobytes() for g, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary())], ["doc_id", "runs", "counts"])
+            for s in slices(b, "text", 1 << 20):
+                got = [runs_of(t.as_py() or "", width) for t in s.column("text")]
+                yield pa.RecordBatch.from_arrays([s.column("doc_id"), pa.array([g.tobytes() for g, _ in got], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in got], pa.binary()), pa.array([bool((n == 1).all()) for _, n in got])], ["doc_id", "runs", "counts", "plain"])
 
-    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, runs binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(make, "doc_id long, runs binary, counts binary, plain boolean")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -201,7 +202,8 @@ def linked(pairs: DataFrame, runs: DataFrame, p: Bands) -> DataFrame:
 
 
 def own_runs(runs: DataFrame) -> DataFrame:
-    """Per text: its distinct runs (n), those of them that no other text of the table has (u), and their share by count (own)."""
+    """Per text: its distinct runs (n), whether their counts are all one (plain), those of them that no other text of the
+    table has (u), and their share by count (own)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -212,30 +214,50 @@ def own_runs(runs: DataFrame) -> DataFrame:
     rows = runs.select("doc_id", "runs", "counts").mapInArrow(spread, "doc long, h long, share double")
     alone = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.min("share").alias("share")).where("n = 1")
     alone = alone.groupBy("doc").agg(F.count("*").alias("u"), F.sum("share").alias("own"))
-    size = runs.select(F.col("doc_id").alias("doc"), (F.octet_length("runs") / 8).cast("long").alias("n"))
-    return size.join(alone, "doc", "left").na.fill(0).withColumn("own", F.least(F.col("own"), F.lit(1 - 1e-9)))
-
-
-def pivoted(rest: DataFrame, runs: DataFrame, sized: DataFrame) -> DataFrame:
-    """Per text of ``rest``: n, own, whether all its counts are one, its pivot, the pivot's runs that it has as bits, and
-    how many other runs it has that some text shares. The pivot is the text with the least own share in any of its buckets."""
-    at = rest.join(sized.select(F.col("doc").alias("rep"), "own"), "rep")
-    best = at.groupBy("band").agg(F.min(F.struct("own", "rep")).alias("best"))
-    pivot = at.join(best, "band").groupBy("rep").agg(F.min("best").alias("best")).select(F.col("rep").alias("doc"), F.col("best.rep").alias("pivot"))
+    size = runs.select(F.col("doc_id").alias("doc"), (F.octet_length("runs") / 8).cast("long").alias("n"), "plain")
+    return size.join(alone, "doc", "left").na.fill(0, ["u", "own"]).withColumn("own", F.least(F.col("own"), F.lit(1 - 1e-9)))
+
+
+def bound_by_count(s: Column, t: Column) -> Column:
+    """The most that a probability Jaccard can be, for the shares of own runs of two texts."""
+    one = lambda x, y: 1 / (1 / (1 - x) + y / (1 - y))
+    return F.least(one(s, t), one(t, s))
+
+
+def hopeful(rest: DataFrame, sized: DataFrame, p: Bands) -> DataFrame:
+    """Rows of ``rest`` (band, rep, label) whose text can be similar to some text of its bucket, with n, u, own and plain."""
+    at = rest.join(sized.withColumnRenamed("doc", "rep"), "rep")
+    least = at.groupBy("band").agg(F.min("n").alias("_n"), F.min("own").alias("_own"), F.min("plain").alias("_plain"))
+    shared = F.col("n") - F.col("u")
+    by_set = shared / F.greatest(F.col("n"), F.col("n") + F.col("_n") - shared)
+    by_count = bound_by_count(F.col("own"), F.col("_own"))
+    bound = F.when(F.col("_plain"), F.least(by_set, by_count)).otherwise(F.greatest(by_set, by_count))
+    return at.join(least, "band").where(bound >= p.threshold - 1e-9).drop("_n", "_own", "_plain")
+
+
+def pivoted(at: DataFrame, runs: DataFrame) -> DataFrame:
+    """Per text of ``at`` (rows of :func:`hopeful`): n, own, whether all its counts are one, its pivot, the pivot's runs that
+    it has as bits, and how many other runs it has that some text shares. The pivot is the text with the least own share
+    among those that share a bucket with it, or with one of these."""
+    best = at.select("band", "rep", "n", "u", "own", "plain", F.struct("own", "rep").alias("best"))
+    for _ in range(2):
+        of_band = best.groupBy("band").agg(F.min("best").alias("_best"))
+        of_text = best.select("band", "rep").join(of_band, "band").groupBy("rep").agg(F.min("_best").alias("best"))
+        best = best.drop("best").join(of_text, "rep")
+    pivot = best.groupBy("rep").agg(F.first("n").alias("n"), F.first("u").alias("u"), F.first("own").alias("own"), F.first("plain").alias("plain"), F.first("best.rep").alias("pivot")).withColumnRenamed("rep", "doc")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, extra, plain = [], [], []
-            for d, v, u, g, c, h in zip(b.column("doc").to_pylist(), b.column("pivot").to_pylist(), b.column("u").to_pylist(), b.column("runs"), b.column("counts"), b.column("pivot_runs")):
+            out, extra = [], []
+            for d, v, u, g, h in zip(b.column("doc").to_pylist(), b.column("pivot").to_pylist(), b.column("u").to_pylist(), b.column("runs"), b.column("pivot_runs")):
                 g, h = np.frombuffer(g.as_buffer(), U64), np.frombuffer(h.as_buffer(), U64)
                 has = np.isin(h, g, assume_unique=True)
                 extra.append(0 if d == v else len(g) - int(has.sum()) - u)
-                plain.append(int(np.frombuffer(c.as_buffer(), np.int32).max()) == 1)
                 out.append(np.packbits(np.pad(has, (0, -len(has) % 64))).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "n", "own", "pivot")), pa.array(plain, pa.bool_()), pa.array(out, pa.list_(pa.int64())), pa.array(extra, pa.int64())], ["doc", "n", "own", "pivot", "plain", "bits", "extra"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc", "n", "own", "pivot", "plain")), pa.array(out, pa.list_(pa.int64())), pa.array(extra, pa.int64())], ["doc", "n", "own", "pivot", "plain", "bits", "extra"])
 
-    both = pivot.join(sized, "doc").join(runs.select(F.col("doc_id").alias("doc"), "runs", "counts"), "doc").join(runs.select(F.col("doc_id").alias("pivot"), F.col("runs").alias("pivot_runs")), "pivot")
-    return both.select("doc", "n", "u", "own", "pivot", "runs", "counts", "pivot_runs").mapInArrow(bits, "doc long, n long, own double, pivot long, plain boolean, bits array<long>, extra long")
+    both = pivot.join(runs.select(F.col("doc_id").alias("doc"), "runs"), "doc").join(runs.select(F.col("doc_id").alias("pivot"), F.col("runs").alias("pivot_runs")), "pivot")
+    return both.select("doc", "n", "u", "own", "pivot", "plain", "runs", "pivot_runs").mapInArrow(bits, "doc long, n long, own double, pivot long, plain boolean, bits array<long>, extra long")
 
 
 def may_link(p: Bands) -> Column:
@@ -243,67 +265,105 @@ def may_link(p: Bands) -> Column:
     a, b = ({c: F.col(f"{c}_{s}") for c in ("n", "own", "pivot", "plain", "bits", "extra")} for s in "ab")
     shared = F.aggregate(F.zip_with(a["bits"], b["bits"], lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
     common = F.when(a["pivot"] == b["pivot"], shared + F.least(a["extra"], b["extra"])).otherwise(F.least(a["n"], b["n"]))
-    bound = lambda s, t: 1 / (1 / (1 - s) + t / (1 - t))
-    by_count = F.least(bound(a["own"], b["own"]), bound(b["own"], a["own"])) >= p.threshold - 1e-9
+    by_count = bound_by_count(a["own"], b["own"]) >= p.threshold - 1e-9
     by_set = common >= p.threshold * (a["n"] + b["n"] - common)
     return F.when(a["plain"] & b["plain"], by_set & by_count).otherwise(by_set | by_count)  # plain: both measures are one
 
 
+def free_name(df: DataFrame) -> str:
+    name = "_near_id"
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def semi(docs: DataFrame, ids: DataFrame, key: str, p: Bands, how: str = "left_semi") -> DataFrame:
+    """Rows of ``docs`` whose key is (not) among ``ids``, which are broadcast where they are few."""
     small = ids.count() <= p.broadcast_ids
-    other = ids.select(F.col(ids.columns[0]).alias("_near_id"))
-    return docs.join(F.broadcast(other) if small else other, F.col(key) == F.col("_near_id"), how)
+    name = free_name(docs)
+    other = ids.select(F.col(ids.columns[0]).alias(name))
+    return docs.join(F.broadcast(other) if small else other, F.col(key) == F.col(name), how)
+
+
+def single(docs: DataFrame, text: str, key: str, p: Bands) -> DataFrame:
+    """One row for each id that isn't null: that with the first text (a null one last), and of equals the first as JSON."""
+    again = docs.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    if again.isEmpty():
+        return docs
+    name = free_name(docs)
+    order = Window.partitionBy(key).orderBy(F.asc_nulls_last(text), F.to_json(F.struct("*")))
+    one = semi(docs, again, key, p).withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).drop(name)
+    return semi(docs, again, key, p, "left_anti").unionByName(one)
+
+
+def pairs_with_leaders(at: DataFrame, apart: DataFrame) -> DataFrame:
+    return at.join(apart, "band").where(F.col("label") != F.col("leader.label")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"))
+
+
+def pairs_left(t: Tables, rest: DataFrame, runs: DataFrame, p: Bands) -> DataFrame:
+    """Pairs of texts of different components that share a bucket and that no bound tells apart: of each bucket, the texts
+    outside its largest component with all others."""
+    left = t.put(runs.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id"), "left")
+    at = t.put(hopeful(rest, own_runs(left), p), "hopeful")
+    sizes = at.groupBy("band", "label").agg(F.count("*").alias("_n"))
+    main = sizes.groupBy("band").agg(F.max_by("label", F.struct("_n", -F.col("label"))).alias("main"), F.count("*").alias("_labels")).where("_labels > 1").select("band", "main")
+    at = t.put(at.join(main, "band"), "apart")
+    known = t.put(pivoted(at, left), "pivots")
+    side = lambda c: at.join(known.drop("n", "own", "plain"), F.col("rep") == F.col("doc")).select("band", F.col("rep").alias(c), (F.col("label") == F.col("main")).alias(f"in_main_{c}"), *[F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "own", "pivot", "plain", "bits", "extra")])
+    outside = side("a").where("not in_main_a")
+    both = outside.join(side("b"), "band").where((F.col("label_a") != F.col("label_b")) & (F.col("in_main_b") | (F.col("a") < F.col("b"))) & may_link(p))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, p: Bands = Bands(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, the id of its text's first document, and class_id, the least doc_id of its class."""
-    spark = docs.sparkSession
-    all_rows = written(signed(docs, p, text, key), "near-signed")
-    known = all_rows.where(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
-    first = written(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "near-first")
-    own = known.join(first, ["k1", "k2"]).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["rep"])
-    rows = written(own.select("rep", F.explode(F.array_distinct("bands")).alias("band")), "near-bands")
-    shared = rows.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1).select("band")
-    buckets = written(rows.join(shared, "band"), "near-buckets")  # texts that share a band with another
-    nodes = written(buckets.select("rep").distinct(), "near-nodes")
-    runs = written(run_table(semi(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), nodes, "doc_id", p), p.width).dropDuplicates(["doc_id"]), "near-runs")
-
-    none = spark.createDataFrame([], "a long, b long")
-    tested, labels = none, nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
-    for t in range(p.rounds + 1):
-        at = buckets.join(labels, F.col("rep") == F.col("node")).select("band", "rep", "label")
-        # the leader is another text in every round
-        leader = F.min_by(F.struct("rep", "label"), F.xxhash64("rep", F.lit(t)) if t else F.col("rep")).alias("leader")
-        apart = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader).where("lo <> hi").select("band", "leader")
-        if t < p.rounds:
-            pairs = at.join(apart, "band").where(F.col("label") != F.col("leader.label")).select(F.col("leader.rep").alias("a"), F.col("rep").alias("b"))
-        else:
-            rest = written(at.join(apart.select("band"), "band"), "near-rest")
-            left = runs.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-            sized = written(own_runs(left), "near-own")
-            known = written(pivoted(rest, left, sized), "near-pivots")
-            side = lambda c: rest.join(known, F.col("rep") == F.col("doc")).select("band", F.col("rep").alias(c), *[F.col(v).alias(f"{v}_{c}") for v in ("label", "n", "own", "pivot", "plain", "bits", "extra")])  # noqa: E731, B023
-            pairs = side("a").join(side("b"), "band").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & may_link(p)).select("a", "b")
-        pairs = written(pairs.distinct().join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "near-pairs")
-        if pairs.isEmpty():
-            if t == p.rounds or apart.isEmpty():
-                break
-            continue
-        found = written(linked(pairs, runs, p), "near-links")
-        tested = tested.unionByName(pairs)
-        labels = components(labels, found)
-
-    moved = labels.where("node <> label")
+    """One row per row of ``docs``: doc_id, the id of its text's first document, and class_id, the least doc_id of its class."""
+    small_batches(docs.sparkSession)
+    every = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = single(every, "text", "doc_id", p)
+    with Tables(docs.sparkSession, "near") as t:
+        all_rows = t.keep(t.put(signed(docs, p), "signed"))
+        known = all_rows.where(F.col("doc_id").isNotNull() & F.col("k1").isNotNull())
+        first = t.keep(t.put(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")), "first"))
+        own = known.join(first, ["k1", "k2"]).where(F.col("doc_id") == F.col("rep"))
+        rows = t.put(own.select("rep", F.explode(F.array_distinct("bands")).alias("band")), "bands")
+        shared = rows.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > 1)
+        buckets = t.put(rows.join(shared, "band"), "buckets")  # texts that share a band with another
+        t.drop(rows)
+        nodes = t.put(buckets.groupBy("rep").agg(F.sum("size").alias("met")), "nodes")
+        runs = t.put(run_table(semi(docs, nodes.select("rep"), "doc_id", p), p.width), "runs")
+
+        labels = nodes.select(F.col("rep").alias("node"), F.col("rep").alias("label"))
+        tested = docs.sparkSession.createDataFrame([], "a long, b long")
+        for r in range(p.rounds + 1):
+            at = buckets.join(labels, F.col("rep") == F.col("node")).select("band", "rep", "label")
+            if r == 0:
+                leader = F.min_by(F.struct("rep", "label"), F.struct(-F.col("met"), F.col("rep")))
+                apart = at.join(nodes, "rep").groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader.alias("leader"))
+            else:
+                leader = F.min_by(F.struct("rep", "label"), F.struct(F.xxhash64("rep", F.lit(r)), F.col("rep")))
+                apart = at.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), leader.alias("leader"))
+            apart = apart.where("lo <> hi").select("band", "leader")
+            pairs = pairs_with_leaders(at, apart).distinct() if r < p.rounds else pairs_left(t, t.put(at.join(apart.select("band"), "band"), "rest"), runs, p)
+            back = tested.select(F.col("b").alias("a"), F.col("a").alias("b"))
+            pairs = t.put(pairs.join(tested, ["a", "b"], "left_anti").join(back, ["a", "b"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                if apart.isEmpty():
+                    break
+                continue
+            found = t.put(linked(pairs, runs, p), "links")
+            tested = tested.unionByName(pairs)
+            labels = components(labels, found)
+
+        moved = t.keep(t.put(labels.where("node <> label"), "moved"))
     named = first.join(moved, F.col("rep") == F.col("node"), "left").select("k1", "k2", "rep", F.coalesce("label", "rep").alias("label"))
     joined = all_rows.select("doc_id", "k1", "k2").join(named, ["k1", "k2"], "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("text_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("class_id"))
+    out = joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("text_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "doc_id")).alias("class_id"))
+    return out if docs is every else every.select("doc_id").join(out.where(F.col("doc_id").isNotNull()), "doc_id", "left")
 
 
 def deduplicated(docs: DataFrame, p: Bands = Bands(), text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents with one of each class left, that with the least id; columns as they came."""
-    found = written(classes(docs, p, text, key), "near-classes")
-    out = semi(docs, found.where(F.col("class_id") != F.col("doc_id")).select("doc_id").distinct(), key, p, "left_anti")
-    again = found.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    if not again.isEmpty():  # rows with one id
-        out = semi(out, again, key, p, "left_anti").unionByName(semi(out, again, key, p).dropDuplicates([key]))
-    return out
+    docs = single(docs, text, key, p)
+    with Tables(docs.sparkSession, "near") as t:
+        gone = t.keep(t.put(classes(docs, p, text, key).where("class_id <> doc_id").select("doc_id"), "gone"))
+    return semi(docs, gone, key, p, "left_anti")
