@@ -2,24 +2,26 @@
 
 Texts are sequences of words (ASCII letters lower-cased). An item of n words allows k = floor(n * max_edit) word edits.
 
-1. Which item-sized windows can hold the item: of its first k + 1 pieces of floor(n / (k + 1)) words, one must stand in the
-   text unchanged (pigeonhole), and of the n + 2k words around that place at least n - k must be words of the item. Both
-   conditions are necessary, so nothing within the distance is lost here.
+1. Which item-sized windows can hold the item: of its first k + 2 pieces of floor(n / (k + 2)) words, two must stand in the
+   text unchanged, with no more than k words between the places where they put the item's begin (pigeonhole; items too short
+   for that have k + 1 pieces, of which one must stand there). And of the n + 2k words around, at least n - k must be words
+   of the item. These conditions are necessary, so nothing within the distance is lost here, and a piece that many items
+   share (a question's usual beginning) makes no windows by itself.
 2. Windows of n words, at each of the 2k + 1 starts that the edits allow, go through a CGK random walk: 3n steps, each
    writing the word under the pointer and moving it by a bit hashed from step and word. Edit distance becomes Hamming
    distance; sampled positions of the walk form a key, and a window is a candidate for the items with an equal key in any
-   repeat. The repeats are as many as simulated edits of the items need to reach ``recall``.
+   repeat. Each length of item has as many repeats as its simulated edits need to reach ``recall``.
 3. Candidates are verified by exact edit distance to the best substring around the window.
 
 The benchmark is a stated set of queries; where it exceeds ``block_items`` it goes over the documents in blocks.
 
-Defined cases: null or empty texts and items match nothing; repeated rows are each searched; items with equal texts are
-each told; an empty table on either side gives an empty result.
+Defined cases: null or empty texts and items match nothing; very long texts and items are searched whole; repeated rows are
+each searched; items with equal texts are each told; of equally near passages the first is told; an empty table on either
+side gives an empty result; the documents' other columns are not read by :func:`matches` and kept by :func:`clean`.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import LOWER, U64, mix, slices, text_bytes, windows, word_hashes
+from .scratch import small_batches
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,8 @@ class Search:
     max_edit: float = 0.15
     recall: float = 0.99
     samples: int = 3
-    most_repeats: int = 96
-    simulated: int = 400
+    #: Simulated passages for each length of item; they set its number of repeats and decide no match.
+    simulated: int = 300
     seed: int = 7
     block_items: int = 20_000
 
@@ -68,22 +71,19 @@ class Index:
         self.words = [np.array(w, U64) for _, w in items]
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.edits = np.floor(self.size * p.max_edit + 1e-9).astype(np.int64)
-        rng = np.random.default_rng(p.seed)
-        longest = int(self.size.max(initial=0))
-        self.odd = rng.integers(0, 1 << 63, (p.most_repeats, 3 * longest), dtype=np.int64).astype(U64) * U64(2) + U64(1)
-        self.at = {n: np.sort(rng.random((p.most_repeats, p.samples)) * 3 * n, axis=1).astype(np.int64) for n in np.unique(self.size).tolist()}
-        self.pieces: dict[int, tuple] = {}
-        self.repeats = self.fitted(rng)
         self.keys: dict[int, tuple] = {}
         for n in np.unique(self.size).tolist():
             own = np.flatnonzero(self.size == n)
-            keys = self.embed(np.stack([self.words[j] for j in own]))
+            keys = self.embed(np.stack([self.words[j] for j in own]), self.fitted(n, own))
             self.keys[n] = (own, [(np.argsort(k, kind="stable"), np.sort(k)) for k in keys])
-        length = self.size // (self.edits + 1)
+        self.needed = np.where((self.size >= 2 * (self.edits + 2)) & (self.edits > 0), 2, 1)
+        count = self.edits + self.needed
+        length = self.size // count
+        self.pieces: dict[int, tuple] = {}
         for q in np.unique(length).tolist():
             hashes, item, offset = [], [], []
             for j in np.flatnonzero(length == q).tolist():
-                for o in range(0, q * (int(self.edits[j]) + 1), q):
+                for o in range(0, q * int(count[j]), q):
                     h, _ = windows(self.words[j][o : o + q], np.zeros(q, np.int64), q)
                     hashes.append(h[0])
                     item.append(j)
@@ -95,14 +95,16 @@ class Index:
             self.pieces[q] = (h, np.array(item, np.int64)[order], np.array(offset, np.int64)[order], seen)
         self.vocabulary = [np.unique(w) for w in self.words]
 
-    def embed(self, x: np.ndarray, repeats: int | None = None) -> np.ndarray:
-        """Keys (repeat, window) of windows (window, word); all repeats walk side by side."""
+    def embed(self, x: np.ndarray, repeats: int) -> np.ndarray:
+        """Keys (repeat, window) of windows (window, word); all repeats walk side by side. Which steps a repeat samples, and
+        how each moves the pointer, follows from seed, repeat and step."""
         count, n = x.shape
-        repeats = self.repeats if repeats is None else repeats
         x = np.concatenate([x, np.zeros((count, 1), U64)], axis=1)  # past the end: a blank
-        at = self.at[n][:repeats]
+        repeat = np.arange(repeats, dtype=U64)[:, None]
+        salt = mix(U64(self.p.seed))
+        at = mix(salt ^ (repeat << U64(8)) ^ np.arange(self.p.samples, dtype=U64)) % U64(3 * n)
         sampled: dict[int, list[int]] = {}
-        for r, row in enumerate(at.tolist()):
+        for r, row in enumerate(np.sort(at.astype(np.int64), axis=1).tolist()):
             for j in row:
                 sampled.setdefault(j, []).append(r)
         pointer = np.zeros((repeats, count), np.int64)
@@ -112,19 +114,22 @@ class Index:
             w = x[rows, pointer]
             for r in sampled.get(j, ()):
                 key[r] = mix(key[r] + w[r] + U64(j))
-            pointer = np.minimum(pointer + ((w * self.odd[:repeats, j, None]) >> U64(63)).astype(np.int64), n)
+            odd = mix(~salt ^ (repeat << U64(32)) ^ U64(j)) | U64(1)
+            pointer = np.minimum(pointer + ((w * odd) >> U64(63)).astype(np.int64), n)
         return key
 
-    def fitted(self, rng: np.random.Generator) -> int:
-        """Repeats after which ``recall`` of simulated passages with the most edits allowed have met their item. The
-        simulated passages are a bounded sample of the benchmark; they set a parameter and decide no match."""
-        met = []
-        with_edits = np.flatnonzero(self.edits > 0)
-        if not len(with_edits):
+    def fitted(self, n: int, own: np.ndarray) -> int:
+        """Repeats after which ``recall`` of simulated passages of items of ``n`` words, with the most edits allowed, have met
+        their item; tried with twice as many until that is reached."""
+        k = int(self.edits[own[0]])
+        if not k:
             return 1
-        for j in rng.choice(with_edits, min(self.p.simulated, 4 * len(with_edits))).tolist():
+        rng = np.random.default_rng([self.p.seed, n])
+        chosen = [int(j) for j in rng.choice(own, self.p.simulated)]
+        passages = []
+        for j in chosen:
             w = self.words[j].tolist()
-            for _ in range(int(self.edits[j])):
+            for _ in range(k):
                 at, kind = int(rng.integers(len(w))), int(rng.integers(3))
                 if kind == 0:
                     w[at] = int(rng.integers(1 << 62))
@@ -132,17 +137,22 @@ class Index:
                     w.insert(at, int(rng.integers(1 << 62)))
                 elif len(w) > 1:
                     del w[at]
-            n = int(self.size[j])
-            w = (w + [int(x) for x in rng.integers(1 << 62, size=n)])[:n]  # the window goes on into the text behind
-            a = self.embed(np.stack([self.words[j], np.array(w, U64)]), self.p.most_repeats)
-            hit = np.flatnonzero(a[:, 0] == a[:, 1])
-            met.append(hit[0] + 1 if len(hit) else self.p.most_repeats)
-        return int(np.quantile(met, self.p.recall, method="higher"))
-
-    def search(self, h: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
-        """(row, item) -> (distance, last word of the passage in its row) for the words of some texts."""
-        first = np.searchsorted(row, np.arange(int(row[-1]) + 2 if len(row) else 1))
-        spans: set[tuple[int, int, int]] = set()
+            passages.append((w + [int(x) for x in rng.integers(1 << 62, size=n)])[:n])  # the window goes on into the text behind
+        repeats = 16
+        while True:
+            a = self.embed(np.stack([self.words[j] for j in chosen]), repeats)
+            b = self.embed(np.array(passages, U64), repeats)
+            met = np.where((a == b).any(axis=0), (a == b).argmax(axis=0) + 1, 1 << 30)
+            found = int(np.quantile(met, self.p.recall, method="higher"))
+            if found <= repeats:
+                return found
+            if repeats >= 1 << 14:
+                raise ValueError(f"items of {n} words with {k} edits don't meet a recall of {self.p.recall} with {repeats} repeats")
+            repeats *= 2
+
+    def places(self, h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, start and row of every place where the pieces allow the item to begin."""
+        found: list[tuple[np.ndarray, ...]] = []
         for q, (piece, item, offset, seen) in self.pieces.items():
             if len(h) < q:
                 continue
@@ -154,8 +164,33 @@ class Index:
                 continue
             g, pos = g[near], whole[near]
             lo, hi = np.searchsorted(piece, g, "left"), np.searchsorted(piece, g, "right")
-            for a, b, p in zip(lo.tolist(), hi.tolist(), pos.tolist()):
-                spans.update((int(item[t]), p - int(offset[t]), int(row[p])) for t in range(a, b))
+            n = hi - lo
+            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            pos = np.repeat(pos, n)
+            found.append((item[at], pos - offset[at], row[pos], offset[at]))
+        if not found:
+            return (np.empty(0, np.int64),) * 3
+        item, start, of, offset = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((start, of, item))
+        item, start, of, offset = item[order], start[order], of[order], offset[order]
+        keep = self.needed[item] == 1
+        # two pieces of one item whose begins are at most k words apart: neighbours in this order, as equal pieces follow
+        # each other by at least a piece's length wherever they don't overlap themselves
+        step = 1
+        while True:
+            same = (item[step:] == item[:-step]) & (of[step:] == of[:-step]) & (start[step:] - start[:-step] <= self.edits[item[step:]])
+            if not same.any():
+                break
+            two = np.flatnonzero(same & (offset[step:] != offset[:-step]))
+            keep[two] = keep[two + step] = True
+            step += 1
+        return item[keep], start[keep], of[keep]
+
+    def search(self, h: np.ndarray, row: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+        """(row, item) -> (distance, last word of the passage in its row) for the words of some texts."""
+        first = np.searchsorted(row, np.arange(int(row[-1]) + 2 if len(row) else 1))
+        item, begin, of = self.places(h, row)
+        spans = sorted({*zip(item.tolist(), begin.tolist(), of.tolist())})
         by_size: dict[int, set] = {}
         for j, start, r in spans:
             n, k = int(self.size[j]), int(self.edits[j])
@@ -170,7 +205,7 @@ class Index:
             end = np.array([first[r + 1] for _, r in place])[:, None]
             x = np.where(at < end, h[np.minimum(at, len(h) - 1)], U64(0))
             own, tables = self.keys[n]
-            for keys, (order, known) in zip(self.embed(x), tables):
+            for keys, (order, known) in zip(self.embed(x, len(tables)), tables):
                 lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                 for i in np.flatnonzero(hi > lo).tolist():
                     pairs.update((place[i][1], int(own[order[t]]), place[i][0]) for t in range(lo[i], hi[i]))
@@ -214,6 +249,7 @@ def blocks(benchmark: DataFrame, p: Search, item: str, text: str) -> Iterator[li
 def matches(docs: DataFrame, benchmark: DataFrame, p: Search = Search(), text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """One row per document and item found in it: doc_id, item_id, distance in words, and the passage's last word."""
     schema = "doc_id long, item_id long, distance long, end_word long"
+    small_batches(docs.sparkSession)
     out = None
     for block in blocks(benchmark, p, item, text):
         if not block:
@@ -249,6 +285,7 @@ def holds(index: Index):
 
 def clean(docs: DataFrame, benchmark: DataFrame, p: Search = Search(), text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents without any item, with their columns as they came. No join: each text is searched where it is read."""
+    small_batches(docs.sparkSession)
     for block in blocks(benchmark, p, item, text):
         if not block:
             continue
