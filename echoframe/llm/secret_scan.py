@@ -1,16 +1,21 @@
 """Secrets: fixed grammars, and a battery of randomness tests for tokens that no grammar names.
 
-A candidate is a long run of encoding characters that mixes digits and letters, padding behind it included. A run that no
-single alphabet holds gives its parts between the characters that don't fit, by either base64 alphabet. Its encoding is
-inferred from its characters (hex, base32, base36, base62, base64), and under "uniform over that alphabet" three tests give p-values: a
-chi-squared test of uniformity (symbols binned so that each bin expects at least two), a Wald-Wolfowitz runs test about
-the middle of the alphabet, and lag-one serial correlation. A token that any test rejects at ``reject`` isn't random.
-Against it stands the null "ordinary text": its class changes (digit, lower, upper) follow a binomial with the rate of
-ordinary words, so the p-value shrinks with length. These p-values go through a Benjamini-Hochberg step over all
-candidates of the text, weighted by token length, at level ``fdr``.
-
-Defined cases: a null or empty text has no spans; repeated rows are each scanned; an empty table gives an empty result;
-columns other than the key and the text are not read.
+A candidate is a long run of encoding characters with digits and letters (names in mixed case have no digits, and change case
+as often as random keys do), padding behind it included. A run that no single alphabet holds gives its parts between the characters that don't fit, by either base64 alphabet. Its
+encoding is inferred from its characters (hex, base32, base36, base62, base64), and under "uniform over that alphabet" three
+tests give p-values: a chi-squared test of uniformity (symbols binned so that each bin expects at least two), a
+Wald-Wolfowitz runs test about the middle of the alphabet, and lag-one serial correlation. A token that any test rejects at
+``REJECT`` isn't random. Against it stands the null "ordinary text": its class changes (digit, lower, upper) follow a
+binomial with the rate of ordinary words, so the p-value shrinks with length, by one exact tail for any length.
+
+These p-values, each divided by its token's length over the mean length, go through one Benjamini-Hochberg step-up over all
+candidates of the corpus at level ``FDR``. A p-value follows from length and number of changes, so the corpus is counted by
+these two; the step-up's cut is the fixed point of t = FDR * (p-values up to t) / (all), met from above, and a round of that
+is one sum over the counts. Only the cut and the mean length come to the driver.
+
+Defined cases: a null or empty text has no spans; repeated rows are each scanned, and each counts in the step-up; equal
+p-values are taken or left together; very long texts and tokens are tested whole; a corpus without candidates takes none; an
+empty table gives an empty result; columns other than the key and the text are not read.
 """
 
 from __future__ import annotations
@@ -18,13 +23,18 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Tables, small_batches
+
 KINDS = ["assign", "access", "hex", "random"]
 _CUE = re.compile(r"(?i:password|passwd|secret|token|api_?key)", re.ASCII)
 _ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
@@ -52,6 +62,8 @@ _INDEX = [(n, {c: i for i, c in enumerate(a)}) for n, a in ENCODINGS]
 ORDINARY_RATE = 0.12
 REJECT = 0.001
 FDR = 0.001
+#: Pairs of length and changes that a task holds before it passes their counts on.
+HELD = 200_000
 
 
 def chi2_tail(x: float, df: int) -> float:
@@ -96,11 +108,47 @@ def kind_of(c: str) -> int:
     return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
 
 
-def ordinary_p(token: str) -> float:
-    """Probability that an ordinary token of this length changes class so often."""
-    n = len(token) - 1
-    seen = sum(kind_of(a) != kind_of(b) for a, b in zip(token, token[1:]))
-    return sum(math.comb(n, k) * ORDINARY_RATE**k * (1 - ORDINARY_RATE) ** (n - k) for k in range(seen, n + 1)) if n < 400 else float(seen < 2 * n * ORDINARY_RATE)
+def changes(token: str) -> int:
+    kinds = list(map(kind_of, token))
+    return sum(a != b for a, b in zip(kinds, kinds[1:]))
+
+
+def beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function, by its continued fraction (modified Lentz)."""
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_share(1 - x, b, a)
+    log_front = a * math.log(x) + b * math.log1p(-x) - math.log(a) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    f, m = d, 0
+    while True:
+        m += 1
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 / (1 + top * d), 1 + top / c
+            f *= c * d
+        if abs(c * d - 1) < 1e-15 or m > 10_000:
+            return math.exp(log_front) * f
+
+
+@lru_cache(maxsize=100_000)
+def ordinary_p(size: int, seen: int) -> float:
+    """Probability that an ordinary token of this length changes class so often: a binomial tail."""
+    n = size - 1
+    return 1.0 if seen <= 0 else ORDINARY_RATE**n if seen >= n else beta_share(ORDINARY_RATE, seen, n - seen + 1)
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The step-up's result: p-values up to ``p`` pass, after their division by length over ``mean``."""
+
+    p: float
+    mean: float
+
+    def passes(self, size: int, seen: int) -> bool:
+        return weighted_p(size, seen, self.mean) <= self.p
+
+
+def weighted_p(size: int, seen: int, mean: float) -> float:
+    return min(1.0, ordinary_p(size, seen) * mean / size)
 
 
 def candidates(t: str) -> list[tuple[int, int]]:
@@ -114,7 +162,7 @@ def candidates(t: str) -> list[tuple[int, int]]:
             found += sorted({(m.start() + x.start(), m.start() + x.end()) for p in _PARTS for x in p.finditer(c) if x.end() - x.start() >= LEAST})
         else:
             found.append((m.start(), m.end()))
-    return [(s, e) for s, e in found if len({kind_of(c) for c in t[s:e]} & {0, 1, 2}) > 1 and sum(c.isdigit() for c in t[s:e]) > 2]
+    return [(s, e) for s, e in found if (kinds := set(map(kind_of, t[s:e]))) & {0} and kinds & {1, 2}]
 
 
 def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -128,15 +176,56 @@ def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def random_tokens(t: str) -> list[tuple[int, int]]:
-    """Spans of tokens that pass the battery and the weighted step-up over the text's candidates."""
-    found = candidates(t)
-    if not found:
-        return []
-    mean = sum(e - s for s, e in found) / len(found)
-    tested = sorted((min(1.0, ordinary_p(t[s:e]) * mean / (e - s)), s, e) for s, e in found)
-    cut = max((i for i, (p, _, _) in enumerate(tested, 1) if p <= FDR * i / len(tested)), default=0)
-    return joined([(s, e) for _, s, e in tested[:cut] if (b := battery(t[s:e])) and min(b[1:]) >= REJECT])
+def step_up(counts: DataFrame, fdr: float = FDR) -> Cut:
+    """The cut of the step-up over rows (size, seen, n): ``n`` candidates of that length with so many changes."""
+    total, chars = counts.agg(F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
+    if not total:
+        return Cut(0.0, 1.0)
+    mean = chars / total
+
+    @F.arrow_udf("double")
+    def p_of(size: pa.Array, seen: pa.Array) -> pa.Array:
+        return pa.array([weighted_p(a, b, mean) for a, b in zip(size.to_pylist(), seen.to_pylist())], pa.float64())
+
+    with Tables(counts.sparkSession, "secrets") as tables:
+        by_p = tables.put(counts.select(p_of("size", "seen").alias("p"), "n"), "p-values")
+        cut = fdr
+        while True:
+            below = by_p.where(F.col("p") <= cut).agg(F.sum("n")).first()[0] or 0
+            if fdr * below / total >= cut:
+                return Cut(cut, mean)
+            cut = fdr * below / total
+            if not below:
+                return Cut(0.0, mean)
+
+
+def corpus_cut(docs: DataFrame, text: str = "text") -> Cut:
+    """The cut of the step-up over all candidates of all texts. Tasks count by length and changes before anything moves."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Counter[tuple[int, int]] = Counter()
+
+        def out() -> pa.RecordBatch:
+            rows = [(a, b, n) for (a, b), n in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else [[]] * 3)], ["size", "seen", "n"])
+
+        for b in batches:
+            for v in b.column(0):
+                t = v.as_py() or ""
+                held.update((e - s, changes(t[s:e])) for s, e in candidates(t))
+            if len(held) > HELD:
+                yield out()
+        yield out()
+
+    small_batches(docs.sparkSession)
+    with Tables(docs.sparkSession, "secrets") as tables:
+        return step_up(tables.put(docs.select(F.col(text)).mapInArrow(count, "size long, seen long, n long").groupBy("size", "seen").agg(F.sum("n").alias("n")), "candidates"))
+
+
+def random_tokens(t: str, cut: Cut) -> list[tuple[int, int]]:
+    """Spans of tokens that pass the step-up and the battery."""
+    return joined([(s, e) for s, e in candidates(t) if cut.passes(e - s, changes(t[s:e])) and (b := battery(t[s:e])) and min(b[1:]) >= REJECT])
 
 
 def base_spans(t: str) -> list[tuple[str, int, int]]:
@@ -146,10 +235,16 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in _HEX.finditer(t)]
 
 
-def find(t: str) -> list[tuple[str, int, int]]:
-    """All spans (code points), by start, then kind as listed. A random token inside a fixed span isn't told again."""
+def find(t: str, cut: Cut) -> list[tuple[str, int, int]]:
+    """All spans (code points), by start, then kind as listed. A random token that meets a fixed span isn't told again."""
     base = base_spans(t)
-    more = [("random", s, e) for s, e in random_tokens(t) if not any(a < e and s < b for _, a, b in base)]
+    taken = joined([(s, e) for _, s, e in base])
+    ends = [e for _, e in taken]
+    more = []
+    for s, e in random_tokens(t, cut):
+        k = bisect_right(ends, s)  # the first fixed part that ends behind the token's start
+        if k == len(taken) or taken[k][0] >= e:
+            more.append(("random", s, e))
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
@@ -158,12 +253,13 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: counts, a digest of the fixed grammars' spans, and all spans."""
+    cut = corpus_cut(docs, text)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1)):
-                found = find(t.as_py() or "")
+                found = find(t.as_py() or "", cut)
                 base = ",".join(f"{a}:{s}:{e}" for a, s, e in found if a != "random")
                 n = [sum(f[0] == kind for f in found) for kind in KINDS]
                 rows.append((k, *n[:3], hashlib.sha256(base.encode()).hexdigest(), ",".join(f"{a}:{s}:{e}" for a, s, e in found), n[3]))
@@ -173,10 +269,10 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
     return docs.select(F.col(key), F.col(text)).mapInArrow(scan, SCHEMA)
 
 
-def redact(t: str) -> str:
+def redact(t: str, cut: Cut) -> str:
     """The text with ``[secret]`` in place of each span, overlapping ones together."""
     out, done = [], 0
-    for _, s, e in find(t):
+    for _, s, e in find(t, cut):
         if s >= done:
             out += [t[done:s], "[secret]"]
         done = max(done, e)
@@ -185,9 +281,10 @@ def redact(t: str) -> str:
 
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with secrets replaced in ``text``; null stays null and every document is kept."""
+    cut = corpus_cut(docs, text)
 
     @F.arrow_udf("string")
     def swap(x: pa.Array) -> pa.Array:
-        return pa.array((None if (t := v.as_py()) is None else redact(t) for v in x), pa.string())
+        return pa.array((None if (t := v.as_py()) is None else redact(t, cut) for v in x), pa.string())
 
     return docs.withColumn(text, swap(F.col(text)))
