@@ -16,10 +16,14 @@ import base64
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import slices
+from .scratch import small_batches
+
 LEAF = 4096
 WINDOW = 32
 
@@ -92,18 +96,21 @@ def encoded(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
         tree = Tree(enc.encode_ordinary)
         names = [str(i) for i in range(enc.n_vocab)]
         for b in batches:
-            n, sha, back, out = [], [], [], []
-            for v in b.column(1):
-                got = tree.encode(v.as_py() or "")
-                n.append(len(got))
-                sha.append(hashlib.sha256(",".join([names[i] for i in got]).encode()).hexdigest())
-                back.append(hashlib.sha256(tree.decode(got, enc.decode_bytes)).hexdigest())
+            for s in slices(b, "text", 1 << 20):
+                n, sha, back, out = [], [], [], []
+                for v in s.column("text"):
+                    got = tree.encode(v.as_py() or "")
+                    n.append(len(got))
+                    sha.append(hashlib.sha256(",".join([names[i] for i in got]).encode()).hexdigest())
+                    back.append(hashlib.sha256(tree.decode(got, enc.decode_bytes)).hexdigest())
+                    if ids:
+                        out.append(np.array(got, np.int32))
+                columns = [s.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
                 if ids:
-                    out.append(got)
-            columns = [b.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
-            if ids:
-                columns.append(pa.array(out, pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
+                    bounds = np.append(0, np.cumsum(n)).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(out))))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
