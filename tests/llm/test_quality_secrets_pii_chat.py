@@ -1,11 +1,17 @@
 import hashlib
+import math
 import random
 import re
+import time
+from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from echoframe.llm import chat, pii, quality_rules, secret_scan
 
+#: The cut of a corpus in which one candidate in a thousand is a secret.
+CUT = secret_scan.Cut(1e-6, 30.0)
 W = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -49,11 +55,88 @@ def test_random_tokens_behind_names_and_in_paths():
     key = "Zk3x9QmR7bLw2TfVuY8sPdHc4NaJ6eGi"
     for t in (f"SIGNING_KEY={key}", f"a https://h.example/x?sig={key}&n=1", f"see path/with-dash/{key} there", f"some_name-x/{key}", f"K={key}==", f"k={key}"):
         at = t.index(key)
-        got = [(s, e) for k, s, e in secret_scan.find(t) if k == "random"]
+        got = [(s, e) for k, s, e in secret_scan.find(t, CUT) if k == "random"]
         assert len(got) == 1 and got[0][0] <= at and got[0][1] >= at + len(key), t
-        assert key not in secret_scan.redact(t) and "[secret]" in secret_scan.redact(t)
-    assert secret_scan.redact(f"SIGNING_KEY={key}") == "SIGNING_KEY=[secret]" and secret_scan.redact(f"K={key}==") == "K=[secret]"
-    assert secret_scan.find("the/usual-path/to_some/2024-report/with-many_words/inside-it/2023") == []
+        assert key not in secret_scan.redact(t, CUT) and "[secret]" in secret_scan.redact(t, CUT)
+    assert secret_scan.redact(f"SIGNING_KEY={key}", CUT) == "SIGNING_KEY=[secret]" and secret_scan.redact(f"K={key}==", CUT) == "K=[secret]"
+    assert secret_scan.find("the/usual-path/to_some/2024-report/with-many_words/inside-it/2023", CUT) == []
+
+
+def test_tail_is_the_binomial_at_every_length():
+    q = secret_scan.ORDINARY_RATE
+    for size in (2, 5, 20, 33, 120, 399, 400, 401, 900):
+        for seen in {0, 1, size // 9, size // 8, size // 3, size - 2, size - 1}:
+            n = size - 1
+            want = sum(Fraction(math.comb(n, k)) * Fraction(q) ** k * (1 - Fraction(q)) ** (n - k) for k in range(seen, n + 1)) if seen > 0 else 1
+            assert math.isclose(secret_scan.ordinary_p(size, seen), want, rel_tol=1e-9, abs_tol=1e-300), (size, seen)
+
+
+def test_battery_by_plain_formulas():
+    rng = random.Random(11)
+    for name, alphabet in secret_scan.ENCODINGS:
+        for n in (20, 33, 64):
+            token = "".join(rng.choice(alphabet) for _ in range(n))
+            got, chi, runs, serial = secret_scan.battery(token)
+            size = dict(secret_scan.ENCODINGS)[got]
+            x = [size.index(c) for c in token]
+            bins = max(2, min(len(size), n // 2))
+            want = [sum(v * bins // len(size) == b for v in range(len(size))) * n / len(size) for b in range(bins)]
+            seen = [sum(v * bins // len(size) == b for v in x) for b in range(bins)]
+            assert math.isclose(chi, secret_scan.chi2_tail(sum((s - w) ** 2 / w for s, w in zip(seen, want)), bins - 1), rel_tol=1e-9)
+            up = "".join("1" if v >= len(size) / 2 else "0" for v in x)
+            a, b = up.count("1"), up.count("0")
+            mean = 2 * a * b / n + 1
+            z = (len(re.findall("1+|0+", up)) - mean) / math.sqrt((mean - 1) * (mean - 2) / (n - 1))
+            assert math.isclose(runs, math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-9)
+            mid = sum(x) / n
+            r = sum((x[i] - mid) * (x[i + 1] - mid) for i in range(n - 1)) / sum((v - mid) ** 2 for v in x)
+            assert math.isclose(serial, math.erfc(abs(r) * math.sqrt(n / 2)), rel_tol=1e-9)
+    assert secret_scan.battery("a" * 40)[2] == 0 and secret_scan.battery("ab+_" * 10) is None
+
+
+def plain_cut(texts):
+    """The step-up by sorting all p-values; the largest that passes."""
+    found = [(e - s, secret_scan.changes(t[s:e])) for t in texts for s, e in secret_scan.candidates(t or "")]
+    mean = sum(n for n, _ in found) / len(found) if found else 1.0
+    p = sorted(secret_scan.weighted_p(n, k, mean) for n, k in found)
+    return max((x for i, x in enumerate(p, 1) if x <= secret_scan.FDR * i / len(p)), default=-1.0), mean
+
+
+def test_step_up_over_the_corpus(spark):
+    rng = random.Random(12)
+    alphabet = secret_scan.ENCODINGS[5][1]
+    words = ["internationalisation2024", "configuration_manager_v12", "getElementsByTagNameOf", "sha256ofthewholedirectory"]
+    texts = [None, ""] + [" ".join(rng.choice(words) for _ in range(5)) for _ in range(80)] + ["key " + "".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) for _ in range(40)]
+    cut, (p, mean) = secret_scan.corpus_cut(docs_of(spark, texts * 2)), plain_cut(texts * 2)
+    assert math.isclose(cut.mean, mean)
+    pairs = {(e - s, secret_scan.changes(t[s:e])) for t in texts if t for s, e in secret_scan.candidates(t)}
+    assert {x for x in pairs if cut.passes(*x)} == {x for x in pairs if secret_scan.weighted_p(*x, mean) <= p} and 0 < len(pairs)
+    assert secret_scan.corpus_cut(docs_of(spark, [None, "", "no candidates"])).p == 0
+    hit = [any(k == "random" for k, _, _ in secret_scan.find(t or "", cut)) for t in texts]
+    assert not any(hit[:82]) and sum(hit[82:]) >= 36
+
+
+def test_keys_without_many_digits_are_found():
+    """Shares of random base64 keys that are found; what a short key can show is bounded by the corpus's cut."""
+    rng = random.Random(13)
+    for p, shares in ((1e-6, (0.77, 0.94, 0.98)), (1e-4, (0.92, 0.96, 0.98))):
+        for n, least in zip((24, 32, 40), shares):
+            keys = ["".join(rng.choice(secret_scan.ENCODINGS[6][1]) for _ in range(n)) for _ in range(400)]
+            assert sum(bool(secret_scan.random_tokens(k, secret_scan.Cut(p, 30.0))) for k in keys) >= least * len(keys), (p, n)
+
+
+def test_secret_scan_cases(spark):
+    long = "word " * 50_000 + "AKIA" + "Q" * 16 + " " + "0123456789abcdef" * 4000
+    rows = [(1, None, 0), (1, long, 1), (None, "hex 0123456789abcdef0", 2), (2, "password=abcdef123456", 3), (2, "password=abcdef123456", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans long").withColumn("n_hex", F.lit("x"))
+    got = sorted(((r.doc_id or 0), r.n_assign, r.n_access, r.n_hex) for r in secret_scan.spans(df).collect())
+    assert got == [(0, 0, 0, 1), (1, 0, 0, 0), (1, 0, 1, 1), (2, 1, 0, 0), (2, 1, 0, 0)]
+    assert secret_scan.spans(df.limit(0)).count() == 0 and secret_scan.redacted(df.limit(0)).count() == 0
+    out = secret_scan.redacted(df)
+    assert out.columns == df.columns and out.count() == 5 and out.where("n_hex = 'x'").count() == 5
+    many = " ".join(f"password=abcdef{i:06d}" for i in range(40_000))
+    began = time.time()
+    assert len(secret_scan.find(many, CUT)) == 40_000 and time.time() - began < 20
 
 
 PII_BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -101,10 +184,10 @@ def test_secret_grammars_and_randomness(spark):
     bits = ["password", "Token", "api_key", "=", ": ", '"', "'", "abc123abc123", "AKIA", "ABCDEFGHIJKLMN", "0123456789abcdef", "f", " ", "\n", "é", "="]
     for _ in range(20000):
         t = "".join(rng.choice(bits) for _ in range(rng.randrange(9)))
-        assert [x for x in secret_scan.find(t) if x[0] != "random"] == secrets_plain(t), repr(t)
+        assert [x for x in secret_scan.find(t, CUT) if x[0] != "random"] == secrets_plain(t), repr(t)
     alphabet = secret_scan.ENCODINGS[5][1]
-    found = sum(bool(secret_scan.random_tokens("key " + "".join(rng.choice(alphabet) for _ in range(40)))) for _ in range(200))
-    plain = sum(bool(secret_scan.random_tokens(" ".join(rng.choice(["internationalisation2024", "configuration_manager_v12", "http_request_handler_001"]) for _ in range(5)))) for _ in range(200))
+    found = sum(bool(secret_scan.random_tokens("key " + "".join(rng.choice(alphabet) for _ in range(40)), CUT)) for _ in range(200))
+    plain = sum(bool(secret_scan.random_tokens(" ".join(rng.choice(["internationalisation2024", "configuration_manager_v12", "http_request_handler_001"]) for _ in range(5)), CUT)) for _ in range(200))
     assert found > 180 and plain == 0
     df = docs_of(spark, [None, "", "password=abcdef123456", "clean words only"])
     assert [r.n_assign for r in secret_scan.spans(df).orderBy("doc_id").collect()] == [0, 0, 1, 0]
