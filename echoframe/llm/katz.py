@@ -49,7 +49,7 @@ HELD_TOKENS = 1_500_000
 HELD_DOCS = 2_000_000
 #: Frequent words and pairs are those with a share of one in so many tokens, so there are no more of them than that: four
 #: times the number of buckets, within these bounds. What is sent to all tasks is at most 2**20 hashes with counts.
-FREQUENT = (4096, 1 << 20)
+FREQUENT = (256, 1 << 20)
 
 
 def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,8 +230,8 @@ def discounted(c: np.ndarray, discount: tuple[np.ndarray, float]) -> np.ndarray:
 
 
 STATS = "kind int, r long, n long"
-PARTS = "kind int, file int, dest int, grp long, x1 binary, x2 binary, x3 binary, x4 binary"
-P_KINDS = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+PARTS = "kind int, dest int, grp long, x1 binary, x2 binary, x3 binary, x4 binary"
+P_KINDS = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -240,7 +240,7 @@ def table_of(rows: list[tuple], kinds: list, schema: str) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in schema.split(", ")])
 
 
-def by_group(doc: np.ndarray, file: int, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> list[tuple]:
+def by_group(doc: np.ndarray, known: np.ndarray, base: np.ndarray, score: np.ndarray) -> list[tuple]:
     """Rows of kind 0 for ascending documents, one for each group."""
     if not len(doc):
         return []
@@ -248,7 +248,7 @@ def by_group(doc: np.ndarray, file: int, known: np.ndarray, base: np.ndarray, sc
     rows = []
     for a, b in zip(cuts, cuts[1:]):
         at, n = doc[a:b] & 0xFFFFFFFF, known[a:b]
-        rows.append((0, file, -1, int(doc[a] >> 32), narrow(at, int(at[-1]) + 1), narrow(n, int(n.max()) + 1), base[a:b].astype(np.float64).tobytes(), score[a:b].astype(np.float64).tobytes()))
+        rows.append((0, -1, int(doc[a] >> 32), narrow(at, int(at[-1]) + 1), narrow(n, int(n.max()) + 1), base[a:b].astype(np.float64).tobytes(), score[a:b].astype(np.float64).tobytes()))
     return rows
 
 
@@ -262,12 +262,12 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of kind 0 of one task added up by document; others pass."""
     sums: dict[int, list[np.ndarray]] = {}
     names = [x.split()[0] for x in PARTS.split(", ")]
-    file = size = 0
+    size = 0
 
     def out() -> Iterator[pa.RecordBatch]:
         for grp, (seen, known, base, score) in sums.items():
             at = np.flatnonzero(seen)
-            for row in by_group((grp << 32) | at, file, known[at], base[at], score[at]):
+            for row in by_group((grp << 32) | at, known[at], base[at], score[at]):
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, P_KINDS)], names)
         sums.clear()
 
@@ -276,7 +276,7 @@ def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (kind > 0).any():
             yield b.filter(pa.array(kind > 0))
         for i in np.flatnonzero(kind == 0).tolist():
-            grp, file = b.column("grp")[i].as_py(), b.column("file")[i].as_py()
+            grp = b.column("grp")[i].as_py()
             x = parts_of(*(b.column(c)[i].as_buffer() for c in ("x1", "x2", "x3", "x4")))
             top = int(x[0][-1]) + 1
             have = sums.setdefault(grp, [np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0), np.zeros(0)])
@@ -308,7 +308,7 @@ def answers(v: np.ndarray, weight: np.ndarray, ask: np.ndarray, doc: np.ndarray,
     met, at = among(v, ask)
     got = np.where(met, weight[at], 0.0) * n if len(v) else np.zeros(len(ask))
     doc, back = np.unique(doc, return_inverse=True)
-    return by_group(doc, 0, np.zeros(len(doc), np.int64), np.zeros(len(doc)), np.bincount(back, got))
+    return by_group(doc, np.zeros(len(doc), np.int64), np.zeros(len(doc)), np.bincount(back, got))
 
 
 def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
@@ -372,7 +372,7 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
             doc, at = np.unique(b.doc, return_inverse=True)
             known = np.bincount(at, (c > 0)[b.word_at]).astype(np.int64)
             base = np.bincount(at, np.log10((c + 0.5) / floor)[b.word_at])
-            out = by_group(doc, int(ids[0]), known, base, np.bincount(at, score))
+            out = by_group(doc, known, base, np.bincount(at, score))
             # shares of alpha by context: those of frequent contexts in rows of their own
             kind = np.flatnonzero(pair_count > 0)
             first = b.pair_first[kind]
@@ -383,9 +383,9 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
             to = (mix(v ^ U64(77)) >> U64(33)) % U64(n_buckets)
             for i in np.unique(to[~apart]).tolist():
                 mine = (to == i) & ~apart
-                out.append((1, int(ids[i % files]), i, 0, v[mine].tobytes(), left[mine].tobytes(), lower[mine].tobytes(), None))
+                out.append((1, i, 0, v[mine].tobytes(), left[mine].tobytes(), lower[mine].tobytes(), None))
             if apart.any():
-                out.append((4, int(ids[0]), -1, 0, v[apart].tobytes(), left[apart].tobytes(), lower[apart].tobytes(), None))
+                out.append((4, -1, 0, v[apart].tobytes(), left[apart].tobytes(), lower[apart].tobytes(), None))
             # unseen pairs ask for their context's alpha; a context that several tokens of a document ask for goes once
             ask = np.flatnonzero(~seen)
             if len(ask):
@@ -399,15 +399,15 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
                 to = (mix(v ^ U64(77)) >> U64(33)) % U64(n_buckets)
                 for i in np.unique(to[~apart]).tolist():
                     mine = (to == i) & ~apart
-                    out.append((2, int(ids[i % files]), i, 0, v[mine].tobytes(), doc[mine].tobytes(), n[mine].tobytes(), None))
+                    out.append((2, i, 0, v[mine].tobytes(), doc[mine].tobytes(), n[mine].tobytes(), None))
                 if apart.any():
-                    out.append((3, int(ids[0]), -1, 0, v[apart].tobytes(), doc[apart].tobytes(), n[apart].tobytes(), None))
+                    out.append((3, -1, 0, v[apart].tobytes(), doc[apart].tobytes(), n[apart].tobytes(), None))
             return table_of(out, P_KINDS, PARTS)
 
         shares = rows.groupBy("file", "bucket").applyInArrow(parts, PARTS)
         if n_buckets > files:  # else a task has one part of a document already
             shares = shares.mapInArrow(added, PARTS)
-        moved = bucketed(shares, files, "file")
+        moved = tables.put(shares, "parts", by="kind")
         spark.sql(f"DROP TABLE {tokens}")
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +416,7 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
                 v, back = np.unique(v, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.bincount(back, left, len(v))), pa.array(np.bincount(back, lower, len(v)))], ["v", "left", "lower"])
 
-        at_once = spark.table(moved).where("kind = 4").select("x1", "x2", "x3").mapInArrow(spread, "v long, left double, lower double").groupBy("v").agg(F.sum("left"), F.sum("lower")).collect()
+        at_once = moved.where("kind = 4").select("x1", "x2", "x3").mapInArrow(spread, "v long, left double, lower double").groupBy("v").agg(F.sum("left"), F.sum("lower")).collect()
         at_once = sorted((np.int64(r[0]).view(U64), r[1], r[2]) for r in at_once)  # as many as there are frequent contexts
         hot_contexts = np.array([x[0] for x in at_once], U64)
         hot_weights = log_weight(np.array([x[1] for x in at_once]), np.array([x[2] for x in at_once]))
@@ -435,11 +435,10 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
                 rows = answers(hot_contexts, hot_weights, joined(b.column("x1"), U64), joined(b.column("x2"), np.int64), joined(b.column("x3"), np.uint32))
                 yield from table_of(rows, P_KINDS, PARTS).to_batches()
 
-        table = spark.table(moved)
         columns = ["grp", "x1", "x2", "x3", "x4"]
-        more = table.where("kind in (1, 2)").groupBy("file", "dest").applyInArrow(backed_off, PARTS)
-        hot = table.where("kind = 3").mapInArrow(at_hot, PARTS)
-        same = table.where("kind = 0").select(columns).unionByName(more.select(columns)).unionByName(hot.select(columns))
+        more = moved.where("kind in (1, 2)").groupBy("dest").applyInArrow(backed_off, PARTS)
+        hot = moved.where("kind = 3").mapInArrow(at_hot, PARTS)
+        same = moved.where("kind = 0").select(columns).unionByName(more.select(columns)).unionByName(hot.select(columns))
         everything = same.unionByName(meta, allowMissingColumns=True)
 
         def summed(t: pa.Table) -> pa.Table:
@@ -468,5 +467,4 @@ def scored(docs: DataFrame, held_out: str = "held_out") -> DataFrame:
             )
 
         out = tables.keep(tables.put(everything.groupBy("grp").applyInArrow(summed, SCORES), "scores"))
-        spark.sql(f"DROP TABLE {moved}")
     return out

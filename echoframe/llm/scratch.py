@@ -43,8 +43,10 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
-    df.write.option("compression", "zstd").parquet(path)
+def saved(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table; with ``by``, a folder for each value of that column."""
+    w = df.write.option("compression", "zstd")
+    (w.partitionBy(by) if by else w).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,9 +63,9 @@ class Tables:
         self.spark, self.name = spark, name
         self.open: list[tuple[DataFrame, str]] = []
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
+    def put(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         path = new_path(self.spark, f"{self.name}-{name}")
-        out = saved(df, path)
+        out = saved(df, path, by)
         self.open.append((out, path))
         return out
 
