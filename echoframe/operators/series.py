@@ -1,14 +1,23 @@
 """Operators over ordered series: one partition column, one order column, a tie-break.
 
-Greedy merges are cut into islands first: a gap of at least the refractory time starts a new group whatever came before,
-so each island can be folded alone, and no fold ever holds a whole recording.
+Greedy merges are cut into islands first: a gap of at least the refractory time starts a new group whatever came before, so
+islands are dealt to tasks on their own. Where an island begins is found in buckets of time: neighbours within a bucket by a
+window over it, and neighbours across buckets by a window over one row a bucket. Within its task an island is read as a
+sorted stream with one open group, so a dense recording takes time in proportion and constant memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A bucket of time is so many gaps wide.
+BUCKET_GAPS = 1024
+
 
 def by(part: list[str] | str, *order: str) -> Window:
     return Window.partitionBy(*([part] if isinstance(part, str) else part)).orderBy(*order)
@@ -42,11 +51,33 @@ def local_peaks(df: DataFrame, value: str, part: list[str], order: list[str], th
     return df.where((x > threshold) & (x > F.col("_p")) & (x > F.col("_n"))).drop("_p", "_n")
 
 
-def islands(df: DataFrame, t: str, part: list[str], order: list[str], gap: float, out: str = "island") -> DataFrame:
-    """Numbers runs of rows whose gaps are below ``gap``."""
-    w = by(part, *order)
-    new = F.coalesce((F.col(t) - F.lag(t).over(w) >= gap).cast("int"), F.lit(1))
-    return df.withColumn("_new", new).withColumn(out, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def islands(df: DataFrame, t: str, part: list[str], order: list[str], gap: float, out: str = "island", first: str = "_first") -> DataFrame:
+    """Adds ``out``, the time at which a row's run of rows with gaps below ``gap`` begins, and whether it is the run's first.
+    Rows without a time go."""
+    rows = df.withColumn("_b", F.floor(F.col(t) / (gap * BUCKET_GAPS)))
+    w = by([*part, "_b"], *order)
+    rows = rows.withColumn("_before", F.lag(t).over(w))
+    inner = F.when(F.col(t) - F.col("_before") >= gap, F.col(t))
+    # one row a bucket: its first and last times, and the begin of its last run that begins within it
+    ends = rows.groupBy(*part, "_b").agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.max(inner).alias("_last"))
+    u = by(part, "_b")
+    ends = ends.withColumn("_new", F.coalesce(F.col("_lo") - F.lag("_hi").over(u) >= gap, F.lit(True)))
+    ends = ends.withColumn("_last", F.coalesce("_last", F.when(F.col("_new"), F.col("_lo"))))
+    ends = ends.withColumn("_open", F.when(F.col("_new"), F.col("_lo")).otherwise(F.last("_last", ignorenulls=True).over(u.rowsBetween(Window.unboundedPreceding, -1))))
+    rows = rows.join(ends.select(*part, "_b", "_new", "_open"), [*part, "_b"])
+    w = by([*part, "_b"], *order)
+    begins = F.coalesce(F.col(t) - F.col("_before") >= gap, F.col("_new"))
+    rows = rows.withColumn(first, begins)
+    rows = rows.withColumn(out, F.coalesce(F.last(F.when(F.col(first), F.col(t)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.col("_open")))
+    return rows.select(*df.columns, out, first)
+
+
+def by_island(df: DataFrame, t: str, part: list[str], order: list[str], gap: float, keep, also: dict[str, Column]) -> DataFrame:
+    """Rows of ``df`` that ``keep`` leaves: it gets each task's islands as sorted record batches with the columns of ``df``,
+    ``also``, and ``_first`` at an island's first row."""
+    cut = islands(df, t, part, order, gap, "_island").withColumns(also)
+    dealt = cut.repartition(*part, "_island").sortWithinPartitions(*part, "_island", *order)
+    return dealt.drop("_island").mapInArrow(keep, df.schema)
 
 
 def refractory(df: DataFrame, t: str, score: str, part: list[str], order: list[str], period: float) -> DataFrame:
@@ -54,29 +85,65 @@ def refractory(df: DataFrame, t: str, score: str, part: list[str], order: list[s
 
     The anchor doesn't move, so this isn't a session: 0, 8, 12, 30 with a period of 10 are three groups.
     """
-    row = F.struct(F.col(t).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(score).alias("s"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    kept = "array<" + df.select(F.struct(F.col(t).alias("anchor"), F.col(score).alias("s"), F.struct(*[F.col(c) for c in df.columns]).alias("row")).alias("k")).schema["k"].dataType.simpleString() + ">"
-
-    def fold(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        fresh = F.struct(x["t"].alias("anchor"), x["s"].alias("s"), x["row"].alias("row"))
-        better = F.struct(last["anchor"].alias("anchor"), F.greatest(x["s"], last["s"]).alias("s"), F.when(x["s"] > last["s"], x["row"]).otherwise(last["row"]).alias("row"))
-        inside = (F.size(acc) > 0) & (x["t"] - last["anchor"] < period)
-        return F.when(inside, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(better))).otherwise(F.concat(acc, F.array(fresh)))
-
-    cut = islands(df, t, part, order, period, "_island")
-    groups = cut.groupBy(*part, "_island").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return groups.select(F.explode(F.aggregate("_rows", F.array().cast(kept), fold)).alias("_k")).select("_k.row.*")
+    names = df.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anchor = best = None
+        held: pa.RecordBatch | None = None  # the open group's best row, if it came in an earlier batch
+        for b in batches:
+            taken, open_at = [], None
+            for i, (x, s, new) in enumerate(zip(*(b.column(c).to_pylist() for c in ("_t", "_s", "_first")))):
+                if anchor is None or new or x - anchor >= period:
+                    if held is not None:
+                        yield held
+                    elif open_at is not None:
+                        taken.append(open_at)
+                    anchor, best, open_at, held = x, s, i, None
+                elif s is not None and (best is None or s > best):
+                    best, open_at, held = s, i, None
+            b = b.select(names)
+            if taken:
+                yield b.take(pa.array(taken))
+            if open_at is not None:
+                held = b.slice(open_at, 1)
+        if held is not None:
+            yield held
+
+    return by_island(df, t, part, order, period, keep, {"_t": F.col(t), "_s": F.col(score)})
 
 
 def suppressed(df: DataFrame, t: str, score: str, part: list[str], order: list[str], width: float) -> DataFrame:
-    """Non-maximum suppression: by falling score, a row stays unless one that stays is nearer than ``width``."""
-    cut = islands(df, t, part, order, width, "_island")
-    row = F.struct((-F.col(score)).alias("s"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.col(t).alias("t"), F.struct(*[F.col(c) for c in df.columns]).alias("row"))
-    kept = "array<" + df.select(F.struct(F.col(t).alias("t"), F.struct(*[F.col(c) for c in df.columns]).alias("row")).alias("k")).schema["k"].dataType.simpleString() + ">"
-    fold = lambda acc, x: F.when(F.exists(acc, lambda k: F.abs(k["t"] - x["t"]) < width), acc).otherwise(F.concat(acc, F.array(F.struct(x["t"].alias("t"), x["row"].alias("row")))))
-    groups = cut.groupBy(*part, "_island").agg(F.sort_array(F.collect_list(row)).alias("_rows"))
-    return groups.select(F.explode(F.aggregate("_rows", F.array().cast(kept), fold)).alias("_k")).select("_k.row.*")
+    """Non-maximum suppression: by falling score, a row stays unless one that stays is nearer than ``width``.
+
+    A row that stays rules out its surroundings, a slice of the sorted times; rows that stay are ``width`` apart, so no row
+    is ruled out more than a few times. A task holds one island at a time.
+    """
+    names = df.columns
+
+    def stays(x: pa.Table) -> pa.Table:
+        at, score = (v.astype(float) if v.dtype == object else v for v in (x.column("_t").to_numpy(), x.column("_s").to_numpy()))  # decimals
+        out, kept = np.zeros(len(at), bool), np.zeros(len(at), bool)
+        lo, hi = np.searchsorted(at, at - width, "right"), np.searchsorted(at, at + width, "left")
+        for i in np.argsort(-score, kind="stable").tolist():
+            if not out[i]:
+                kept[i] = True
+                out[lo[i] : max(hi[i], i + 1)] = True
+        return x.select(names).filter(pa.array(kept))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            cuts = np.flatnonzero(b.column("_first").to_numpy(zero_copy_only=False)).tolist()
+            for a, z in zip([0, *cuts], [*cuts, b.num_rows]):
+                if a in cuts and held:
+                    yield from stays(pa.Table.from_batches(held)).to_batches()
+                    held = []
+                if z > a:
+                    held.append(b.slice(a, z - a))
+        if held:
+            yield from stays(pa.Table.from_batches(held)).to_batches()
+
+    return by_island(df, t, part, order, width, keep, {"_t": F.col(t), "_s": F.col(score)})
 
 
 def threshold_runs(df: DataFrame, value: str, part: list[str], order: list[str], threshold: float) -> DataFrame:
@@ -105,19 +172,32 @@ def chunk_ranges(df: DataFrame, length: str, chunk: int, overlap: int) -> DataFr
 def spaced_peaks(df: DataFrame, value: str, part: list[str], order: list[str], threshold: float, min_distance: int) -> DataFrame:
     """Largest row of each run above the threshold; after a run's end, ``min_distance`` more rows are left out, so a run that
     begins among them is cut. Columns of ``part`` and peak_pos, v."""
-    df = df.withColumn("pos", F.row_number().over(by(part, *order)) - 1)
-    above = islands(df.where(F.col(value) > threshold), "pos", part, ["pos"], min_distance + 1, "_island")
-    runs = above.groupBy(*part, "_island").agg(F.sort_array(F.collect_list(F.struct("pos", F.col(value).alias("v")))).alias("_rows"))
-    run = lambda pos, v, last: F.struct(pos.alias("peak_pos"), v.alias("v"), last.alias("last"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        e = F.get(acc, F.size(acc) - 1)
-        longer = run(F.when(x["v"] > e["v"], x["pos"]).otherwise(e["peak_pos"]), F.greatest(x["v"], e["v"]), x["pos"])
-        return (
-            F.when((F.size(acc) > 0) & (x["pos"] == e["last"] + 1), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer)))
-            .when((F.size(acc) == 0) | (x["pos"] >= e["last"] + 1 + min_distance), F.concat(acc, F.array(run(x["pos"], x["v"], x["pos"]))))
-            .otherwise(acc)
-        )
-
-    peaks = F.explode(F.aggregate("_rows", F.array().cast("array<struct<peak_pos:int,v:double,last:int>>"), fold)).alias("_k")
-    return runs.select(*part, peaks).select(*part, "_k.peak_pos", "_k.v")
+    above = df.withColumn("pos", F.row_number().over(by(part, *order)) - 1).where(F.col(value) > threshold)
+    rows = above.select(*part, F.col("pos").cast("int").alias("peak_pos"), F.col(value).cast("double").alias("v"))
+    names = rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = best = None
+        held: pa.RecordBatch | None = None
+        for b in batches:
+            taken, open_at = [], None
+            for i, (pos, v, new) in enumerate(zip(*(b.column(c).to_pylist() for c in ("peak_pos", "v", "_first")))):
+                if new or last is None or pos >= last + 1 + min_distance:  # a run begins
+                    if held is not None:
+                        yield held
+                    elif open_at is not None:
+                        taken.append(open_at)
+                    last, best, open_at, held = pos, v, i, None
+                elif pos == last + 1:
+                    last = pos
+                    if v > best:
+                        best, open_at, held = v, i, None
+            b = b.select(names)
+            if taken:
+                yield b.take(pa.array(taken))
+            if open_at is not None:
+                held = b.slice(open_at, 1)
+        if held is not None:
+            yield held
+
+    return by_island(rows, "peak_pos", part, ["peak_pos"], min_distance + 1, keep, {})

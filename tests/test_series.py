@@ -41,6 +41,25 @@ def test_merge_and_suppression_equal_plain_loops(spark):
     assert alone == set().union(*(suppress(x, 7.0) for x in by.values()))
 
 
+def test_islands_in_small_buckets(spark, monkeypatch):
+    """Groups that go through many buckets of time, and sources with one row."""
+    monkeypatch.setattr(series, "BUCKET_GAPS", 2)
+    rng = random.Random(6)
+    rows = [(s, i, float(rng.randrange(900)), float(rng.randrange(5))) for i, s in enumerate([0, 0, 0, 1, 2] * 120)] + [(9, 5000, 3.0, 1.0), (10, 5001, None, 1.0)]
+    df = spark.createDataFrame(rows, "src int, idx int, t double, v double").repartition(3)
+    by = {s: [(t, i, v) for q, i, t, v in rows if q == s and t is not None] for s in (0, 1, 2, 9)}
+    for period in (2.0, 5.0):
+        assert {r.idx for r in series.refractory(df, "t", "v", ["src"], ["t", "idx"], period).collect()} == set().union(*(greedy(x, period) for x in by.values()))
+        assert {r.idx for r in series.suppressed(df, "t", "v", ["src"], ["t", "idx"], period).collect()} == set().union(*(suppress(x, period) for x in by.values()))
+    assert series.refractory(df.limit(0), "t", "v", ["src"], ["t", "idx"], 2.0).count() == 0
+
+
+def test_a_dense_recording_takes_time_in_proportion(spark):
+    df = spark.range(400_000).selectExpr("1 as src", "id as idx", "id * 0.5 as t", "cast(id % 7 as double) as v")
+    assert series.refractory(df, "t", "v", ["src"], ["t", "idx"], 10.0).count() == 20_000
+    assert series.suppressed(df, "t", "v", ["src"], ["t", "idx"], 10.0).count() > 15_000
+
+
 def test_train_bounds_are_inclusive(spark):
     gaps = [0, 5.0, 150.0, 4.99, 5.0, 150.01, 200.0]
     t, rows = 0.0, []
