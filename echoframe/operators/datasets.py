@@ -52,20 +52,40 @@ def noise_names(df: DataFrame, name: str) -> DataFrame:
     return df.where(found(1) != "").withColumns({"parent_id": found(1).cast("int"), "original_seg_id": found(2).cast("int")})
 
 
-def balanced(df: DataFrame, label: str, seed: int, *key: str) -> DataFrame:
-    """Every class cut to the size of the smallest, by seeded rank."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(seeded(seed, *key), *key))
-    least = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n")).first()[0] or 0
-    return df.withColumn("_r", rank).where(F.col("_r") <= least).drop("_r")
+def ranked(df: DataFrame, part: list[str], seed: int, *key: str, rank: str = "_r", size: str = "_n") -> DataFrame:
+    """Adds each row's seeded rank in its part, from 0, and the part's size.
+
+    Rows are dealt by the first digits of their hash, ranked there, and moved on by the counts of the lower digits, so a part
+    of any size is ranked by many tasks. A null is a part like any other.
+    """
+    rows = df.withColumn("_h", seeded(seed, *key)).withColumn("_d", F.substring("_h", 1, 3))
+    w = Window.partitionBy(*part)
+    counts = rows.groupBy(*part, "_d").agg(F.count("*").alias("_c"))
+    counts = counts.withColumns({"_off": F.coalesce(F.sum("_c").over(w.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), size: F.sum("_c").over(w)})
+    counts = counts.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], F.col("_d").alias("_d2"), "_off", size)
+    same = F.col("_d") == F.col("_d2")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
+    own = F.row_number().over(Window.partitionBy(*part, "_d").orderBy("_h", *key)) - 1
+    return rows.withColumn("_own", own).join(counts, same).withColumn(rank, F.col("_own") + F.col("_off")).select(*df.columns, rank, size)
+
+
+def with_extreme(df: DataFrame, label: str, pick) -> DataFrame:
+    """Adds ``_size``, the smallest or largest class's size: one row that is joined to all."""
+    one = df.groupBy(label).agg(F.count("*").alias("_c")).agg(pick("_c").alias("_size")).withColumn("_k", F.lit(1))
+    return df.withColumn("_k", F.lit(1)).join(F.broadcast(one), "_k").drop("_k")
+
+
+def balanced(df: DataFrame, label: str, seed: int, *key: str, ratio: float = 1.0) -> DataFrame:
+    """Every class cut to ``ratio`` times the size of the smallest (from 1 on), by seeded rank."""
+    out = with_extreme(ranked(df, [label], seed, *key), label, F.min)
+    return out.where(F.col("_r") < F.floor(F.col("_size") * ratio)).select(*df.columns)
 
 
 def upsampled(df: DataFrame, label: str, seed: int, *key: str) -> DataFrame:
     """Every class brought to the size of the largest by repeating rows in seeded order; ``copy`` numbers the copies."""
-    w = Window.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(seeded(seed, *key), *key)) - 1
-    most = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
-    out = df.withColumns({"_r": rank, "_n": F.count("*").over(w)})
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.floor((most - F.col("_r") - 1) / F.col("_n")).cast("int")))).drop("_r", "_n")
+    out = with_extreme(ranked(df, [label], seed, *key), label, F.max)
+    return out.select(*df.columns, F.explode(F.sequence(F.lit(0), F.floor((F.col("_size") - F.col("_r") - 1) / F.col("_n")).cast("int"))).alias("copy"))
 
 
 def train_val(df: DataFrame, seed: int, val: float, *key: str) -> DataFrame:
@@ -76,13 +96,14 @@ def train_val(df: DataFrame, seed: int, val: float, *key: str) -> DataFrame:
 def paired(clean: DataFrame, noise: DataFrame, clean_key: str, noise_key: str, seed: int, part: list[str]) -> DataFrame:
     """Each clean row with a noise row of its part, without replacement while noise lasts, then over again.
 
-    Both sides are ranked by a seeded hash, and ranks meet by an equi join; parts keep the ranking parallel.
+    Both sides' keys are ranked by a seeded hash, and ranks meet by an equi join; the rows, with their signals, are joined
+    to the pairs of keys afterwards.
     """
-    w = Window.partitionBy(*part)
-    n = noise.withColumns({"_r": F.row_number().over(w.orderBy(seeded(seed + 1, noise_key), noise_key)) - 1, "_n": F.count("*").over(w)})
+    n = ranked(noise.select(*part, noise_key), part, seed + 1, noise_key)
     size = n.groupBy(*part).agg(F.max("_n").alias("_size"))
-    c = clean.withColumn("_k", F.row_number().over(w.orderBy(seeded(seed, clean_key), clean_key)) - 1).join(size, part)
-    return c.withColumn("_r", F.col("_k") % F.col("_size")).join(n.drop("_n"), [*part, "_r"]).drop("_r", "_k", "_size")
+    c = ranked(clean.select(*part, clean_key), part, seed, clean_key).join(size, part).withColumn("_r", F.col("_r") % F.col("_size"))
+    pairs = c.select(*part, clean_key, "_r").join(n.select(*part, noise_key, "_r"), [*part, "_r"]).drop("_r")
+    return pairs.join(clean, [*part, clean_key]).join(noise, [*part, noise_key])
 
 
 def mixed_samples(clean: DataFrame, noise: DataFrame, seed: int, part: list[str], snr: tuple[float, float] = (0.0, 20.0)) -> DataFrame:
@@ -96,10 +117,10 @@ def negatives(clean: DataFrame, noise: DataFrame, noise_key: str, seed: int, par
 
     They go on in the ranks after the positives'; where noise is used up there are fewer, and :func:`capacity` tells so.
     """
-    rank = F.row_number().over(Window.partitionBy(*part).orderBy(seeded(seed + 1, noise_key), noise_key)) - 1
     used = clean.groupBy(*part).agg(F.count("*").alias("_used"))
-    out = noise.withColumn("_r", rank).join(used, part)
-    return out.where((F.col("_r") >= F.col("_used")) & (F.col("_r") < F.col("_used") + F.floor(F.col("_used") * per_clean))).drop("_r", "_used")
+    keys = ranked(noise.select(*part, noise_key), part, seed + 1, noise_key).join(used, part)
+    keys = keys.where((F.col("_r") >= F.col("_used")) & (F.col("_r") < F.col("_used") + F.floor(F.col("_used") * per_clean)))
+    return noise.join(keys.select(*part, noise_key), [*part, noise_key], "left_semi")
 
 
 def noise_crops(noise: DataFrame, key: str, samples: str, seed: int, n: int, length: int) -> DataFrame:

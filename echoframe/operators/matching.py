@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -59,29 +61,40 @@ def overlap_pairs(pred: DataFrame, truth: DataFrame, part: list[str], width: flo
 
 
 def train_matches(pairs: DataFrame, part: list[str]) -> DataFrame:
-    """Greedy by pid: each prediction takes the free truth with the largest overlap, the lower gid of equals.
+    """Greedy by pid over rows of :func:`overlap_pairs`: each prediction takes the free truth with the largest overlap, the
+    lower gid of equals.
 
-    Order matters only among intervals that are linked by pairs; a partition's pairs are small next to its clicks.
+    Order matters only among pairs whose intervals touch, so each run of such pairs is an island of its own: islands are
+    dealt to tasks, which read them as a sorted stream and remember one island's taken truths.
     """
-    schema = pairs.select(*part, "pid", "gid", "overlap").schema
-
-    def greedy(x: pd.DataFrame) -> pd.DataFrame:
-        taken, done, keep = set(), set(), []
-        x = x.sort_values(["pid", "overlap", "gid"], ascending=[True, False, True])
-        for i, pid, gid in zip(x.index, x.pid, x.gid):
-            if pid not in done and gid not in taken:
-                keep.append(i)
-                done.add(pid)
-                taken.add(gid)
-        return x.loc[keep]
-
-    return pairs.select(*part, "pid", "gid", "overlap").groupBy(*part).applyInPandas(greedy, schema)
-
-
-def train_metrics(matches: DataFrame, pred: DataFrame, truth: DataFrame, part: list[str]) -> DataFrame:
-    """Counts and scores of matched trains, with the mean errors of median gap and click count (ici, n_clicks columns)."""
-    m = matches.join(pred.select(*part, "pid", F.col("ici").alias("_pi"), F.col("n_clicks").alias("_pn")), [*part, "pid"])
-    m = m.join(truth.select(*part, "gid", F.col("ici").alias("_gi"), F.col("n_clicks").alias("_gn")), [*part, "gid"])
-    row = m.agg(F.count("*").alias("tp"), F.coalesce(F.avg(F.abs(F.col("_pi") - F.col("_gi"))), F.lit(0.0)).alias("ici_error"), F.coalesce(F.avg(F.abs(F.col("_pn") - F.col("_gn"))), F.lit(0.0)).alias("count_error")).withColumn("_k", F.lit(1))
+    lo, hi = F.least("s", "gs"), F.greatest("e", "ge")
+    w = Window.partitionBy(*part).orderBy("_lo", "_hi")
+    rows = pairs.withColumns({"_lo": lo, "_hi": hi}).withColumn("_reach", F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_new", F.coalesce((F.col("_lo") > F.col("_reach")).cast("int"), F.lit(1)))
+    rows = rows.withColumn("_island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    names = pairs.columns
+
+    def greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, done, taken = None, None, set()
+        for b in batches:
+            keep = []
+            for *island, pid, gid in zip(*(b.column(c).to_pylist() for c in (*part, "_island", "pid", "gid"))):
+                if island != now:
+                    now, done, taken = island, None, set()
+                keep.append(pid != done and gid not in taken)
+                if keep[-1]:
+                    done = pid
+                    taken.add(gid)
+            yield b.select(names).filter(pa.array(keep, pa.bool_()))
+
+    dealt = rows.select(*names, "_island").repartition(*part, "_island").sortWithinPartitions(*part, "_island", "pid", F.desc("overlap"), "gid")
+    return dealt.mapInArrow(greedy, pairs.schema)
+
+
+def train_metrics(matches: DataFrame, pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Counts and scores of matched trains, with the mean errors of median gap (ici and g_ici, which the matched pairs carry)
+    and of click count (n_clicks and g_clicks)."""
+    error = lambda a, b: F.coalesce(F.avg(F.abs(F.col(a) - F.col(b))), F.lit(0.0))
+    row = matches.agg(F.count("*").alias("tp"), error("ici", "g_ici").alias("ici_error"), error("n_clicks", "g_clicks").alias("count_error")).withColumn("_k", F.lit(1))
     row = row.join(pred.agg(F.count("*").alias("n_pred")).withColumn("_k", F.lit(1)), "_k").join(truth.agg(F.count("*").alias("n_true")).withColumn("_k", F.lit(1)), "_k")
     return prf(row.select("tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_true") - F.col("tp")).alias("fn"), "ici_error", "count_error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .matching import ratio
@@ -21,10 +21,10 @@ def curve(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row per distinct score, falling: rows at or above it, cumulative tp and fp, totals.
 
     Rows collapse to distinct scores before anything is ordered, and the running sums go in two steps: within ranges of
-    scores in parallel, then over the ranges' totals.
+    scores in parallel, then over the ranges' totals. Ranges are cut where the scores are, whatever their scale.
     """
     points = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label)).alias("_p"), F.count("*").alias("_n"))
-    points = points.withColumn("_part", F.floor(F.col("threshold") * 64))
+    points = in_ranges(points, "threshold", "_part")
     inner = Window.partitionBy("_part").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     parts = points.groupBy("_part").agg(F.sum("_p").alias("_pp"), F.sum("_n").alias("_pn"))
     before = Window.orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
@@ -42,9 +42,49 @@ def curve(df: DataFrame, label: str, score: str) -> DataFrame:
         (F.col("_n0") + F.sum("_n").over(inner) - F.col("_p0") - F.sum("_p").over(inner)).alias("fp"),
         "n_pos",
         (F.col("_all") - F.col("n_pos")).alias("n_neg"),
+        "_part",
     )
 
 
+def in_ranges(df: DataFrame, value: str, out: str, n: int = 256, part: list[str] | None = None) -> DataFrame:
+    """Adds the number of the range, of about ``n`` of like size (in each ``part``), that a value lies in. The bounds are
+    approximate, and only deal rows to tasks: equal values are always in one range."""
+    part = part or []
+    shares = [k / n for k in range(1, n)]
+    bounds = df.groupBy(*part).agg(F.percentile_approx(value, shares, 10 * n).alias("_bounds"))
+    # how many bounds lie below the value: the place at which it would stand among them
+    place = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    both = df.join(F.broadcast(bounds), part) if part else df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
+    return both.withColumn(out, place).select(*df.columns, out)
+
+
+def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float]) -> DataFrame:
+    """Exact quantiles, interpolated between neighbours, of each part: one row with a column for each of ``probs``.
+
+    Rows collapse to distinct values with counts; values are dealt by ranges, whose totals say in which of them a rank lies;
+    only there are values ordered.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*part, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counts = in_ranges(counts, "_v", "_range", part=part)
+    totals = counts.groupBy(*part, "_range").agg(F.sum("_c").alias("_m"))
+    w = Window.partitionBy(*part)
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_m").over(w)})
+    at = {name: (F.col("_all") - 1) * p for name, p in probs.items()}
+    ranks = [f(x) for x in at.values() for f in (F.floor, F.ceil)]
+    here = F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))
+    near = counts.join(totals.where(here).select(*part, "_range", "_before", "_all"), [*part, "_range"])
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*part, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("_upto", upto)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col("_v")))
+
+    picked = [value_at(f(x)).alias(f"_{n}_{i}") for n, x in at.items() for i, f in enumerate((F.floor, F.ceil))]
+    rows = near.groupBy(*part).agg(F.max("_all").alias("_all"), *picked)
+    between = {n: F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * (x - F.floor(x)) for n, x in at.items()}
+    return rows.select(*part, *[x.alias(n) for n, x in between.items()])
+
+
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under the ROC curve by pairs: the share of positive-negative pairs in order, ties as half; null for one class.
 
@@ -59,18 +99,22 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, precision, recall and f1 at every distinct score."""
-    c = curve(df, label, score).select("threshold", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("n_pos")).alias("recall"), "tp")
+    c = curve(df, label, score).select("threshold", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("n_pos")).alias("recall"), "_part")
     p, r = F.col("precision"), F.col("recall")
     return c.withColumn("f1", ratio(2 * p * r, p + r))
 
 
 def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """Area under precision over recall by trapezoids, from the point (0, 1) on."""
-    pts = pr_points(df, label, score)
-    # recall rises with tp, so points are ordered by tp and threshold; only distinct scores are ordered
-    w = Window.orderBy(F.col("tp"), F.desc("threshold"))
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * (F.col("precision") + F.coalesce(F.lag("precision").over(w), F.lit(1.0))) / 2
-    return pts.select(step.alias("s")).agg(F.sum("s").alias("pr_auc"))
+    pts = pr_points(df, label, score).withColumn("point", F.struct("recall", "precision"))
+    # trapezoids within each range of scores, whose first begins at the last point of the range above: one row a range
+    ends = pts.groupBy("_part").agg(F.min_by("point", "threshold").alias("end"))
+    start = F.struct(F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
+    ends = ends.select("_part", F.coalesce(F.lag("end").over(Window.orderBy(F.desc("_part"))), start).alias("begin"))
+    before = F.coalesce(F.lag("point").over(Window.partitionBy("_part").orderBy(F.desc("threshold"))), F.col("begin"))
+    pts = pts.join(ends, "_part").select("point", before.alias("before"))
+    step = (F.col("point.recall") - F.col("before.recall")) * (F.col("point.precision") + F.col("before.precision")) / 2
+    return pts.agg(F.sum(step).alias("pr_auc"))
 
 
 def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:

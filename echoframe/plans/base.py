@@ -28,6 +28,8 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
 CLICKS = """clicks AS (SELECT user_id AS src, event_id AS idx, epoch_us(ts) / 1e6 AS t, value AS v,
   CAST(json_extract(props, '$.k') AS DOUBLE) AS k, event_type AS kind FROM events)"""
 
