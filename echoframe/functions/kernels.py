@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..schemas import TRANSIENT
@@ -20,9 +21,13 @@ def frames(x: np.ndarray, width: int, step: int) -> np.ndarray:
 
 
 def frame_features(x: np.ndarray, rate: int, window_ms: float = 1.0, step_ms: float = 0.25, high_hz: float = 12000.0, block: int = 65536) -> dict[str, np.ndarray]:
-    """All features of all frames: frames are cut once and share one spectrum, in blocks of bounded size."""
+    """All features of all frames of a signal."""
     width, step = max(1, int(rate * window_ms / 1000)), max(1, int(rate * step_ms / 1000))
-    f = frames(np.asarray(x, np.float64), width, step)
+    return of_frames(frames(np.asarray(x, np.float64), width, step), rate, high_hz, block)
+
+
+def of_frames(f: np.ndarray, rate: int, high_hz: float = 12000.0, block: int = 65536) -> dict[str, np.ndarray]:
+    """All features of frames (rows), which share one spectrum, in blocks of bounded size. The flux is to the row before."""
     out = {n: np.zeros(len(f)) for n in FEATURES}
     hann = np.hanning(f.shape[1])
     hz = np.fft.rfftfreq(f.shape[1], 1 / rate)
@@ -49,6 +54,20 @@ def frame_features(x: np.ndarray, rate: int, window_ms: float = 1.0, step_ms: fl
     return out
 
 
+def mirrored(x: np.ndarray, center: int, half: int) -> np.ndarray:
+    """Samples [center - half, center + half), mirrored beyond the signal's ends."""
+    period = max(1, 2 * (len(x) - 1))
+    at = np.arange(center - half, center + half) % period
+    return x[np.minimum(at, period - at)]
+
+
+def standardized(x: np.ndarray) -> np.ndarray:
+    """Mean removed, then divided by 1.4826 times the median absolute deviation, or by the RMS where that is 0."""
+    x = x - x.mean()
+    d, rms = np.median(np.abs(x - np.median(x))), np.sqrt((x * x).mean())
+    return x / (1.4826 * d) if d > 1e-10 else x / rms if rms > 1e-10 else x
+
+
 def robust_z(x: np.ndarray) -> np.ndarray:
     m = np.median(x)
     d = np.median(np.abs(x - m))
@@ -251,18 +270,26 @@ def channel(x: np.ndarray, which: int) -> np.ndarray:
     return x[:, min(which, x.shape[1] - 1)]
 
 
+def same_length(x: pa.Array):
+    """Rows of an Arrow column of arrays and their signals as a matrix, for each length but 0."""
+    sizes = np.asarray(pc.fill_null(pc.list_value_length(x), 0))
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        yield rows, x.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, n)
+
+
 def spectral_features(rate: int, high_hz: float = 12000.0):
     """Arrow function: array of samples -> struct of the features of the whole signal as one frame."""
     names = FEATURES[:-1]
 
     @F.arrow_udf("struct<" + ", ".join(f"{n}: double" for n in names) + ">")
     def run(x: pa.Array) -> pa.Array:
-        rows = []
-        for v in x:
-            s = np.asarray(v.values if v.is_valid else [], np.float64)
-            f = frame_features(s, rate, window_ms=max(1, len(s)) * 1000 / rate + 1e-6, high_hz=high_hz) if len(s) else {n: [0.0] for n in names}
-            rows.append({n: float(f[n][0]) for n in names})
-        return pa.array(rows, pa.struct([(n, pa.float64()) for n in names]))
+        out = {n: np.zeros(len(x)) for n in names}
+        for rows, m in same_length(x):  # signals of one length are frames of one spectrum
+            f = of_frames(m, rate, high_hz)
+            for n in names:
+                out[n][rows] = f[n]
+        return pa.StructArray.from_arrays([pa.array(out[n]) for n in names], names)
 
     return run
 
@@ -284,7 +311,11 @@ def mapped(signal):
 
     @F.arrow_udf("array<double>")
     def run(x: pa.Array) -> pa.Array:
-        return pa.array([None if not v.is_valid else np.asarray(signal(np.asarray(v.values, np.float64)), np.float64) for v in x], pa.list_(pa.float64()))
+        out = [None if not ok else [] for ok in x.is_valid().to_pylist()]
+        for rows, m in same_length(x):
+            for i, v in zip(rows.tolist(), m):
+                out[i] = np.asarray(signal(v), np.float64)
+        return pa.array(out, pa.list_(pa.float64()))
 
     return run
 

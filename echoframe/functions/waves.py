@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit  # readability of aggregates
-
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
@@ -141,6 +139,27 @@ def padded(x: Column, n: int, mode: str = "constant") -> Column:
     return F.when(F.size(x) >= n, F.slice(x, 1, n)).when(F.size(x) == 0, F.array_repeat(F.lit(0.0), n)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
 
 
+def mirrored_window(x: Column, center: Column, half: int) -> Column:
+    """Samples [center - half, center + half); beyond the signal's ends it is mirrored. Null where there are no samples."""
+
+    def at(k: Column) -> Column:
+        period = F.greatest(2 * (F.size(x) - 1), F.lit(1))
+        j = F.pmod(center - half + k, period)
+        return F.get(x, F.least(j, period - j))
+
+    return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.lit(2 * half - 1)), at))
+
+
+def standardized(x: Column) -> Column:
+    """Mean removed, then divided by 1.4826 times the median absolute deviation, or by the RMS where that is 0."""
+
+    def of(c: Column) -> Column:
+        by = let(F.struct((1.4826 * mad(c)).alias("d"), rms(c).alias("r")), lambda s: F.when(s["d"] > 1.4826e-10, s["d"]).when(s["r"] > 1e-10, s["r"]).otherwise(1.0))
+        return let(by, lambda b: F.transform(c, lambda v: v / b))
+
+    return let(let(total(x) / F.greatest(F.size(x), F.lit(1)), lambda m: F.transform(x, lambda v: v - m)), of)
+
+
 def framed(x: Column, width: int, step: int) -> Column:
     """Whole frames of the signal; one short frame if it is shorter than a frame."""
     n = F.floor((F.size(x) - width) / step).cast("int")

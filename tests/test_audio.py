@@ -3,6 +3,8 @@ import math
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from echoframe.functions import kernels
 from echoframe.operators import augment, datasets, detect, model
 from echoframe.params import Detection
@@ -83,15 +85,79 @@ def test_detection_finds_every_click_once(spark, tmp_path):
 
 
 def test_model_scores_and_augmentation_are_seeded(spark):
-    w = model.initial(model.Shape(), 3)
     df = spark.createDataFrame([(i, [float(math.sin(i * j)) for j in range(64)]) for i in range(5)], "id int, x array<double>")
-    a = [r.s for r in df.select(model.score(w, df.x).alias("s")).collect()]
-    assert all(0 < v < 1 for v in a) and a == [r.s for r in df.select(model.score(w, df.x).alias("s")).collect()]
     one = df.select("id", augment.augmented(df.x, df.id, 4).alias("y")).collect()
     two = df.repartition(3).select("id", augment.augmented(df.x, df.id, 4).alias("y")).orderBy("id").collect()
     assert one == two and all(len(r.y) == 64 for r in one)
-    t = df.select(augment.click_trains(df.x, df.x, df.id, 4, length=9000).alias("y")).collect()
-    assert all(r.y is None or len(r.y) == 9000 for r in t)
+    t = df.select("id", augment.click_trains(df.x, df.x, df.id, 4, length=9000).alias("y"), augment.click_starts(F.size("x"), df.id, 4, length=9000).alias("at")).collect()
+    assert any(r.y for r in t)
+    for r in t:
+        assert (r.y is None) == (r.at is None)
+        if r.y:
+            gaps = np.diff(r.at) / 44.1
+            assert len(r.y) == 9000 and 2 <= len(r.at) <= 5 and r.at[-1] + 64 <= 9000 and (gaps > 7.9).all() and (gaps < 80.1).all() and max(map(abs, r.y)) <= 0.95 + 1e-9
+
+
+def plain_forward(w, shape, x):
+    """The network by loops over samples."""
+
+    def conv(name, x, step, dilation):
+        k = w[f"{name}.w"]
+        pad = (k.shape[2] - 1) * dilation // 2
+        out = np.zeros((len(k), -(-x.shape[1] // step)))
+        for o in range(len(k)):
+            for t in range(out.shape[1]):
+                for j in range(k.shape[2]):
+                    p = t * step + j * dilation - pad
+                    if 0 <= p < x.shape[1]:
+                        out[o, t] += (k[o, :, j] * x[:, p]).sum()
+        return out * w[f"{name}.scale"][:, None] + w[f"{name}.shift"][:, None]
+
+    h = np.maximum(conv("stem", np.asarray(x)[None], 2, 1), 0)
+    for b, (_, step, dilation) in enumerate(shape.blocks):
+        y = conv(f"b{b}.2", np.maximum(conv(f"b{b}.1", h, step, dilation), 0), 1, dilation)
+        h = np.maximum(y + (conv(f"b{b}.skip", h, step, 1) if f"b{b}.skip.w" in w else h), 0)
+    v = h.mean(axis=1)
+    if shape.hidden:
+        v = np.maximum(w["hidden.w"] @ v + w["hidden.b"], 0)
+    z = w["out.w"] @ v + w["out.b"]
+    return 1 / (1 + math.exp(z[0] - z[1]))
+
+
+@pytest.mark.parametrize("shape", [model.Shape(4, ((6, 2, 1), (6, 1, 2)), length=80), model.Shape(3, ((3, 1, 1), (5, 2, 4)), 7, length=81)])
+def test_scores_depend_on_the_signal_alone(spark, shape, tmp_path):
+    w = model.initial(shape, 3)
+    w = model.folded(w, "stem", np.full(shape.base, 0.1), np.full(shape.base, 1.2), np.full(shape.base, 0.05), np.full(shape.base, 0.02), np.full(shape.base, 0.9))
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=n).tolist()) for i, n in enumerate([shape.length] * 5 + [10, 40, 200, 0])] + [(9, None)]
+    df = spark.createDataFrame(rows, "id int, x array<double>")
+    model.save(w, str(tmp_path / "w.npz"))
+    got = {r.id: r.s for r in df.repartition(3).select("id", model.score(model.load(str(tmp_path / "w.npz")), df.x, shape).alias("s")).collect()}
+    alone = {i: df.where(f"id = {i}").select(model.score(w, df.x, shape).alias("s")).first().s for i in (0, 6)}
+    for i, x in rows:
+        x = (x or [])[: shape.length]
+        left = (shape.length - len(x)) // 2
+        whole = np.concatenate([np.zeros(left), x, np.zeros(shape.length - len(x) - left)])
+        assert abs(got[i] - plain_forward(w, shape, whole)) < 1e-5 and (i not in alone or abs(alone[i] - got[i]) < 1e-9)
+
+
+def test_published_sizes():
+    n = lambda shape, *other: model.n_parameters(model.initial(shape, 0)) + sum(other)
+    # scale and shift stand for a bias and four numbers of a normalisation
+    assert n(model.Shape()) > 100_000 and model.LARGE.hidden == 128 and n(model.LARGE) > n(model.Shape())
+
+
+def test_a_head_is_fitted(spark):
+    shape = model.Shape(6, ((8, 2, 1),), length=64)
+    rng = np.random.default_rng(5)
+    t = np.arange(64)
+    rows = [(i % 2, (np.sin(t * (0.4 if i % 2 else 2.2) + rng.uniform(0, 6)) + rng.normal(0, 0.3, 64)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "label int, x array<double>")
+    w = model.train_head(df.limit(160), "x", "label", model.initial(shape, 2), shape)
+    got = df.select("label", model.score(w, df.x, shape).alias("s")).collect()
+    assert sum((r.s >= 0.5) == (r.label == 1) for r in got) > 0.9 * len(got)
+    features = df.select("label", df.x[3].alias("a"), df.x[7].alias("b"))
+    assert model.apply_linear(model.train_linear(features, ["a", "b"], "label"), features).where("score between 0 and 1").count() == 240
 
 
 def test_labels(spark, tmp_path):
