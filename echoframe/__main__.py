@@ -1,71 +1,155 @@
-"""Command line: python -m echoframe <command> ..."""
+"""Command line: python -m echoframe <command> <input> <output> [options]."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import datasets, detect, metrics, trains
+from .functions import waves
+from .operators import checks, datasets, detect, evaluate, export, model, samples, trains
 from .params import Detection, Fusion, Trains, load_yaml, with_settings
-from .sources import audio, labels, sinks
+from .sources import audio, labels, sinks, tables
+
+COMMANDS = {
+    "scan": "headers of recordings, as CSV",
+    "detect": "recordings to an events table",
+    "trains": "events to trains, as CSV",
+    "fuse": "events to decisions",
+    "export": "recordings to accepted events, trains, reports and clips",
+    "segment-noise": "recordings to windows of noise",
+    "preprocess": "recordings and array files, resampled and filtered, to WAV files",
+    "collect-clicks": "clips of many folders, by name, to one table",
+    "prepare-data": "files of labelled folders to their parts of the data set, as CSV",
+    "build-dataset": "clips and a noise manifest (--noise) to a training set",
+    "balance": "rows with a label to a balanced split",
+    "train": "a training set to a model's weights (.npz)",
+    "evaluate": "rows with label and score to a report and predictions",
+    "eval": "a training set's part and weights (--weights) to a report and predictions",
+    "eval-wav": "folders positive and negative of clips and weights to a report and predictions",
+    "label-report": "files of a labelling tool to counts of categories",
+    "audacity": "events to label files",
+    "verify": "a training set to level and sample statistics",
+    "check": "a training set to rows that say what it lacks",
+}
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="echoframe")
-    p.add_argument("--config", nargs="*", default=[])
+    p.add_argument("--config", action="append", default=[], help="a YAML file; later ones go on top")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {
-        "scan": ["input", "output"],
-        "detect": ["input", "output"],
-        "trains": ["input", "output"],
-        "fuse": ["input", "output"],
-        "segment-noise": ["input", "output"],
-        "label-report": ["input", "output"],
-        "audacity": ["input", "output"],
-        "balance": ["input", "output"],
-        "evaluate": ["input", "output"],
-    }.items():
-        s = sub.add_parser(name)
-        for a in args:
-            s.add_argument(a)
+    for name, about in COMMANDS.items():
+        s = sub.add_parser(name, help=about)
+        s.add_argument("input")
+        s.add_argument("output")
         s.add_argument("--seconds", type=float, default=1.0)
         s.add_argument("--seed", type=int, default=0)
         s.add_argument("--threshold", type=float, default=0.5)
+        s.add_argument("--rate", type=int, default=44100)
+        s.add_argument("--weights")
+        s.add_argument("--noise")
+        s.add_argument("--split", default="train")
+        s.add_argument("--val", type=float, default=0.2)
     return p
 
 
-def main(argv: list[str] | None = None) -> None:
+def length(rate: int) -> int:
+    """Samples of half a second, the length of a training sample."""
+    return int(0.5 * rate)
+
+
+def loaded(a: argparse.Namespace, shape: model.Shape) -> model.Weights:
+    return model.load(a.weights) if a.weights else model.initial(shape, a.seed)
+
+
+def reported(scored: DataFrame, path: str, a: argparse.Namespace) -> None:
+    """report, predictions and misclassified rows of scored ones (label, score) under the output folder."""
+    sinks.write_rows(evaluate.report(scored, "label", "score", a.threshold), f"{a.output}/report")
+    rows = model.predictions(scored, path, "label", a.threshold)
+    sinks.write_csv(rows, f"{a.output}/predictions")
+    sinks.write_csv(evaluate.wrong(rows), f"{a.output}/misclassified")
+
+
+def half_second(spark: SparkSession, folder: str, rate: int) -> DataFrame:
+    found = audio.clips(audio.files(spark, [folder]), rate=rate)
+    return found.withColumn("wave", waves.padded(F.col("samples").cast("array<double>"), length(rate)))
+
+
+def build_dataset(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Clips of exactly half a second, mixed with the noise of the manifest's split."""
+    clean = audio.clips(audio.files(spark, [a.input]), rate=a.rate).where(F.size("samples") == length(a.rate))
+    manifest = tables.read_manifest(spark, a.noise, a.split)
+    roots = sorted({r[0].rpartition("/")[0] for r in manifest.select("path").distinct().collect()})  # as many as there are noise files' folders
+    noise = tables.noise_audio(manifest, audio.clips(audio.files(spark, roots))).where(F.size("wave") == length(a.rate))
+    return samples.training_set(clean.select("file_id", F.col("samples").cast("array<double>").alias("wave")), noise, a.seed, val=a.val)
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     a = parser().parse_args(argv)
-    spark = SparkSession.builder.appName(f"echoframe {a.command}").getOrCreate()
+    spark = spark or SparkSession.builder.appName(f"echoframe {a.command}").getOrCreate()
     config = load_yaml(*a.config) if a.config else {}
     detection = with_settings(Detection(), config.get("detection", {}))
     train = with_settings(Trains(), config.get("trains", {}))
+    fusion = with_settings(Fusion(), config.get("fusion", {}))
+    part, order = ["source_file"], ["peak_time", "peak_idx"]
     if a.command == "scan":
         sinks.write_csv(audio.recordings(audio.files(spark, [a.input])), a.output)
     elif a.command == "detect":
         cut = audio.chunks(audio.files(spark, [a.input]), detection.chunk_s, detection.overlap_s)
         detect.events(detect.candidates(cut, detection)).write.mode("overwrite").parquet(a.output)
     elif a.command in ("trains", "fuse"):
-        clicks = trains.build_trains(spark.read.parquet(a.input), "peak_time", ["source_file"], ["peak_time", "peak_idx"], train)
+        clicks = trains.build_trains(spark.read.parquet(a.input), "peak_time", part, order, train)
         if a.command == "trains":
-            sinks.write_csv(trains.train_stats(clicks, "peak_time", "confidence_score", ["source_file"]), a.output)
+            sinks.write_trains(trains.train_stats(clicks, "peak_time", "confidence_score", part), a.output, "source_file")
         else:
-            fusion = with_settings(Fusion(), config.get("fusion", {}))
-            trains.fused(clicks, "peak_time", "confidence_score", ["source_file"], fusion).write.mode("overwrite").parquet(a.output)
+            trains.fused(clicks, "peak_time", "confidence_score", part, fusion).write.mode("overwrite").parquet(a.output)
+    elif a.command == "export":
+        found = audio.files(spark, [a.input])
+        result = export.run(found, detection, fusion, train, model.load(a.weights) if a.weights else None, rate=a.rate)
+        export.write(result, audio.chunks(found, detection.chunk_s, detection.overlap_s), a.output, a.rate)
     elif a.command == "segment-noise":
         audio.noise_segments(audio.chunks(audio.files(spark, [a.input])), a.seconds).write.mode("overwrite").parquet(a.output)
+    elif a.command == "preprocess":
+        sinks.write_clips(audio.preprocessed_rows(audio.files(spark, [a.input], "*.{wav,npy}"), a.rate), a.output, a.rate)
+    elif a.command == "collect-clicks":
+        named = datasets.collected_names(audio.files(spark, [a.input]).select("path"), "path")
+        sinks.write_csv(named, a.output)
+    elif a.command == "prepare-data":
+        sinks.write_csv(audio.labelled_roles(audio.files(spark, [a.input], "*").select("path")), a.output)
+    elif a.command == "build-dataset":
+        made = build_dataset(spark, a)
+        sinks.write_samples(made, a.output)
+        sinks.write_rows(samples.set_stats(tables.read_samples(spark, a.output)), a.output.rstrip("/") + "_stats")
+    elif a.command == "balance":
+        out = datasets.train_val(datasets.balanced(spark.read.parquet(a.input), "label", a.seed, "id"), a.seed, a.val, "id")
+        sinks.write_samples(out, a.output)
+    elif a.command == "train":
+        shape = model.Shape(length=length(a.rate))
+        rows = tables.read_samples(spark, a.input, "train")
+        model.save(model.train_head(rows, "waveform", "label", loaded(a, shape), shape), a.output)
+    elif a.command == "evaluate":
+        reported(spark.read.parquet(a.input), "id", a)
+    elif a.command == "eval":
+        shape = model.Shape(length=length(a.rate))
+        rows = tables.read_samples(spark, a.input, a.split)
+        reported(rows.select("file_id", "label", model.score(loaded(a, shape), F.col("waveform"), shape).alias("score")), "file_id", a)
+    elif a.command == "eval-wav":
+        shape = model.Shape(length=length(a.rate))
+        both = [half_second(spark, f"{a.input}/{name}", a.rate).withColumn("label", F.lit(y)) for name, y in (("positive", 1), ("negative", 0))]
+        rows = both[0].unionByName(both[1])
+        reported(rows.select("source_file", "label", model.score(loaded(a, shape), F.col("wave"), shape).alias("score")), "source_file", a)
     elif a.command == "label-report":
         sinks.write_csv(labels.category_report(labels.read_label_json(spark, a.input)), a.output)
     elif a.command == "audacity":
         labels.write_audacity(spark.read.parquet(a.input), "peak_time", 0.05, a.output)
-    elif a.command == "balance":
-        out = datasets.train_val(datasets.balanced(spark.read.parquet(a.input), "label", a.seed, "id"), a.seed, 0.2, "id")
-        sinks.write_samples(out, a.output)
+    elif a.command == "verify":
+        rows = tables.read_samples(spark, a.input).withColumn("waveform", F.col("waveform").cast("array<double>"))
+        sinks.write_rows(checks.level_summary(rows, "waveform"), f"{a.output}/levels")
+        sinks.write_rows(checks.sample_stats(rows, "waveform"), f"{a.output}/samples")
+        sinks.write_csv(checks.abnormal(rows, "waveform").where("reason is not null").select("file_id", "reason", "n_outliers"), f"{a.output}/abnormal")
     else:
-        df = spark.read.parquet(a.input).withColumn("predicted", (F.col("score") >= a.threshold).cast("int"))
-        sinks.write_csv(metrics.confusion(df, "label", "predicted"), a.output)
+        sinks.write_rows(checks.readiness(tables.read_samples(spark, a.input), length(a.rate)), a.output)
 
 
 if __name__ == "__main__":

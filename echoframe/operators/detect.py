@@ -1,7 +1,8 @@
 """Click detection over chunks: frames, peaks, rules, transients, likelihood, merging, event features.
 
-One Arrow kernel per chunk does the dense work and passes on only peaks that are above the first threshold, each with its
-20 ms of signal; everything after that is expressions, one shuffle by recording, and no join back to the audio.
+One Arrow kernel per chunk does the dense work and passes on only peaks that are above the first threshold, each with the
+signal around it (20 ms, or as much as later windows need); everything after that is expressions, one shuffle by recording,
+and no join back to the audio.
 """
 
 from __future__ import annotations
@@ -58,7 +59,7 @@ def peaks(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
                 if not len(at):
                     continue
                 env = kernels.envelope(x)
-                step, half = max(1, int(rate * p.step_ms / 1000)), int(rate * 0.02) // 2
+                step, half = max(1, int(rate * p.step_ms / 1000)), int(rate * p.carry_ms / 1000) // 2
                 rows = []
                 for i in at.tolist():
                     s = i * step
@@ -84,15 +85,16 @@ def candidates(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
 
 
 def events(found: DataFrame) -> DataFrame:
-    """The events table of candidates, from the 20 ms that each carries."""
+    """The events table of candidates, from the 20 ms around each peak."""
     kind = "struct<peak_amplitude: double, rms: double, snr_estimate: double, peak_factor: double, energy_ratio: double, zcr: double, bandwidth: double, rolloff: double, flatness: double>"
     names = [x.split(":")[0].strip() for x in kind[7:-1].split(",")]
 
     @F.arrow_udf(kind)
-    def stats(seg: pa.Array, rate: pa.Array) -> pa.Array:
+    def stats(seg: pa.Array, at: pa.Array, rate: pa.Array) -> pa.Array:
         rows = []
-        for v, hz in zip(seg, rate):
-            x, r = np.asarray(v.values, np.float64), hz.as_py()
+        for v, p, r in zip(seg, at.to_pylist(), rate.to_pylist()):
+            half = int(r * 0.02) // 2
+            x = np.asarray(v.values, np.float64)[max(0, p - half) : p + half]
             top, rms = (float(np.abs(x).max()), float(np.sqrt((x * x).mean()))) if len(x) else (0.0, 0.0)
             short, long = int(0.001 * r), int(0.005 * r)
             ratio = 0.0
@@ -104,7 +106,7 @@ def events(found: DataFrame) -> DataFrame:
             rows.append(dict(zip(names, (top, rms, 20 * np.log10(top / (rms + 1e-10)) if top > 0 else 0.0, 20 * np.log10(top / rms) if rms > 0 else 0.0, ratio, zcr, *kernels.spectral_stats(x, r)))))
         return pa.array(rows, pa.struct([(n, pa.float64()) for n in names]))
 
-    df = found.withColumn("_s", stats("segment", "sample_rate"))
+    df = found.withColumn("_s", stats("segment", "segment_at", "sample_rate"))
     df = df.select("*", "_s.peak_amplitude", "_s.rms", "_s.snr_estimate", "_s.peak_factor", "_s.energy_ratio", "_s.zcr", F.col("_s.bandwidth").alias("spectral_bandwidth"), F.col("_s.rolloff").alias("spectral_rolloff"), F.col("_s.flatness").alias("spectral_flatness"))
     quality = scores.event_quality(*[F.col(c) for c in ("peak_factor", "energy_ratio", "envelope_width", "spectral_centroid", "high_low_ratio")])
     df = df.withColumns({"quality_score": quality, **{f"transient_{n}": F.col(n) for n in _T}})

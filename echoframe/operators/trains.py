@@ -85,6 +85,18 @@ def fused(clicks: DataFrame, t: str, score: str, part: list[str], p: Fusion, uni
     return df.withColumn("accept", F.col("reason").isin(ACCEPTING))
 
 
+def fusion_text(summary: DataFrame) -> DataFrame:
+    """Adds the counts of :func:`fusion_summary` as lines of text; shares of an empty table are 0."""
+    share = lambda c: F.when(F.col("total") > 0, 100.0 * F.col(c) / F.col("total")).otherwise(0.0)
+    lines = [
+        F.format_string("Total candidates: %d", "total"),
+        F.format_string("Accepted: %d (%.1f%%)", "accepted", share("accepted")),
+        F.format_string("Rejected: %d (%.1f%%)", "rejected", share("rejected")),
+        *[F.format_string(f"{name}: %d", c) for name, c in (("High confidence", "high_confidence"), ("Medium confidence", "medium_confidence"), ("Low confidence", "low_confidence"), ("Trains detected", "n_trains"))],
+    ]
+    return summary.withColumn("text", F.concat_ws("\n", *lines))
+
+
 def fusion_summary(decisions: DataFrame, score: str, part: list[str], p: Fusion) -> DataFrame:
     """One row of counts; zeros for an empty table."""
     s = F.col(score)

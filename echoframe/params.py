@@ -22,6 +22,8 @@ class Detection:
     high_hz: float = 12000.0
     chunk_s: float = 60.0
     overlap_s: float = 0.5
+    #: Signal around its peak that a candidate carries. Up to the overlap, one of the chunks that hold a peak has it whole.
+    carry_ms: float = 20.0
 
 
 @dataclass(frozen=True)

@@ -54,11 +54,12 @@ def category_report(labels: DataFrame) -> DataFrame:
 EXTENSIONS = ("wav", "flac", "mp3")
 
 
-def labelled_segments(cut: DataFrame, labels: DataFrame, ceiling: float = 0.95) -> DataFrame:
+def labelled_segments(cut: DataFrame, labels: DataFrame, ceiling: float = 0.95, broadcast_rows: int = 1_000_000) -> DataFrame:
     """Audio of each labelled interval (stem, start, end, label), its peak at ``ceiling``.
 
     An interval takes from each chunk that it overlaps the part up to the next chunk; it is clamped to the recording, and
-    empty ones go. Labels are small next to audio: they go to the chunks' files, and only the parts are shuffled.
+    empty ones go. Up to ``broadcast_rows`` labels go to the chunks, so that only the parts are shuffled; more are joined as
+    Spark sees fit.
     """
     from ..functions import waves
 
@@ -66,7 +67,7 @@ def labelled_segments(cut: DataFrame, labels: DataFrame, ceiling: float = 0.95)
     at = labels.select(F.col("stem").alias("file_id"), "start", "end", "label").distinct()
     lo = F.greatest(first, F.floor(F.col("start") * rate))
     hi = F.least(first + F.size("samples"), F.floor(F.col("end") * rate))
-    found = cut.join(F.broadcast(at), "file_id").withColumns({"_lo": lo, "_hi": hi})
+    found = cut.join(F.broadcast(at) if at.count() <= broadcast_rows else at, "file_id").withColumns({"_lo": lo, "_hi": hi})
     found = found.where((F.col("_hi") > F.col("_lo")) | (first == 0))  # the first chunk tells that a file is there
     piece = F.slice("samples", F.least(F.col("_lo") - first, F.size("samples")).cast("int") + 1, F.greatest(F.lit(0), F.col("_hi") - F.col("_lo")).cast("int"))
     key = ["file_id", "start", "end", "label"]

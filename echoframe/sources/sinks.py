@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,20 @@ def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     (w.partitionBy(by) if by else w).csv(path)
 
 
+#: The columns of a trains file, in order.
+TRAIN_COLUMNS = ["train_id", "start_time", "end_time", "duration", "n_clicks", "ici_median", "ici_mean", "ici_std", "ici_cv", "ici_min", "ici_max", "mean_confidence"]
+
+
+def write_trains(stats: DataFrame, path: str, by: str | None = None) -> None:
+    """The fixed columns of trains as CSV, with ``by`` in a folder for each of its values."""
+    write_csv(stats.select(*[by] * bool(by), *TRAIN_COLUMNS), path, by)
+
+
+def write_rows(df: DataFrame, path: str) -> None:
+    """A few rows, such as a report's, as JSON lines in one file."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
 def write_samples(df: DataFrame, path: str) -> None:
     """Training samples, one folder per split, so that a split is read alone."""
     df.write.partitionBy("split").mode("overwrite").parquet(path)
@@ -35,7 +50,7 @@ def write_clips(df: DataFrame, folder: str, rate: int, samples: str = "samples",
         os.makedirs(folder, exist_ok=True)
         for r in rows:
             with open(os.path.join(folder, r[name]), "wb") as f:
-                f.write(encode(__import__("numpy").asarray(r[samples], float), rate))
+                f.write(encode(np.asarray(r[samples], float), rate))
 
     df.select(name, samples).foreachPartition(put)
 
