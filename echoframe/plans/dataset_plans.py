@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import datasets as D
+from ..operators import evaluate as E
 from ..operators import metrics as M
+from ..operators import model as N
+from ..sources import audio as A
 from ..sources import labels as L
-from .base import SCORES, scores, table
+from .base import QUARTILES, SCORES, scores, table
 
 r6 = lambda c: F.round(F.col(c), 6).alias(c)
 SEED = 17
@@ -134,8 +137,9 @@ def top_outliers(spark, sf):
 
 def dataset_describe(spark, sf):
     v = table(spark, sf, "lineitem")
-    q = lambda p, n: F.round(F.percentile("l_extendedprice", p), 4).alias(n)
-    return v.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("std"), F.min("l_extendedprice").alias("min"), q(0.25, "q25"), q(0.5, "q50"), q(0.75, "q75"), F.max("l_extendedprice").alias("max"))
+    g = v.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.round(F.stddev_samp("l_extendedprice"), 4).alias("std"), F.min("l_extendedprice").alias("min"), F.max("l_extendedprice").alias("max"))
+    q = M.quantiles(v, "l_extendedprice", ["l_returnflag"], QUARTILES)
+    return g.join(q, "l_returnflag").withColumns({n: F.round(n, 4) for n in QUARTILES})
 
 
 def leakage_intersect(spark, sf):
@@ -162,7 +166,36 @@ def parse_labels(spark, sf):
 PARSE_SQL = """SELECT CAST(event_id AS DOUBLE) AS start, CAST(event_id + CASE WHEN event_id % 2 = 0 THEN 3 ELSE 1 END AS DOUBLE) AS "end", CASE WHEN event_id % 2 = 0 THEN 'segment' ELSE event_type END AS label
 FROM events WHERE event_id % 7 <> 0 AND event_id % 11 <> 0"""
 
+def file_roles(spark, sf):
+    """Pages as files of labelled folders: their part of the data set and the path of a copy."""
+    p = table(spark, sf, "pages").select(F.concat(F.regexp_replace("url", r"^https?://|[?].*$", ""), F.when(F.col("page_id") % 3 == 0, "_HighSNR.wav").otherwise("_low.wav")).alias("path"))
+    return A.labelled_roles(p).select("path", "snr", "role", "dst_path")
+
+
+ROLES_SQL = r"""WITH p AS (SELECT regexp_replace(url, '^https?://|[?].*$', '', 'g') || CASE WHEN page_id % 3 = 0 THEN '_HighSNR.wav' ELSE '_low.wav' END AS path, page_id % 3 = 0 AS high FROM pages)
+SELECT path, CASE WHEN high THEN 'high' ELSE 'low' END AS snr, CASE WHEN high THEN 'train' ELSE 'test' END AS role, CASE WHEN high THEN 'train/' ELSE 'test/' END || list_extract(string_split(path, '/'), -1) AS dst_path FROM p"""
+
+
+def evaluation_report(spark, sf):
+    out = E.report(scores(spark, sf), "y", "score", 0.3)
+    return out.select("tn", "fp", "fn", "tp", *[r6(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc", "pr_auc")], "best_threshold", r6("best_f1"))
+
+
+def misclassified(spark, sf):
+    s = scores(spark, sf).select(F.col("id").cast("string").alias("path"), "y", "score")
+    return E.wrong(N.predictions(s, "path", "y", 0.3)).withColumn("confidence", F.round("confidence", 6))
+
+
+def balance_ratio(spark, sf):
+    """Classes cut to one and a half times the smallest."""
+    return D.balanced(scores(spark, sf), "y", SEED, "id", ratio=1.5).select("id", "y")
+
+
 PLANS = {
+    "file_roles": (file_roles, ROLES_SQL),
+    "evaluation_report": (evaluation_report, None),
+    "misclassified": (misclassified, f"WITH {SCORES}, p AS (SELECT CAST(id AS VARCHAR) AS file_path, y AS true_label, CAST(score >= 0.3 AS INT) AS predicted_label, CASE WHEN score >= 0.3 THEN score ELSE 1 - score END AS confidence FROM scores) SELECT file_path, true_label, predicted_label, round(confidence, 6) AS confidence, false AS correct FROM p WHERE true_label <> predicted_label"),
+    "balance_ratio": (balance_ratio, f"WITH {SCORES}, r AS (SELECT id, y, row_number() OVER (PARTITION BY y ORDER BY md5('{SEED}:' || id), id) AS r FROM scores), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM scores GROUP BY y)) SELECT id, y FROM r, m WHERE r <= floor(m * 1.5)"),
     "manifest_split_3_1_1": (manifest_split, f"WITH {PARTS} SELECT {SPLIT} AS split, count(*) AS n, count(DISTINCT parent) AS n_parents FROM parts GROUP BY ALL"),
     "manifest_halves": (manifest_halves, HALVES_SQL),
     "manifest_names": (manifest_names, f"WITH {PARTS} SELECT parent AS parent_id, count(*) AS n, min(seg) AS first_seg FROM parts GROUP BY parent"),
@@ -187,3 +220,7 @@ PLANS = {
     "audacity_labels": (audacity_labels, "SELECT user_id AS source_file, printf('%.6f\t%.6f\tcandidate', greatest(0.0, CAST(event_id AS DOUBLE) * 0.25 - 0.05), CAST(event_id AS DOUBLE) * 0.25 + 0.05) AS value FROM events"),
     "parse_labels": (parse_labels, PARSE_SQL),
 }
+
+_one = lambda sql, name: f"{name} AS MATERIALIZED (SELECT * FROM ({sql}))"
+EVALUATION_SQL = "WITH " + ", ".join(_one(PLANS[n][1], f"e{i}") for i, n in enumerate(("confusion_metrics", "roc_auc", "pr_auc", "optimal_threshold"))) + " SELECT e0.*, roc_auc, pr_auc, threshold AS best_threshold, e3.f1 AS best_f1 FROM e0, e1, e2, e3"
+PLANS["evaluation_report"] = (evaluation_report, EVALUATION_SQL)

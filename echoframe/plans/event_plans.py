@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import matching as M
+from ..operators import metrics
 from ..operators import series as R
 from ..operators import trains as T
 from ..params import Fusion, Trains
-from .base import CLICKS, clicks, table
+from .base import CLICKS, QUARTILES, clicks, table
 
 WEEK = 604800.0
 REFRACTORY = 3600.0
@@ -171,6 +172,14 @@ def nms_suppress(spark, sf):
     return R.suppressed(clicks(spark, sf), "t", "v", ["src"], ORDER, REFRACTORY).select("idx", "src")
 
 
+#: By falling score, with the times of the rows that stay.
+NMS_SQL = f"""WITH RECURSIVE {CLICKS}, o AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY v DESC, t, idx) AS rn FROM clicks),
+w AS (SELECT src, rn, true AS stays, [t] AS kept FROM o WHERE rn = 1 UNION ALL
+ SELECT o.src, o.rn, len(list_filter(w.kept, lambda x: abs(x - o.t) < {REFRACTORY})) = 0,
+  CASE WHEN len(list_filter(w.kept, lambda x: abs(x - o.t) < {REFRACTORY})) = 0 THEN list_append(w.kept, o.t) ELSE w.kept END FROM w JOIN o ON o.src = w.src AND o.rn = w.rn + 1)
+SELECT o.idx, o.src FROM o JOIN w USING (src, rn) WHERE stays"""
+
+
 def threshold_runs(spark, sf):
     return R.threshold_runs(clicks(spark, sf), "v", ["src"], ORDER, 10.0)
 
@@ -238,6 +247,16 @@ SUMMARY_SQL = f"""WITH {CLICKS}{FUSED_SQL} SELECT count(*) AS total, count(*) FI
  count(*) FILTER (conf >= {FUSION.high}) AS high_confidence, count(*) FILTER (conf >= {FUSION.medium} AND conf < {FUSION.high}) AS medium_confidence,
  count(*) FILTER (conf < {FUSION.medium}) AS low_confidence, count(DISTINCT CASE WHEN train_id IS NOT NULL THEN (src, train_id) END) AS n_trains FROM fd"""
 
+def fusion_text(spark, sf):
+    """The summary as text, one line a row."""
+    out = T.fusion_text(T.fusion_summary(T.fused(trained(spark, sf), "t", "conf", ["src"], FUSION, 1.0), "conf", ["src"], FUSION))
+    return out.select(F.posexplode(F.split("text", "\n")).alias("line", "text")).select(F.col("line").cast("long").alias("line"), "text")
+
+
+TEXT_SQL = f"""WITH s AS ({SUMMARY_SQL}) SELECT CAST(line AS BIGINT) AS line, text FROM (SELECT 0 AS line, printf('Total candidates: %d', total) AS text FROM s UNION ALL SELECT 1, printf('Accepted: %d (%.1f%%)', accepted, 100.0 * accepted / total) FROM s
+ UNION ALL SELECT 2, printf('Rejected: %d (%.1f%%)', rejected, 100.0 * rejected / total) FROM s UNION ALL SELECT 3, printf('High confidence: %d', high_confidence) FROM s UNION ALL SELECT 4, printf('Medium confidence: %d', medium_confidence) FROM s
+ UNION ALL SELECT 5, printf('Low confidence: %d', low_confidence) FROM s UNION ALL SELECT 6, printf('Trains detected: %d', n_trains) FROM s)"""
+
 TOLERANCE = 1800.0
 
 
@@ -271,12 +290,12 @@ def intervals(spark, sf):
     p, g = stats(c), stats(c.where("idx % 3 <> 0"))
     return (
         p.select("src", F.col("train_id").alias("pid"), F.col("start_time").alias("s"), F.col("end_time").alias("e"), F.col("ici_median").alias("ici"), "n_clicks"),
-        g.select("src", F.col("train_id").alias("gid"), F.col("start_time").alias("gs"), F.col("end_time").alias("ge"), F.col("ici_median").alias("ici"), "n_clicks"),
+        g.select("src", F.col("train_id").alias("gid"), F.col("start_time").alias("gs"), F.col("end_time").alias("ge"), F.col("ici_median").alias("g_ici"), F.col("n_clicks").alias("g_clicks")),
     )
 
 
 def _pairs(p, g):
-    return M.overlap_pairs(p.select("src", "pid", "s", "e"), g.select("src", "gid", "gs", "ge"), ["src"], 86400.0)
+    return M.overlap_pairs(p, g, ["src"], 86400.0)
 
 
 def train_overlap_pairs(spark, sf):
@@ -287,21 +306,38 @@ def _trains_of(src: str, tag: str) -> str:
     return f"""{tag}c AS (SELECT *, t - lag(t) OVER (PARTITION BY src ORDER BY t, idx) AS gap FROM {src}),
 {tag}n AS (SELECT *, CASE WHEN gap BETWEEN {TRAINS.min_ici} AND {TRAINS.max_ici} THEN 0 ELSE 1 END AS new FROM {tag}c),
 {tag}g AS (SELECT *, sum(new) OVER (PARTITION BY src ORDER BY t, idx ROWS UNBOUNDED PRECEDING) AS grp FROM {tag}n),
-{tag}s AS (SELECT src, grp, min(t) AS s, max(t) AS e, count(*) AS n FROM {tag}g GROUP BY ALL HAVING count(*) >= {TRAINS.min_clicks}),
-{tag} AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY s, grp) - 1 AS id, s, e FROM {tag}s)"""
-
-
-OVERLAP_SQL = f"""WITH {CLICKS}, two AS (SELECT * FROM clicks WHERE idx % 3 <> 0), {_trains_of('clicks', 'ap')}, {_trains_of('two', 'ag')},
-ov AS (SELECT ap.src, ap.id AS pid, ag.id AS gid, CASE WHEN least(ap.e - ap.s, ag.e - ag.s) > 0 THEN greatest(0, least(ap.e, ag.e) - greatest(ap.s, ag.s)) / least(ap.e - ap.s, ag.e - ag.s) ELSE 0 END AS overlap FROM ap JOIN ag USING (src))
-SELECT src, pid, gid, round(overlap, 6) AS overlap FROM ov WHERE overlap >= 0.5"""
+{tag}s AS (SELECT src, grp, min(t) AS s, max(t) AS e, count(*) AS n, median(CASE WHEN new = 0 THEN gap END) AS ici FROM {tag}g GROUP BY ALL HAVING count(*) >= {TRAINS.min_clicks}),
+{tag} AS (SELECT src, row_number() OVER (PARTITION BY src ORDER BY s, grp) - 1 AS id, s, e, n, ici FROM {tag}s)"""
+
+
+OVERLAPS = f"""{CLICKS}, two AS (SELECT * FROM clicks WHERE idx % 3 <> 0), {_trains_of('clicks', 'ap')}, {_trains_of('two', 'ag')},
+ov AS (SELECT ap.src, ap.id AS pid, ag.id AS gid, CASE WHEN least(ap.e - ap.s, ag.e - ag.s) > 0 THEN greatest(0, least(ap.e, ag.e) - greatest(ap.s, ag.s)) / least(ap.e - ap.s, ag.e - ag.s) ELSE 0 END AS overlap, ap.ici AS pi, ag.ici AS gi, ap.n AS pn, ag.n AS gn FROM ap JOIN ag USING (src)),
+ok AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY pid, overlap DESC, gid) AS rn FROM ov WHERE overlap >= 0.5)"""
+OVERLAP_SQL = f"WITH {OVERLAPS} SELECT src, pid, gid, round(overlap, 6) AS overlap FROM ok"
+#: Greedy by recursion over each source's pairs, with the last prediction that was served and the truths that are taken.
+GREEDY_PAIRS = f"""{OVERLAPS}, walk AS (SELECT src, rn, true AS take, pid AS served, [gid] AS taken FROM ok WHERE rn = 1 UNION ALL
+ SELECT k.src, k.rn, k.pid <> w.served AND NOT list_contains(w.taken, k.gid), CASE WHEN k.pid <> w.served AND NOT list_contains(w.taken, k.gid) THEN k.pid ELSE w.served END,
+  CASE WHEN k.pid <> w.served AND NOT list_contains(w.taken, k.gid) THEN list_append(w.taken, k.gid) ELSE w.taken END FROM walk w JOIN ok k ON k.src = w.src AND k.rn = w.rn + 1),
+mt AS (SELECT ok.* FROM ok JOIN walk USING (src, rn) WHERE take)"""
+TRAIN_MATCH_SQL = f"WITH RECURSIVE {GREEDY_PAIRS} SELECT src, pid, gid, round(overlap, 6) AS overlap FROM mt"
+TRAIN_METRICS_SQL = f"""WITH RECURSIVE {GREEDY_PAIRS}, q AS (SELECT (SELECT count(*) FROM mt) AS tp, (SELECT count(*) FROM ap) AS np, (SELECT count(*) FROM ag) AS ng,
+ (SELECT coalesce(avg(abs(pi - gi)), 0) FROM mt) AS ie, (SELECT coalesce(avg(abs(pn - gn)), 0) FROM mt) AS ce),
+q2 AS (SELECT *, CASE WHEN np > 0 THEN tp / np ELSE 0 END AS p, CASE WHEN ng > 0 THEN tp / ng ELSE 0 END AS r FROM q)
+SELECT tp, np - tp AS fp, ng - tp AS fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1,
+ round(ie, 6) AS ici_error, round(ce, 6) AS count_error FROM q2"""
 
 
 def train_metrics(spark, sf):
     p, g = intervals(spark, sf)
-    out = M.train_metrics(M.train_matches(_pairs(p, g), ["src"]), p, g, ["src"])
+    out = M.train_metrics(M.train_matches(_pairs(p, g), ["src"]), p, g)
     return out.select("tp", "fp", "fn", r6("precision"), r6("recall"), r6("f1"), r6("ici_error"), r6("count_error"))
 
 
+def train_matching(spark, sf):
+    """Which train of all clicks is taken for which of two thirds of them."""
+    return M.train_matches(_pairs(*intervals(spark, sf)), ["src"]).select("src", F.col("pid").cast("long").alias("pid"), F.col("gid").cast("long").alias("gid"), r6("overlap"))
+
+
 def chunk_ranges(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "n_chars")
     return R.chunk_ranges(d, "n_chars", 600, 50).select("doc_id", F.col("chunk_id").cast("long").alias("chunk_id"), "start_sample", "end_sample")
@@ -314,8 +350,9 @@ FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars // 550 + 2)) AS i FROM doc
 def train_report(spark, sf):
     """Exact summary of train durations and gaps: count, mean, deviation, quartiles."""
     s = T.train_stats(trained(spark, sf), "t", "conf", ["src"])
-    q = lambda c, p, n: F.round(F.percentile(c, p), 5).alias(n)
-    return s.agg(F.count("*").alias("n"), F.round(F.avg("duration"), 5).alias("mean"), F.round(F.stddev_samp("duration"), 5).alias("std"), q("duration", 0.25, "q25"), q("duration", 0.5, "q50"), q("duration", 0.75, "q75"), F.round(F.max("duration"), 5).alias("max"))
+    g = s.agg(F.count("*").alias("n"), F.round(F.avg("duration"), 5).alias("mean"), F.round(F.stddev_samp("duration"), 5).alias("std"), F.round(F.max("duration"), 5).alias("max"))
+    q = metrics.quantiles(s.withColumn("_k", F.lit(1)), "duration", ["_k"], QUARTILES)
+    return g.withColumn("_k", F.lit(1)).join(q, "_k").drop("_k").withColumns({n: F.round(n, 5) for n in QUARTILES})
 
 
 REPORT_SQL = f"""WITH {CLICKS}{STATS_SQL} SELECT count(*) AS n, round(avg(duration), 5) AS mean, round(stddev_samp(duration), 5) AS std, round(quantile_cont(duration, 0.25), 5) AS q25,
@@ -333,7 +370,7 @@ PLANS = {
     "refractory_merge": (refractory_merge, REFRACTORY_SQL),
     "chunk_dedup": (chunk_dedup, DEDUP_SQL),
     "peak_merge_samples": (peak_merge_samples, MERGE_SQL),
-    "nms_suppress": (nms_suppress, None),
+    "nms_suppress": (nms_suppress, NMS_SQL),
     "threshold_runs": (threshold_runs, RUNS_SQL),
     "build_trains": (build_trains, f"WITH {CLICKS}{TRAIN_SQL} SELECT idx, src, CAST(train_id AS BIGINT) AS train_id, ici FROM tr"),
     "train_stats": (train_stats, f"WITH {CLICKS}{STATS_SQL} SELECT src, train_id, n_clicks, {_rounded} FROM st"),
@@ -341,10 +378,12 @@ PLANS = {
     "doublets": (doublets, f"WITH {CLICKS}{STATS_SQL} SELECT src, train_id, round(mean_confidence, 6) AS mean_confidence FROM st WHERE n_clicks = 2 AND ici_median BETWEEN {FUSION.doublet_ici_ms[0]} AND {FUSION.doublet_ici_ms[1]} AND mean_confidence >= {FUSION.doublet_confidence}"),
     "fusion_decisions": (fusion_decisions, f"WITH {CLICKS}{FUSED_SQL} SELECT idx, CAST(train_id AS BIGINT) AS train_id, reason, accept FROM fd"),
     "fusion_summary": (fusion_summary, SUMMARY_SQL),
+    "fusion_text": (fusion_text, TEXT_SQL),
     "event_match": (event_match, MATCH_SQL),
     "event_metrics": (event_metrics, MATCH_METRICS_SQL),
     "train_overlap_pairs": (train_overlap_pairs, OVERLAP_SQL),
-    "train_metrics": (train_metrics, None),
+    "train_matching": (train_matching, TRAIN_MATCH_SQL),
+    "train_metrics": (train_metrics, TRAIN_METRICS_SQL),
     "train_report": (train_report, REPORT_SQL),
     "chunk_ranges": (chunk_ranges, CHUNK_SQL),
 }
