@@ -204,7 +204,7 @@ def reverberated(x: Column, delay: int, gain: float) -> Column:
 
 
 def de_emphasis(x: Column, c: float = 0.97) -> Column:
-    """Inverse of :func:`pre_emphasis`: y[n] = x[n] + c y[n-1]."""
-    empty = F.struct(F.array().cast("array<double>").alias("y"), F.lit(0.0).alias("last"))
-    step = lambda a, v: let(v + c * a["last"], lambda y: F.struct(F.concat(a["y"], F.array(y)).alias("y"), y.alias("last")))
-    return F.aggregate(x, empty, step, lambda a: a["y"])
+    """Inverse of :func:`pre_emphasis`: y[n] = x[n] + c y[n-1], a filter section like any other."""
+    from .kernels import filtered, mapped
+
+    return mapped(lambda v: filtered([[1.0, 0.0, 0.0, 1.0, -c, 0.0]], v))(x)

@@ -42,6 +42,16 @@ def frame_table(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
     return chunks.select("source_file", "chunk_id", "sample_rate", "samples").mapInArrow(run, schema)
 
 
+def passes(f: dict, p: Detection):
+    """The rules for a peak, over NumPy arrays or columns alike: tkeo_z, ste_z, hfc_z, high_low and centroid."""
+    return (f["tkeo_z"] > p.tkeo_z) & (f["ste_z"] >= p.ste_z) & ((f["hfc_z"] >= p.hfc_z) | (f["high_low"] >= p.high_low)) & (f["centroid"] >= p.centroid_hz)
+
+
+def fits(width_ms, p: Detection):
+    """The rule for the envelope's width."""
+    return (width_ms >= p.width_ms[0]) & (width_ms <= p.width_ms[1])
+
+
 def peaks(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
     """Strict peaks of the z-scored energy operator above its threshold, with what the rules read."""
 
@@ -54,8 +64,8 @@ def peaks(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
                 f = kernels.frame_features(x, rate, p.window_ms, p.step_ms, p.high_hz)
                 z = {k: kernels.robust_z(f[k]) for k in ("tkeo", "ste", "hfc")}
                 t = z["tkeo"]
-                at = np.flatnonzero((t[1:-1] > p.tkeo_z) & (t[1:-1] > t[:-2]) & (t[1:-1] > t[2:])) + 1
-                at = at[(z["ste"][at] >= p.ste_z) & ((z["hfc"][at] >= p.hfc_z) | (f["high_low_ratio"][at] >= p.high_low)) & (f["spectral_centroid"][at] >= p.centroid_hz)]
+                at = np.flatnonzero((t[1:-1] > t[:-2]) & (t[1:-1] > t[2:])) + 1
+                at = at[passes({"tkeo_z": t[at], "ste_z": z["ste"][at], "hfc_z": z["hfc"][at], "high_low": f["high_low_ratio"][at], "centroid": f["spectral_centroid"][at]}, p)]
                 if not len(at):
                     continue
                 env = kernels.envelope(x)
@@ -73,7 +83,7 @@ def peaks(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
 
 def candidates(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
     """Clicks of all chunks: rules, confidence, likelihood, merging within chunks and then across them."""
-    df = peaks(chunks, p).where(F.col("envelope_width").between(*p.width_ms))
+    df = peaks(chunks, p).where(fits(F.col("envelope_width"), p))
     confidence = scores.rule_confidence(*[F.col(c) for c in ("tkeo_value", "ste_value", "hfc_value", "high_low_ratio", "envelope_width")])
     df = df.withColumns({"confidence_score": confidence, "dolphin_likelihood": F.lit(1.0)})
     if p.transient_filter:

@@ -9,7 +9,8 @@ from ..operators import matching as M
 from ..operators import metrics
 from ..operators import series as R
 from ..operators import trains as T
-from ..params import Fusion, Trains
+from ..operators.detect import fits, passes
+from ..params import Detection, Fusion, Trains
 from .base import CLICKS, QUARTILES, clicks, table
 
 WEEK = 604800.0
@@ -77,15 +78,17 @@ FEATURES_SQL = ", f AS (SELECT *, " + ", ".join(f"CAST({e} AS DOUBLE) AS {n}" fo
 
 
 def rule_filter(spark, sf):
+    """The detector's own rules, with lower thresholds for two of the stand-ins."""
     f = features(z_scores(spark, sf))
     c = {n: F.col(n) for n in FEATURES}
-    kept = f.where((c["tkeo_z"] >= 1) & (c["ste_z"] >= 1) & ((c["hfc_z"] >= 4) | (c["high_low"] >= 1.2)) & c["width"].between(0.2, 1.8) & (c["centroid"] >= 8500))
+    p = Detection(tkeo_z=1.0, ste_z=1.0)
+    kept = f.where(passes(c, p) & fits(c["width"], p))
     return kept.select("idx", F.round(S.rule_confidence(c["tkeo_z"], c["ste_z"], c["hfc_z"], c["high_low"], c["width"]), 6).alias("confidence"))
 
 
 CONFIDENCE = "0.3 * least(1, tkeo_z / 10) + 0.25 * least(1, ste_z / 10) + 0.2 * least(1, hfc_z / 8) + 0.15 * least(1, high_low / 2) + 0.1 * least(1, greatest(0, 1 - abs(width - 0.8)))"
 RULE_SQL = f"""WITH {CLICKS}{Z}{FEATURES_SQL} SELECT idx, round({CONFIDENCE}, 6) AS confidence FROM f
-WHERE tkeo_z >= 1 AND ste_z >= 1 AND (hfc_z >= 4 OR high_low >= 1.2) AND width BETWEEN 0.2 AND 1.8 AND centroid >= 8500"""
+WHERE tkeo_z > 1 AND ste_z >= 1 AND (hfc_z >= 4 OR high_low >= 1.2) AND width BETWEEN 0.2 AND 1.8 AND centroid >= 8500"""
 
 
 def rule_confidence(spark, sf):
