@@ -6,7 +6,8 @@ each kind is read left to right without overlaps, and a candidate that fails its
 kinds are added by the method: ``url`` (a scheme whose authority carries user information) and ``account`` (an
 identifier after a cue; one after an IBAN cue must pass the mod-97 check).
 
-Defined cases: a null or empty text has no spans; repeated rows are each scanned; an empty table gives an empty result;
+Defined cases: a null or empty text has no spans; very long texts are scanned whole; of equal starts the longer span stays in
+:func:`redact`, and spans of different kinds may overlap; repeated rows are each scanned; an empty table gives an empty result;
 columns other than the key and the text are not read.
 """
 
@@ -15,11 +16,14 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 KINDS = ["email", "ip", "card", "phone", "url", "account"]
 BASE_KINDS = KINDS[:4]
 #: Fixed words before an identifier.
@@ -30,7 +34,7 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 LABEL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-")
 DIGIT = frozenset("0123456789")
 PHONE = frozenset(" ().0123456789-")
-_AFTER_CUE = re.compile(r"(?:[ \t]*(?:number|no\.?|nr\.?|#|:|=|is))*[ \t]*([A-Za-z0-9][A-Za-z0-9-]{5,33})")
+_AFTER_CUE = re.compile(r"(?i)(?:[ \t]*(?:number|no\.?|nr\.?|#|:|=|is))*[ \t]*([A-Za-z0-9][A-Za-z0-9-]{5,33})")
 _IBAN = re.compile(r"[ \t:#=]*([A-Za-z]{2}[0-9]{2}(?: ?[A-Za-z0-9]){11,30})(?![A-Za-z0-9])")
 _USERINFO = re.compile(r"[^\s/@?#<>\"']+@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s<>\"']*)?")
 
@@ -48,12 +52,10 @@ def automaton():
             _automaton.add_word(c, ("digit", 1))
         _automaton.add_word("@", ("at", 1))
         _automaton.add_word("+", ("plus", 1))
-        for s in SCHEMES:
-            for v in {s, s.upper(), s.capitalize()}:
-                _automaton.add_word(v, ("scheme", len(v)))
-        for s in CUES:
-            for v in {s, s.upper(), s.capitalize()}:
-                _automaton.add_word(v, ("cue", len(v)))
+        for kind, words in (("scheme", SCHEMES), ("cue", CUES)):
+            for s in words:
+                for v in map("".join, product(*({c, c.upper()} for c in s))):  # in any case
+                    _automaton.add_word(v, (kind, len(v)))
         _automaton.make_automaton()
     return _automaton
 
@@ -213,6 +215,7 @@ def spans(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame
             kinds = [pa.int64()] * 5 + [pa.string(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], NAMES)
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key), F.col(text)).mapInArrow(scan, SCHEMA)
 
 
@@ -232,6 +235,8 @@ def redact(t: str) -> str:
 def redacted(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data replaced in ``text``; null stays null."""
 
+    small_batches(docs.sparkSession)
+
     @F.arrow_udf("string")
     def swap(x: pa.Array) -> pa.Array:
         return pa.array((None if (t := v.as_py()) is None else redact(t) for v in x), pa.string())
