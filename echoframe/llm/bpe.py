@@ -7,7 +7,8 @@ goes from a non-space on to a space, so a match ends there; none looks behind, s
 look-ahead is for white space, which doesn't end there. Tokens outside the window are therefore those of the whole text.
 Decoding concatenates the halves' bytes up the same tree.
 
-Defined cases: a null or empty text has no tokens; repeated rows are each encoded; an empty table gives an empty result.
+Defined cases: a null or empty text has no tokens; very long texts are encoded whole; repeated rows are each encoded; other
+columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

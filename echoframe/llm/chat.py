@@ -8,7 +8,8 @@ Turns of a conversation are dealt by its id and sorted by Spark; the machine rea
 so a conversation of any length takes constant memory.
 
 Defined cases: a null text or role is empty; a null id is a conversation of its own; turns with equal numbers go by role,
-then text, and repeated rows stay; an order that isn't allowed is formatted all the same and told in ``valid``.
+then text, and repeated rows stay; an order that isn't allowed is formatted all the same and told in ``valid``; very long
+texts and conversations are formatted whole; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ out-of-place distance to a language is the sum of rank differences, ``top`` for
 Profiles hold languages x ``top`` rows whatever the corpus's size; counts are summed in Spark.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; without any training text every document is;
-equal distances go to the first name; repeated rows count as often as they occur.
+equal distances go to the first name, equal counts to the lower n-gram; very long texts are read whole; repeated rows count
+as often as they occur, and are each predicted; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .kernels import slices
+from .scratch import small_batches
 
 TOP = 300
 #: Distinct n-grams that a task holds before it passes their counts on.
@@ -99,6 +101,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", top: int = TO
                     size = 0
         yield from out()
 
+    small_batches(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     sums = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), F.expr("gram < 0"), "gram")  # as unsigned, like the documents' own
@@ -140,4 +143,5 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text"
             got = [m.best(t.as_py()) if m else ("und", 0.0) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")

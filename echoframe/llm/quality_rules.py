@@ -3,8 +3,9 @@
 Every document is measured in one pass over its words. Failures of a rule set are counted by host, each host's failure
 rate is shrunk by a beta prior that is fitted to all hosts by moments, and the host's verdict is joined back.
 
-Defined cases: a null text has no words and so fails; a null host is a host of its own without a verdict; an empty table
-gives an empty result; repeated rows are each measured; other columns stay untouched (clashing names are overwritten by
+Defined cases: a null or empty text has no words and so fails; very long texts are measured whole; a rate or share at its bound
+passes, as only what is above fails; a null host is a host of its own without a verdict; an empty table gives an empty
+result; repeated rows are each measured; other columns stay untouched (clashing names are overwritten by
 the measures only in :func:`measured`, never in :func:`passing`, which keeps the caller's columns).
 """
 
@@ -42,7 +43,9 @@ def repeated_words(words: Column) -> Column:
     """Words in 3-word windows that occur twice or more in the array ``words``, each word counted once.
 
     Windows are 64-bit hashes. Where any repeats, hash and position are packed in one long (as many low bits as positions
-    need), sorted, and equal neighbours are confirmed by their full hashes: n log n for any text.
+    need), sorted, and equal neighbours are confirmed by their full hashes: n log n for any text. Two windows are taken for
+    equal by their hashes, and a repeat is missed if a third window between its places shares the hash's upper bits but not
+    the rest: among n windows either has a probability of about n * n / 2**(64 - log2(n)).
     """
 
     def count(grams: Column) -> Column:
