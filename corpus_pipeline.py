@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.llm import bpe, decontaminate, minhash, quality_rules, secret_scan
-from echoframe.llm.scratch import written
+from echoframe.llm.scratch import Tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,9 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of the documents that are left, by all stages in order; each stage's table goes when the next is written.
+
+    Defined cases: null and empty texts fail the quality rules; rows with one id are one document; very long texts are taken
+    whole; equal texts leave the one with the least id; an empty table gives an empty result; further columns of the
+    documents, whatever their names, pass through all stages but the last.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    with Tables(spark, "pipeline") as tables:
+        for name, stage in STAGES[:-1]:
+            done = tables.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            tables.drop(docs)
+            docs = done
+        tables.keep(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
