@@ -94,7 +94,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     fusion = with_settings(Fusion(), config.get("fusion", {}))
     part, order = ["source_file"], ["peak_time", "peak_idx"]
     if a.command == "scan":
-        sinks.write_csv(audio.recordings(audio.files(spark, [a.input])), a.output)
+        sinks.write_csv(audio.recordings(audio.files(spark, [a.input])).orderBy("filepath"), a.output)
     elif a.command == "detect":
         cut = audio.chunks(audio.files(spark, [a.input]), detection.chunk_s, detection.overlap_s)
         detect.events(detect.candidates(cut, detection)).write.mode("overwrite").parquet(a.output)

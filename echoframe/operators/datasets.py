@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import waves
+from .metrics import with_nulls
 
 #: Which parents go to which split; any other parent trains.
 PARENT_SPLIT = {4: "val", 5: "test"}
@@ -62,12 +63,8 @@ def ranked(df: DataFrame, part: list[str], seed: int, *key: str, rank: str = "_r
     w = Window.partitionBy(*part)
     counts = rows.groupBy(*part, "_d").agg(F.count("*").alias("_c"))
     counts = counts.withColumns({"_off": F.coalesce(F.sum("_c").over(w.orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), size: F.sum("_c").over(w)})
-    counts = counts.select(*[F.col(c).alias(f"_p{i}") for i, c in enumerate(part)], F.col("_d").alias("_d2"), "_off", size)
-    same = F.col("_d") == F.col("_d2")
-    for i, c in enumerate(part):
-        same = same & F.col(c).eqNullSafe(F.col(f"_p{i}"))
     own = F.row_number().over(Window.partitionBy(*part, "_d").orderBy("_h", *key)) - 1
-    return rows.withColumn("_own", own).join(counts, same).withColumn(rank, F.col("_own") + F.col("_off")).select(*df.columns, rank, size)
+    return with_nulls(rows.withColumn("_own", own), counts.drop("_c"), [*part, "_d"]).withColumn(rank, F.col("_own") + F.col("_off")).select(*df.columns, rank, size)
 
 
 def with_extreme(df: DataFrame, label: str, pick) -> DataFrame:

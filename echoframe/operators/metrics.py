@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,10 +56,17 @@ def in_ranges(df: DataFrame, value: str, out: str, n: int = 256, part: list[str]
     bounds = df.groupBy(*part).agg(F.percentile_approx(value, shares, 10 * n).alias("_bounds"))
     # how many bounds lie below the value: the place at which it would stand among them
     place = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
-    both = df.join(F.broadcast(bounds), part) if part else df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
+    both = with_nulls(df, bounds, part) if part else df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
     return both.withColumn(out, place).select(*df.columns, out)
 
 
+def with_nulls(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on equal keys, where null is a key like any other."""
+    named = other.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in other.columns if c not in keys])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
+    return df.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float]) -> DataFrame:
     """Exact quantiles, interpolated between neighbours, of each part: one row with a column for each of ``probs``.
 
@@ -72,7 +81,7 @@ def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float
     at = {name: (F.col("_all") - 1) * p for name, p in probs.items()}
     ranks = [f(x) for x in at.values() for f in (F.floor, F.ceil)]
     here = F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))
-    near = counts.join(totals.where(here).select(*part, "_range", "_before", "_all"), [*part, "_range"])
+    near = with_nulls(counts, totals.where(here).select(*part, "_range", "_before", "_all"), [*part, "_range"])
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*part, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("_upto", upto)
 

@@ -210,6 +210,21 @@ def test_commands_from_clips_to_a_model(spark, tmp_path):
     run("label-report", tmp_path / "l.json", out / "labels")
 
 
+def test_spectral_stats_and_echo(spark):
+    n, at = 512, 100
+    tone = np.sin(2 * np.pi * at * np.arange(n) / n)
+    band, rolloff, flat = kernels.spectral_stats(tone, n)
+    assert band < 3 and abs(rolloff - at) <= 2 and flat < 0.1 and kernels.spectral_stats(np.zeros(0), 8) == (0.0, 0.0, 0.0)
+    noise = np.random.default_rng(1).normal(size=n)
+    m = np.abs(np.fft.rfft(noise * np.hanning(n)))
+    hz = np.arange(len(m))
+    c = (hz * m).sum() / m.sum()
+    assert np.allclose(kernels.spectral_stats(noise, n)[0], np.sqrt((m * (hz - c) ** 2).sum() / m.sum()))
+    df = spark.createDataFrame([([1.0, 0.0, 0.0, -2.0],)], "x array<double>")
+    got = df.select(waves.reverberated(F.col("x"), 2, 0.5).alias("r"), waves.shifted(F.col("x"), F.lit(1)).alias("s"), waves.shifted(F.col("x"), F.lit(-2)).alias("t")).first()
+    assert got.r == [0.5, 0.0, 0.25, -1.0] and got.s == [1.0, 1.0, 0.0, 0.0] and got.t == [0.0, -2.0, -2.0, -2.0]
+
+
 def test_kernels_in_blocks():
     x = np.random.default_rng(7).normal(size=3000)
     a, b = kernels.frame_features(x, 44100), kernels.frame_features(x, 44100, block=100)

@@ -7,10 +7,10 @@ from echoframe.operators import datasets, matching, metrics
 
 def test_quantiles_equal_numpy(spark):
     rng = random.Random(1)
-    rows = [(p, rng.choice([float(rng.randrange(9)), rng.gauss(0, 1e6), rng.random() * 1e-9])) for p in ("a", "b") for _ in range(3000)] + [("c", 5.0), ("c", None), ("d", 1.0), ("d", 2.0)]
+    rows = [(p, rng.choice([float(rng.randrange(9)), rng.gauss(0, 1e6), rng.random() * 1e-9])) for p in ("a", "b") for _ in range(3000)] + [("c", 5.0), ("c", None), ("d", 1.0), ("d", 2.0), (None, 1.0), (None, 4.0)]
     probs = {"q0": 0.0, "q1": 0.1, "q5": 0.5, "q9": 0.93, "q10": 1.0}
     got = {r.p: r for r in metrics.quantiles(spark.createDataFrame(rows, "p string, v double"), "v", ["p"], probs).collect()}
-    for p in "abcd":
+    for p in (*"abcd", None):
         x = np.array([v for q, v in rows if q == p and v is not None])
         for n, share in probs.items():
             assert np.isclose(got[p][n], np.quantile(x, share), rtol=1e-12, atol=1e-12), (p, n)
