@@ -51,17 +51,18 @@ def readiness(samples: DataFrame, length: int, min_rows: int = 1, max_imbalance:
     """Rows (check, ok, detail) about a training set: rows of each split, both labels, lengths, finite values, balance, and
     no sample in two splits."""
     x = F.col("waveform")
-    one = samples.agg(
-        F.count_if(F.col("split") == "train").alias("train"),
-        F.count_if(F.col("split") == "val").alias("val"),
-        F.count_if(F.col("label") == 1).alias("pos"),
-        F.count_if(F.col("label") == 0).alias("neg"),
-        F.count_if(F.size(x) != length).alias("odd"),
-        F.count_if(F.exists(x, lambda v: F.isnan(v) | v.isNull() | (F.abs(v) > 10))).alias("wild"),
-    )
-    twice = samples.groupBy("file_id").agg(F.countDistinct("split").alias("_s")).agg(F.count_if(F.col("_s") > 1).alias("leaks"))
-    one = one.withColumn("_k", F.lit(1)).join(twice.withColumn("_k", F.lit(1)), "_k")
-    c = {n: F.col(n) for n in ("train", "val", "pos", "neg", "odd", "wild", "leaks")}
+    counted = {
+        "train": F.col("split") == "train",
+        "val": F.col("split") == "val",
+        "pos": F.col("label") == 1,
+        "neg": F.col("label") == 0,
+        "odd": F.size(x) != length,
+        "wild": F.exists(x, lambda v: F.isnan(v) | v.isNull() | (F.abs(v) > 10)),
+    }
+    by_file = samples.groupBy("file_id").agg(*[F.count_if(v).alias(n) for n, v in counted.items()], (F.min("split") != F.max("split")).alias("leaks"))
+    zero = F.lit(0).cast("long")
+    one = by_file.agg(*[F.coalesce(F.sum(n), zero).alias(n) for n in counted], F.count_if("leaks").alias("leaks"))
+    c = {n: F.col(n) for n in (*counted, "leaks")}
     told = lambda *names: reduce(lambda a, b: F.concat_ws(" ", a, b), [F.concat(F.lit(f"{n}="), c[n].cast("string")) for n in names])
     checks = [
         ("splits", (c["train"] >= min_rows) & (c["val"] >= min_rows), told("train", "val")),
