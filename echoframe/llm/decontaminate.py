@@ -37,10 +37,10 @@ from .scratch import small_batches
 @dataclass(frozen=True)
 class Search:
     max_edit: float = 0.15
-    recall: float = 0.99
+    recall: float = 0.999
     samples: int = 3
     #: Simulated passages for each length of item; they set its number of repeats and decide no match.
-    simulated: int = 300
+    simulated: int = 400
     seed: int = 7
     block_items: int = 20_000
 
