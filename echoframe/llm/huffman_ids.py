@@ -37,7 +37,7 @@ LIMIT = 16
 STRIDE = 128
 BLOCK_TOKENS = 1 << 18
 #: Units that a worker keeps, and their bytes.
-CACHE, CACHE_BYTES = 1_000_000, 32 << 20
+CACHE, CACHE_BYTES = 1_500_000, 32 << 20
 END = 2
 
 _tokenizers: dict[str, object] = {}
@@ -61,6 +61,7 @@ class Units:
     def __init__(self):
         self.hash, self.start, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint32)
         self.begin, self.bytes, self.raw = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.uint8)
+        self.uses = np.empty(0, np.uint16)  # slices that had the unit
 
     def missing(self, h: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.hash, h)
@@ -71,10 +72,26 @@ class Units:
         at = np.searchsorted(self.hash, h)
         self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(size) - size)
         self.begin = np.insert(self.begin, at, len(self.raw) + np.cumsum(e - s) - (e - s))
+        self.uses = np.insert(self.uses, at, 0)
         self.size, self.bytes, self.hash = np.insert(self.size, at, size), np.insert(self.bytes, at, e - s), np.insert(self.hash, at, h)
         self.flat, self.raw = np.concatenate([self.flat, flat]), np.concatenate([self.raw, take_ragged(raw, s, e - s)])
 
 
+    def used(self, place: np.ndarray) -> None:
+        self.uses[place] = np.minimum(self.uses[place], 60_000) + 1
+
+    def thin(self) -> None:
+        """Drops the units that one slice had, and more while over half of the room is taken; what is left counts half."""
+        if len(self.hash) <= CACHE and len(self.raw) <= CACHE_BYTES:
+            return
+        least = 2
+        while (keep := self.uses >= least).sum() > CACHE // 2 or self.bytes[keep].sum() > CACHE_BYTES // 2:
+            least *= 2
+        self.flat, self.raw = take_ragged(self.flat, self.start[keep], self.size[keep].astype(np.int64)), take_ragged(self.raw, self.begin[keep], self.bytes[keep].astype(np.int64))
+        self.hash, self.size, self.bytes, self.uses = self.hash[keep], self.size[keep], self.bytes[keep], self.uses[keep] // 2
+        self.start, self.begin = (np.cumsum(n, dtype=np.int64) - n for n in (self.size, self.bytes))
+
+
 def unit_cuts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Positions where units begin: the rows' bounds, and around single white space between other characters."""
     n = len(raw)
@@ -147,13 +164,13 @@ def encode_texts(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.uint32), np.zeros(len(column), np.int64)
     e = np.append(s[1:], len(raw))
     h, first, back = np.unique(span_hashes(raw, s, e), return_index=True, return_inverse=True)
-    if len(_units[path].hash) > CACHE or len(_units[path].raw) > CACHE_BYTES:
-        _units[path] = Units()
     known = _units[path]
+    known.thin()
     new = known.missing(h)
     if new.any():
         known.add(h[new], *encode_units(t, raw, s[first[new]], e[first[new]]), raw, s[first[new]], e[first[new]])
     place = np.searchsorted(known.hash, h)
+    known.used(place)
     begin, n, flat = known.start[place][back], known.size[place][back].astype(np.int64), known.flat
     # a unit whose bytes aren't those that its hash stands for, in this slice or among the known ones, is encoded anew
     again = np.flatnonzero(first[back] != np.arange(len(s)))
