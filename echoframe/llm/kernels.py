@@ -24,6 +24,11 @@ SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Bytes outside terms, which are runs of ASCII letters and digits and of all that is not ASCII.
+BETWEEN_TERMS = np.zeros(256, bool)
+BETWEEN_TERMS[:128] = True
+BETWEEN_TERMS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers in which every input bit reaches every output bit."""
@@ -55,12 +60,12 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def word_spans(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``."""
+def word_spans(raw: np.ndarray, at: np.ndarray, between: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of every word ``[^\\x20\\x09-\\x0D]+``, or of every run without the bytes of ``between``."""
     n = len(raw)
     if not n:
         return (np.empty(0, np.int64),) * 3
-    inside = ~SEPARATOR[raw]
+    inside = ~between[raw]
     first = np.zeros(n + 1, bool)
     first[at] = True
     starts = inside.copy()
@@ -113,6 +118,13 @@ def word_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return span_hashes(raw, s, e), row
 
 
+def term_hashes(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every term ``[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+``, A-Z as a-z."""
+    low = LOWER[raw]
+    s, e, row = word_spans(low, at, BETWEEN_TERMS)
+    return span_hashes(low, s, e), row
+
+
 def windows(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every run of ``n`` words inside one row."""
     m = len(hashes) - n + 1
