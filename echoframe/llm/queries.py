@@ -81,6 +81,18 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import held_out
+    from .scratch import Tables
+    from .toxicity import learn, score
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = held_out(F.col("doc_id"), 5, 0)
+    with Tables(spark, "toxicity") as tables:
+        model = learn(docs.select("doc_id", "text"), labels.where(~out).select("doc_id", F.col("toxic").cast("int").alias("label")), tables)
+    return score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ranked_search import ranked
 
@@ -98,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": op8_katz,
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
+    "op11_toxicity": op11_toxicity,
     "op13_ranked_search": op13_ranked_search,
 }
 
