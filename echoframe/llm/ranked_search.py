@@ -48,6 +48,8 @@ SHORT = 64
 WINDOW = 4096
 #: Queries that are searched at once; further ones read the index again.
 QUERIES_AT_ONCE = 20_000
+#: Terms of queries that are sent to every task; more are joined by a shuffle.
+BROADCAST_TERMS = 500_000
 #: Stands for a null id, which comes first among equal scores.
 NO_ID = np.iinfo(np.int64).min
 
@@ -158,8 +160,9 @@ def _queries(queries: DataFrame, key: str, text: str) -> list[tuple[int | None,
 
 def _searched(found: Index, asked: list[tuple[int | None, Counter]], first: int, k: int) -> DataFrame:
     spark = found.postings.sparkSession
-    terms = spark.createDataFrame([(t,) for t in sorted({t for _, q in asked for t in q})], "term long")
-    lists = found.postings.join(terms, "term", "left_semi")
+    distinct = sorted({t for _, q in asked for t in q})
+    terms = spark.createDataFrame([(t,) for t in distinct], "term long")
+    lists = found.postings.join(F.broadcast(terms) if len(distinct) <= BROADCAST_TERMS else terms, "term", "left_semi")
     df = {r.term: r.n for r in lists.groupBy("term").agg(F.sum("n").alias("n")).collect()}  # the terms of these queries only
     weight = weights(df, found.docs)
     known = [[(t, q) for t, q in c.items() if t in weight] for _, c in asked]
