@@ -93,6 +93,12 @@ def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ranked_search import ranked
 
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secrets": op9_secrets,
     "op10_chat": op10_chat,
     "op11_toxicity": op11_toxicity,
+    "op12_whitening": op12_whitening,
     "op13_ranked_search": op13_ranked_search,
 }
 
