@@ -114,9 +114,8 @@ def learn(docs: DataFrame, labels: DataFrame, tables: Tables, rates: Rates = Rat
     small_batches(spark)
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(known, F.col("id").eqNullSafe(F.col("doc_id"))).select("place", "label", "text")
     rows = tables.put(texts.mapInArrow(extract, "place long, label int, at array<int>"), "features")
-    often = rows.select(F.explode("at").alias("at")).groupBy("at").count().where(F.col("count") >= LEAST).select("at").toPandas()["at"].to_numpy()
     kept = np.zeros(INTERCEPT, bool)
-    kept[often] = True
+    kept[_often(rows)] = True
     # Held from pass to pass, and made again from the table of features where an executor is lost.
     dealt = _dealt(rows, kept).persist()
     try:
@@ -131,6 +130,21 @@ def learn(docs: DataFrame, labels: DataFrame, tables: Tables, rates: Rates = Rat
     return pd.DataFrame({"at": at, "w": w[at]})
 
 
+def _often(rows: DataFrame) -> np.ndarray:
+    """The coordinates that at least ``LEAST`` documents have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(INTERCEPT, np.int64)
+        for b in batches:
+            n += np.bincount(b.column("at").flatten().to_numpy(), minlength=INTERCEPT)
+        at = np.flatnonzero(n)
+        for part in np.array_split(at, len(at) // 100_000 + 1):
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["at", "n"])
+
+    sums = rows.select("at").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return sums.where(F.col("n") >= LEAST).select("at").toArrow()["at"].to_numpy()  # of all coordinates at most
+
+
 def _dealt(rows: DataFrame, kept: np.ndarray) -> DataFrame:
     """Documents by shard in hash order, with the coordinates that are learned."""
     mask = rows.sparkSession.sparkContext.broadcast(np.packbits(kept))
@@ -181,10 +195,11 @@ def _passed(dealt: DataFrame, z: np.ndarray, n: np.ndarray, rates: Rates, shards
             yield pa.RecordBatch.from_arrays([pa.array(x.round().astype(np.int64)) for x in (part, dz, dn)], ["at", "dz", "dn"])
 
     sums = dealt.mapInArrow(run, "at long, dz long, dn long").groupBy("at").agg(F.sum("dz").alias("dz"), F.sum("dn").alias("dn"))
-    got = sums.toPandas()  # a row for each coordinate at most
+    got = sums.toArrow()  # a row for each coordinate at most
+    at = got["at"].to_numpy()
     z, n = z.copy(), n.copy()
-    z[got["at"]] += got["dz"].to_numpy() / UNIT / shards
-    n[got["at"]] += got["dn"].to_numpy() / UNIT / shards
+    z[at] += got["dz"].to_numpy() / UNIT / shards
+    n[at] += got["dn"].to_numpy() / UNIT / shards
     known.unpersist()
     return z, n
 

@@ -79,17 +79,17 @@ def centred(x: Column, n: int, sums: list[int]) -> Column:
     return F.zip_with(x.cast("array<double>"), means, lambda a, b: a - b)
 
 
-def blocks(rows: DataFrame, n: int, width: int, columns: int = COLUMNS) -> BlockMatrix:
-    """The block matrix of ``index`` and ``v`` (array of doubles)."""
+def blocks(rows: DataFrame, n: int, width: int, tall: int) -> BlockMatrix:
+    """The block matrix of ``index`` and ``v`` (array of doubles), in blocks of ``tall`` rows."""
     table = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("v").alias("vector")), "vector")
-    return IndexedRowMatrix(table, n, width).toBlockMatrix(ROWS, columns)
+    return IndexedRowMatrix(table, n, width).toBlockMatrix(tall, COLUMNS)
 
 
 def panels(rows: DataFrame, n: int, width: int) -> Iterator[tuple[int, BlockMatrix]]:
     """The matrix of all rows, in panels, and the index at which each starts."""
     for a in range(0, n, PANEL):
         some = rows.where(F.col("index").between(a, a + PANEL - 1)) if n > PANEL else rows
-        yield a, blocks(some.withColumn("index", F.col("index") - a), min(PANEL, n - a), width)
+        yield a, blocks(some.withColumn("index", F.col("index") - a), min(PANEL, n - a), width, ROWS)
 
 
 def scatter(m: BlockMatrix) -> np.ndarray:
@@ -133,7 +133,7 @@ def fit(vectors: DataFrame, tables: Tables, k: int) -> Whitening | None:
 def small(spark: SparkSession, u: np.ndarray) -> BlockMatrix:
     """A matrix of the driver as blocks."""
     rows = spark.createDataFrame([(i, r) for i, r in enumerate(u.tolist())], "index long, v array<double>")
-    return blocks(rows, u.shape[0], u.shape[1])
+    return blocks(rows, u.shape[0], u.shape[1], COLUMNS)
 
 
 def projected(rows: DataFrame, n: int, w: Whitening) -> DataFrame:
