@@ -183,8 +183,8 @@ BLOCK = 512
 
 @lru_cache(maxsize=64)
 def section(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.ndarray, ...]:
-    """Of one section over a block: spectrum of the impulse response, what each state adds to the outputs, how the block
-    moves the states, and what each input leaves in them."""
+    """Of one section over a block: spectrum of the impulse response, the powers of the step that moves its states (what a
+    state adds to the outputs is their first row), and what an input leaves in them."""
     step = np.array([[-a1, 1.0], [-a2, 0.0]])
     into = np.array([b1 - a1 * b0, b2 - a2 * b0])
     powers = [np.eye(2)]
@@ -192,27 +192,39 @@ def section(b0: float, b1: float, b2: float, a1: float, a2: float) -> tuple[np.n
         powers.append(step @ powers[-1])
     p = np.array(powers)
     unit = np.append(b0, p[: BLOCK - 1, 0] @ into)
-    return np.fft.rfft(unit, 2 * BLOCK), p[:BLOCK, 0], p[BLOCK], p[:BLOCK][::-1] @ into
+    return np.fft.rfft(unit, 2 * BLOCK), p, p @ into
 
 
-def filtered(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The cascade applied once, causal, from rest.
+def carried(sos: np.ndarray, x: np.ndarray, states: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The cascade applied once, causal, from the states given (two a section; rest without), and the states that it leaves.
 
     A section's recursion is run in blocks: the response to a block from rest is a convolution with the section's impulse
     response, and the two states carried into the block add their decays.
     """
     y = np.asarray(x, np.float64)
-    for b0, b1, b2, _, a1, a2 in np.asarray(sos).tolist():
-        spectrum, decay, move, left = section(b0, b1, b2, a1, a2)
-        out, state = np.empty(len(y)), np.zeros(2)
+    left = np.zeros(2 * len(sos)) if states is None else np.array(states, np.float64)
+    for k, (b0, b1, b2, _, a1, a2) in enumerate(np.asarray(sos).tolist()):
+        spectrum, powers, leaves = section(b0, b1, b2, a1, a2)
+        out, state = np.empty(len(y)), left[2 * k : 2 * k + 2]
         for a in range(0, len(y), BLOCK):
             v = y[a : a + BLOCK]
             free = np.fft.irfft(np.fft.rfft(v, 2 * BLOCK) * spectrum, 2 * BLOCK)[: len(v)]
-            out[a : a + len(v)] = free + decay[: len(v)] @ state
-            if len(v) == BLOCK:
-                state = move @ state + v @ left
+            out[a : a + len(v)] = free + powers[: len(v), 0] @ state
+            state = powers[len(v)] @ state + v @ leaves[: len(v)][::-1]
+        left[2 * k : 2 * k + 2] = state
         y = out
-    return y
+    return y, left
+
+
+def silence(sos: np.ndarray) -> np.ndarray:
+    """The matrix by which a sample of silence moves the states of the cascade."""
+    n = 2 * len(sos)
+    return np.stack([carried(sos, np.zeros(1), unit)[1] for unit in np.eye(n)], axis=1)
+
+
+def filtered(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The cascade applied once, causal, from rest."""
+    return carried(sos, x)[0]
 
 
 def zero_phase(sos: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -229,23 +241,34 @@ def resampled(x: np.ndarray, rate: int, to: int, taps: int = 16) -> np.ndarray:
     if rate == to or not len(x):
         return np.asarray(x, np.float64)
     g = math.gcd(rate, to)
+    x = np.asarray(x, np.float64)
+
+    def part(a: int, b: int) -> np.ndarray:
+        return np.pad(x[max(0, a) : max(0, b)], (max(0, -a), max(0, b - max(len(x), a))))
+
+    return resampled_part(part, rate, to, 0, -(-len(x) * (to // g) // (rate // g)), taps)
+
+
+def resampled_part(source, rate: int, to: int, lo: int, hi: int, taps: int = 16) -> np.ndarray:
+    """Samples [lo, hi) of the resampled signal, from ``source(a, b)``: samples [a, b) of the signal, zeros beyond its ends."""
+    g = math.gcd(rate, to)
     up, down = to // g, rate // g
     wide = max(up, down)
     half = taps * wide
     t = np.arange(-half, half + 1)
     h = np.sinc(t / wide) * np.kaiser(len(t), 8.0) * (up / wide)
-    n = -(-len(x) * up // down)
-    out = np.zeros(n)
-    at = np.arange(n) * down
+    out = np.zeros(hi - lo)
+    at = np.arange(lo, hi, dtype=np.int64) * down
     reach = half // up + 1
     first = at // up
-    padded = np.concatenate([np.zeros(reach), np.asarray(x, np.float64), np.zeros(reach + 1)])
+    if not len(out):
+        return out
+    base = int(first[0]) - reach
+    x = source(base, int(first[-1]) + reach + 1)
     for k in range(-reach, reach + 1):  # each input sample that an output sees
         j = at - (first + k) * up
         ok = np.abs(j) <= half
-        src = first + k + reach
-        ok &= (src >= 0) & (src < len(padded))
-        out[ok] += padded[src[ok]] * h[j[ok] + half]
+        out[ok] += x[first[ok] + k - base] * h[j[ok] + half]
     return out
 
 
