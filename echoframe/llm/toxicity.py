@@ -189,16 +189,17 @@ def _passed(dealt: DataFrame, z: np.ndarray, n: np.ndarray, rates: Rates, shards
 
     def changes(own: Learner, touched: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(touched)
-        for part in np.array_split(at, len(at) // 100_000 + 1):
-            dz, dn = ((x[part] - y[part]) * UNIT for x, y in zip((own.z, own.n), known.value))
-            yield pa.RecordBatch.from_arrays([pa.array(x.round().astype(np.int64)) for x in (part, dz, dn)], ["at", "dz", "dn"])
+        for part in np.array_split(at, len(at) // 50_000 + 1):
+            dz, dn = (((x[part] - y[part]) * UNIT).round().astype(np.int64).tobytes() for x, y in zip((own.z, own.n), known.value))
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (part.astype(np.int32).tobytes(), dz, dn)], ["at", "dz", "dn"])
 
-    got = dealt.mapInArrow(run, "at long, dz long, dn long").toArrow()  # a row for each shard and coordinate at most
     sums = np.zeros((2, INTERCEPT + 1), np.int64)
-    for total, c in zip(sums, ("dz", "dn")):
-        np.add.at(total, got["at"].to_numpy(), got[c].to_numpy())
+    for r in dealt.mapInArrow(run, "at binary, dz binary, dn binary").collect():  # 20 bytes for each coordinate of a shard at most
+        at = np.frombuffer(r.at, np.int32)
+        for total, v in zip(sums, (r.dz, r.dn)):
+            total[at] += np.frombuffer(v, np.int64)  # a shard has a coordinate once
     z, n = (x + total / UNIT / shards for x, total in zip((z, n), sums))
-    known.unpersist()
+    known.destroy()
     return z, n
 
 
