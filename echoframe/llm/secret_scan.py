@@ -1,17 +1,21 @@
 """Secrets: fixed grammars, and a battery of randomness tests for tokens that no grammar names.
 
-A candidate is a long run of encoding characters with digits and letters (names in mixed case have no digits, and change case
-as often as random keys do), padding behind it included. A run that no single alphabet holds gives its parts between the characters that don't fit, by either base64 alphabet. Its
-encoding is inferred from its characters (hex, base32, base36, base62, base64), and under "uniform over that alphabet" three
-tests give p-values: a chi-squared test of uniformity (symbols binned so that each bin expects at least two), a
-Wald-Wolfowitz runs test about the middle of the alphabet, and lag-one serial correlation. A token that any test rejects at
-``REJECT`` isn't random. Against it stands the null "ordinary text": its class changes (digit, lower, upper) follow a
-binomial with the rate of ordinary words, so the p-value shrinks with length, by one exact tail for any length.
+A candidate is a long run of encoding characters, padding behind it included. A run that no single alphabet holds gives its
+parts between the characters that don't fit, by either base64 alphabet. Its encoding is inferred from its characters (hex,
+base32, base36, base62, base64), and under "uniform over that alphabet" three tests give p-values: a chi-squared test of
+uniformity (symbols binned so that each bin expects at least two), a Wald-Wolfowitz runs test about the middle of the alphabet,
+and lag-one serial correlation. A token that any test rejects at ``REJECT`` isn't random.
+
+Against it stands the null "ordinary text": each character follows from the one before it, by the corpus's own counts of
+neighbours in short runs, mixed with a share that knows classes (digit, lower, upper, sign) alone (the larger, the fewer were
+counted). What uniform symbols of the
+inferred encoding gain over that is a log likelihood ratio, whose exponential has a mean of at most 1 under the null; so
+1 / ratio, times the number of encodings that were looked at, is a p-value for any length and any ordinary text.
 
 These p-values, each divided by its token's length over the mean length, go through one Benjamini-Hochberg step-up over all
-candidates of the corpus at level ``FDR``. A p-value follows from length and number of changes, so the corpus is counted by
-these two; the step-up's cut is the fixed point of t = FDR * (p-values up to t) / (all), met from above, and a round of that
-is one sum over the counts. Only the cut and the mean length come to the driver.
+candidates of the corpus at level ``FDR``. Evidence is rounded down to steps of 1 / ``STEPS``, so the corpus is counted by length
+and steps; the step-up's cut is the fixed point of t = FDR * (p-values up to t) / (all), met from above, and a round of that is
+one sum over the counts. Only the neighbours' counts, the cut and the mean length come to the driver.
 
 Defined cases: a null or empty text has no spans; repeated rows are each scanned, and each counts in the step-up; equal
 p-values are taken or left together; very long texts and tokens are tested whole; a corpus without candidates takes none; an
@@ -26,13 +30,14 @@ import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .kernels import slices, text_bytes, word_spans
 from .scratch import Tables, small_batches
 
 KINDS = ["assign", "access", "hex", "random"]
@@ -58,11 +63,22 @@ ENCODINGS = [
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 ]
 _INDEX = [(n, {c: i for i, c in enumerate(a)}) for n, a in ENCODINGS]
-#: Rate of class changes in ordinary tokens, names with a number at the end included.
-ORDINARY_RATE = 0.12
+#: Characters of any encoding, and the code of each byte among them (-1: none).
+CHARACTERS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/-_"
+CODE = np.full(256, -1, np.int64)
+CODE[np.frombuffer(CHARACTERS.encode(), np.uint8)] = np.arange(len(CHARACTERS))
+#: Of ordinary tokens, words in capitals, names in mixed case and numbers behind names included: the chance of each class after
+#: each class, in the order digit, upper, lower, sign.
+CLASSES = np.array([[0.74, 0.06, 0.10, 0.10], [0.04, 0.42, 0.50, 0.04], [0.02, 0.06, 0.88, 0.04], [0.20, 0.15, 0.60, 0.05]])
+#: The share of the null that knows classes alone, at last.
+CLASS_SHARE = 0.3
+#: As many neighbours of a character must have been counted for their shares to weigh half of what they weigh at last.
+SEEN = 100
 REJECT = 0.001
 FDR = 0.001
-#: Pairs of length and changes that a task holds before it passes their counts on.
+#: Steps of evidence in a unit of the logarithm.
+STEPS = 64
+#: Pairs of length and evidence that a task holds before it passes their counts on.
 HELD = 200_000
 
 
@@ -104,36 +120,60 @@ def battery(token: str) -> tuple[str, float, float, float] | None:
     return name, chi2_tail(chi, bins - 1), p_runs, two_sided(r * math.sqrt(n))
 
 
-def kind_of(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+def by_class() -> np.ndarray:
+    """Chance of each character after each other one, by class changes alone."""
+    kinds = np.array([0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3 for c in CHARACTERS])
+    return CLASSES[kinds][:, kinds] / np.bincount(kinds)[kinds]
 
 
-def changes(token: str) -> int:
-    kinds = list(map(kind_of, token))
-    return sum(a != b for a, b in zip(kinds, kinds[1:]))
+class Ordinary:
+    """The null: the logarithm of each character's chance after the one before it."""
 
+    def __init__(self, counts: np.ndarray | None = None):
+        """``counts``: how often each character follows each other one; without, classes alone are known."""
+        q = by_class()
+        if counts is not None and counts.sum():
+            n = counts.sum(axis=1, keepdims=True)
+            known = (1 - CLASS_SHARE) * n / (n + SEEN)
+            q = known * counts / np.maximum(n, 1) + (1 - known) * q
+        self.log = np.log(q)
 
-def beta_share(x: float, a: float, b: float) -> float:
-    """The regularised incomplete beta function, by its continued fraction (modified Lentz)."""
-    if x > (a + 1) / (a + b + 2):
-        return 1.0 - beta_share(1 - x, b, a)
-    log_front = a * math.log(x) + b * math.log1p(-x) - math.log(a) - (math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b))
-    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
-    f, m = d, 0
-    while True:
-        m += 1
-        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-            d, c = 1 / (1 + top * d), 1 + top / c
-            f *= c * d
-        if abs(c * d - 1) < 1e-15 or m > 10_000:
-            return math.exp(log_front) * f
+    def evidence(self, token: str) -> int:
+        """Steps of evidence against the null: ``STEPS`` times -log of the p-value, rounded down."""
+        body = token.rstrip("=")
+        size = next((len(ix) for _, ix in _INDEX if all(c in ix for c in body)), 0)
+        if not size:
+            return 0
+        x = CODE[np.frombuffer(body.encode(), np.uint8)]
+        ratio = -float(self.log[x[:-1], x[1:]].sum()) - (len(x) - 1) * math.log(size)
+        return max(0, math.floor(STEPS * (ratio - math.log(len(ENCODINGS)))))
 
 
-@lru_cache(maxsize=100_000)
-def ordinary_p(size: int, seen: int) -> float:
-    """Probability that an ordinary token of this length changes class so often: a binomial tail."""
-    n = size - 1
-    return 1.0 if seen <= 0 else ORDINARY_RATE**n if seen >= n else beta_share(ORDINARY_RATE, seen, n - seen + 1)
+def ordinary_text(docs: DataFrame, text: str = "text") -> Ordinary:
+    """The null of a corpus: counts of neighbours in runs of encoding characters too short to be candidates."""
+    outside = CODE < 0
+    size = len(CHARACTERS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(size * size, np.int64)
+        for b in batches:
+            for part in slices(b, b.schema.names[0]):
+                raw, at = text_bytes(part.column(0))
+                s, e, _ = word_spans(raw, at, outside)
+                short = np.zeros(len(raw) + 1, np.int64)
+                few = e - s < LEAST
+                short[s[few] + 1] += 1  # from a run's second character on
+                short[e[few]] -= 1
+                second = np.flatnonzero(np.cumsum(short[:-1]) > 0)
+                n += np.bincount(CODE[raw[second - 1]] * size + CODE[raw[second]], minlength=size * size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size)), pa.array(n)], ["pair", "n"])
+
+    small_batches(docs.sparkSession)
+    sums = docs.select(text).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(size * size)
+    for r in sums:
+        counts[r.pair] = r.n
+    return Ordinary(counts.reshape(size, size))
 
 
 @dataclass(frozen=True)
@@ -142,13 +182,14 @@ class Cut:
 
     p: float
     mean: float
+    ordinary: Ordinary = field(default_factory=Ordinary, compare=False)
 
-    def passes(self, size: int, seen: int) -> bool:
-        return weighted_p(size, seen, self.mean) <= self.p
+    def passes(self, size: int, steps: int) -> bool:
+        return weighted_p(size, steps, self.mean) <= self.p
 
 
-def weighted_p(size: int, seen: int, mean: float) -> float:
-    return min(1.0, ordinary_p(size, seen) * mean / size)
+def weighted_p(size: int, steps: int, mean: float) -> float:
+    return min(1.0, math.exp(-steps / STEPS) * mean / size)
 
 
 def candidates(t: str) -> list[tuple[int, int]]:
@@ -162,7 +203,7 @@ def candidates(t: str) -> list[tuple[int, int]]:
             found += sorted({(m.start() + x.start(), m.start() + x.end()) for p in _PARTS for x in p.finditer(c) if x.end() - x.start() >= LEAST})
         else:
             found.append((m.start(), m.end()))
-    return [(s, e) for s, e in found if (kinds := set(map(kind_of, t[s:e]))) & {0} and kinds & {1, 2}]
+    return found
 
 
 def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -176,11 +217,11 @@ def joined(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def step_up(counts: DataFrame, fdr: float = FDR) -> Cut:
-    """The cut of the step-up over rows (size, seen, n): ``n`` candidates of that length with so many changes."""
+def step_up(counts: DataFrame, ordinary: Ordinary, fdr: float = FDR) -> Cut:
+    """The cut of the step-up over rows (size, seen, n): ``n`` candidates of that length with so much evidence."""
     total, chars = counts.agg(F.sum("n"), F.sum(F.col("n") * F.col("size"))).first()
     if not total:
-        return Cut(0.0, 1.0)
+        return Cut(0.0, 1.0, ordinary)
     mean = chars / total
 
     @F.arrow_udf("double")
@@ -193,14 +234,15 @@ def step_up(counts: DataFrame, fdr: float = FDR) -> Cut:
         while True:
             below = by_p.where(F.col("p") <= cut).agg(F.sum("n")).first()[0] or 0
             if fdr * below / total >= cut:
-                return Cut(cut, mean)
+                return Cut(cut, mean, ordinary)
             cut = fdr * below / total
             if not below:
-                return Cut(0.0, mean)
+                return Cut(0.0, mean, ordinary)
 
 
 def corpus_cut(docs: DataFrame, text: str = "text") -> Cut:
-    """The cut of the step-up over all candidates of all texts. Tasks count by length and changes before anything moves."""
+    """The cut of the step-up over all candidates of all texts. Tasks count by length and evidence before anything moves."""
+    ordinary = ordinary_text(docs, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[tuple[int, int]] = Counter()
@@ -213,19 +255,19 @@ def corpus_cut(docs: DataFrame, text: str = "text") -> Cut:
         for b in batches:
             for v in b.column(0):
                 t = v.as_py() or ""
-                held.update((e - s, changes(t[s:e])) for s, e in candidates(t))
+                held.update((e - s, ordinary.evidence(t[s:e])) for s, e in candidates(t))
             if len(held) > HELD:
                 yield out()
         yield out()
 
     small_batches(docs.sparkSession)
     with Tables(docs.sparkSession, "secrets") as tables:
-        return step_up(tables.put(docs.select(F.col(text)).mapInArrow(count, "size long, seen long, n long").groupBy("size", "seen").agg(F.sum("n").alias("n")), "candidates"))
+        return step_up(tables.put(docs.select(F.col(text)).mapInArrow(count, "size long, seen long, n long").groupBy("size", "seen").agg(F.sum("n").alias("n")), "candidates"), ordinary)
 
 
 def random_tokens(t: str, cut: Cut) -> list[tuple[int, int]]:
     """Spans of tokens that pass the step-up and the battery."""
-    return joined([(s, e) for s, e in candidates(t) if cut.passes(e - s, changes(t[s:e])) and (b := battery(t[s:e])) and min(b[1:]) >= REJECT])
+    return joined([(s, e) for s, e in candidates(t) if cut.passes(e - s, cut.ordinary.evidence(t[s:e])) and (b := battery(t[s:e])) and min(b[1:]) >= REJECT])
 
 
 def base_spans(t: str) -> list[tuple[str, int, int]]:

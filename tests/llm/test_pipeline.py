@@ -28,10 +28,15 @@ def test_run_equals_brute_force(spark):
         h, _ = decontaminate.words(pa.array([t], pa.string()))
         if not any(np.isin(w, h).sum() >= len(w) - int(len(w) * p.max_edit) and decontaminate.edit_distance(w, h)[0] <= int(len(w) * p.max_edit) for w in index):
             clean[i] = t
-    found = [(e - s, secret_scan.changes(t[s:e])) for t in clean.values() for s, e in secret_scan.candidates(t)]
+    import re
+    from collections import Counter
+
+    near = Counter(p for t in clean.values() for run in re.findall(r"[A-Za-z0-9+/_-]+", t) if len(run) < secret_scan.LEAST for p in zip(run, run[1:]))
+    null = secret_scan.Ordinary(np.array([[near[a, b] for b in secret_scan.CHARACTERS] for a in secret_scan.CHARACTERS]))
+    found = [(e - s, null.evidence(t[s:e])) for t in clean.values() for s, e in secret_scan.candidates(t)]
     mean = sum(n for n, _ in found) / len(found) if found else 1.0
     ps = sorted(secret_scan.weighted_p(n, k, mean) for n, k in found)
-    cut = secret_scan.Cut(max((p for j, p in enumerate(ps, 1) if p <= secret_scan.FDR * j / len(ps)), default=-1.0), mean)
+    cut = secret_scan.Cut(max((p for j, p in enumerate(ps, 1) if p <= secret_scan.FDR * j / len(ps)), default=-1.0), mean, null)
     clean = {i: secret_scan.redact(t, cut) for i, t in clean.items()}
     enc = bpe.encoding(P.path("byte_bpe_multi_50k.tiktoken"))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, SF).collect()}

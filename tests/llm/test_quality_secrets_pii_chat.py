@@ -3,19 +3,29 @@ import math
 import random
 import re
 import time
-from fractions import Fraction
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from echoframe.llm import chat, pii, quality_rules, secret_scan
 
-#: The cut of a corpus in which one candidate in a thousand is a secret.
-CUT = secret_scan.Cut(1e-6, 30.0)
 W = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def neighbours(texts):
+    """How often each character follows each other one in short runs."""
+    n = Counter(p for t in texts for run in re.findall(r"[A-Za-z0-9+/_-]+", t or "") if len(run) < secret_scan.LEAST for p in zip(run, run[1:]))
+    return np.array([[n[a, b] for b in secret_scan.CHARACTERS] for a in secret_scan.CHARACTERS])
+
+
+PLAIN = (secret_scan.__doc__ + quality_rules.__doc__ + chat.__doc__ + pii.__doc__) * 5
+#: The cut of a corpus of plain text in which one candidate in a thousand is a secret.
+CUT = secret_scan.Cut(1e-6, 30.0, secret_scan.Ordinary(neighbours([PLAIN])))
+
+
 def docs_of(spark, texts, sources=None):
     return spark.createDataFrame([(i, t, "en", (sources or {}).get(i, "h"), len(t or "")) for i, t in enumerate(texts)], DOCS)
 
@@ -62,13 +72,42 @@ def test_random_tokens_behind_names_and_in_paths():
     assert secret_scan.find("the/usual-path/to_some/2024-report/with-many_words/inside-it/2023", CUT) == []
 
 
-def test_tail_is_the_binomial_at_every_length():
-    q = secret_scan.ORDINARY_RATE
-    for size in (2, 5, 20, 33, 120, 399, 400, 401, 900):
-        for seen in {0, 1, size // 9, size // 8, size // 3, size - 2, size - 1}:
-            n = size - 1
-            want = sum(Fraction(math.comb(n, k)) * Fraction(q) ** k * (1 - Fraction(q)) ** (n - k) for k in range(seen, n + 1)) if seen > 0 else 1
-            assert math.isclose(secret_scan.ordinary_p(size, seen), want, rel_tol=1e-9, abs_tol=1e-300), (size, seen)
+def plain_ordinary(texts):
+    """The null by counting, as a function of two characters."""
+    n = dict(zip(((a, b) for a in secret_scan.CHARACTERS for b in secret_scan.CHARACTERS), neighbours(texts).ravel().tolist()))
+    kind = lambda c: "d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "s"
+    sizes = {"d": 10, "u": 26, "l": 26, "s": 4}
+    after = {a: dict(zip("duls", row)) for a, row in zip("duls", [[0.74, 0.06, 0.10, 0.10], [0.04, 0.42, 0.50, 0.04], [0.02, 0.06, 0.88, 0.04], [0.20, 0.15, 0.60, 0.05]])}
+
+    def chance(a, b):
+        q = after[kind(a)][kind(b)] / sizes[kind(b)]
+        total = sum(v for (x, _), v in n.items() if x == a)
+        known = 0.7 * total / (total + 100)
+        return known * n[a, b] / max(1, total) + (1 - known) * q
+
+    return chance
+
+
+def plain_evidence(token, chance):
+    body = token.rstrip("=")
+    size = next((len(a) for _, a in secret_scan.ENCODINGS if set(body) <= set(a)), 0)
+    if not size:
+        return 0
+    ratio = sum(-math.log(chance(a, b)) - math.log(size) for a, b in zip(body, body[1:])) - math.log(8)
+    return max(0, math.floor(64 * ratio))
+
+
+def test_evidence_by_plain_formulas(spark):
+    rng = random.Random(21)
+    texts = ["The q-uick brown_fox 12 of 2024", None, "", "é/usr/bin/a9 " * 3, "x" * 19 + " " + "y" * 20] + [" ".join("".join(rng.choice("abcDEF019-") for _ in range(rng.randrange(1, 25))) for _ in range(40)) for _ in range(5)]
+    null, chance = secret_scan.ordinary_text(docs_of(spark, texts)), plain_ordinary(texts)
+    for a in secret_scan.CHARACTERS:
+        for b in secret_scan.CHARACTERS:
+            assert math.isclose(math.exp(null.log[secret_scan.CODE[ord(a)], secret_scan.CODE[ord(b)]]), chance(a, b), rel_tol=1e-9), (a, b)
+    for name, alphabet in [*secret_scan.ENCODINGS, ("words", "etaoin")]:
+        token = "".join(rng.choice(alphabet) for _ in range(30)) + "=" * (name == "base64")
+        assert abs(null.evidence(token) - plain_evidence(token, chance)) <= 1
+    assert np.allclose(np.exp(null.log).sum(axis=1), 1) and np.allclose(np.exp(secret_scan.Ordinary().log).sum(axis=1), 1)
 
 
 def test_battery_by_plain_formulas():
@@ -96,7 +135,8 @@ def test_battery_by_plain_formulas():
 
 def plain_cut(texts):
     """The step-up by sorting all p-values; the largest that passes."""
-    found = [(e - s, secret_scan.changes(t[s:e])) for t in texts for s, e in secret_scan.candidates(t or "")]
+    null = secret_scan.Ordinary(neighbours(texts))
+    found = [(e - s, null.evidence(t[s:e])) for t in texts for s, e in secret_scan.candidates(t or "")]
     mean = sum(n for n, _ in found) / len(found) if found else 1.0
     p = sorted(secret_scan.weighted_p(n, k, mean) for n, k in found)
     return max((x for i, x in enumerate(p, 1) if x <= secret_scan.FDR * i / len(p)), default=-1.0), mean
@@ -106,23 +146,27 @@ def test_step_up_over_the_corpus(spark):
     rng = random.Random(12)
     alphabet = secret_scan.ENCODINGS[5][1]
     words = ["internationalisation2024", "configuration_manager_v12", "getElementsByTagNameOf", "sha256ofthewholedirectory"]
-    texts = [None, ""] + [" ".join(rng.choice(words) for _ in range(5)) for _ in range(80)] + ["key " + "".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) for _ in range(40)]
+    texts = [None, ""] + [" ".join(rng.choice(words) for _ in range(5)) for _ in range(80)] + ["key " + "".join(rng.choice(alphabet) for _ in range(rng.randrange(20, 60))) for _ in range(40)] + [PLAIN]
     cut, (p, mean) = secret_scan.corpus_cut(docs_of(spark, texts * 2)), plain_cut(texts * 2)
     assert math.isclose(cut.mean, mean)
-    pairs = {(e - s, secret_scan.changes(t[s:e])) for t in texts if t for s, e in secret_scan.candidates(t)}
+    pairs = {(e - s, cut.ordinary.evidence(t[s:e])) for t in texts if t for s, e in secret_scan.candidates(t)}
     assert {x for x in pairs if cut.passes(*x)} == {x for x in pairs if secret_scan.weighted_p(*x, mean) <= p} and 0 < len(pairs)
     assert secret_scan.corpus_cut(docs_of(spark, [None, "", "no candidates"])).p == 0
     hit = [any(k == "random" for k, _, _ in secret_scan.find(t or "", cut)) for t in texts]
-    assert not any(hit[:82]) and sum(hit[82:]) >= 36
+    assert not any(hit[:82]) and sum(hit[82:122]) >= 36
 
 
-def test_keys_without_many_digits_are_found():
-    """Shares of random base64 keys that are found; what a short key can show is bounded by the corpus's cut."""
+def test_recall_by_encoding():
+    """Shares of random keys of 32 characters that are found at a corpus's cut of 1e-6 (a key in a million tokens or fewer), by
+    the null of plain English, and of ordinary long tokens."""
     rng = random.Random(13)
-    for p, shares in ((1e-6, (0.77, 0.94, 0.98)), (1e-4, (0.92, 0.96, 0.98))):
-        for n, least in zip((24, 32, 40), shares):
-            keys = ["".join(rng.choice(secret_scan.ENCODINGS[6][1]) for _ in range(n)) for _ in range(400)]
-            assert sum(bool(secret_scan.random_tokens(k, secret_scan.Cut(p, 30.0))) for k in keys) >= least * len(keys), (p, n)
+    for name, alphabet in secret_scan.ENCODINGS:
+        keys = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(400)]
+        assert sum(bool(secret_scan.random_tokens(k, CUT)) for k in keys) >= 0.9 * len(keys), name
+    words = re.findall(r"[A-Za-z]{3,}", PLAIN)
+    tokens = [rng.choice("_-/").join(rng.choice(words) for _ in range(5)) for _ in range(1000)] + ["".join(rng.choice(words).title() for _ in range(4)) + str(rng.randrange(100)) for _ in range(1000)]
+    assert sum(bool(secret_scan.random_tokens(t, CUT)) for t in tokens) <= 1
+    assert not secret_scan.random_tokens("a1b2c3d4e5f6g7h8i9j0k1", CUT) or min(secret_scan.battery("a1b2c3d4e5f6g7h8i9j0k1")[1:]) >= secret_scan.REJECT
 
 
 def test_secret_scan_cases(spark):
