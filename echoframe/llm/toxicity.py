@@ -6,8 +6,8 @@ all, and those that do are broadcast (at most 2**``BITS`` pairs of numbers, what
 
 Learning is bounded: ``SAMPLE`` labelled documents at most, those with the least hashes of their ids (all, where there are
 fewer), dealt to ``SHARDS`` shards by the hash. Each pass runs a learner in each shard over its documents in hash order, from
-the same state, and the shards' states are averaged; sums are of fixed-point numbers, so that the weights don't depend on
-partitions or on the order of rows. Only features (whole texts) and labels are learned from.
+the same state, and the shards' changes are averaged in the shards' order, so that the weights don't depend on partitions or
+on the order of rows. Only features (whole texts) and labels are learned from.
 
 Defined cases: null, empty and termless texts have no features, and get the score of the intercept alone; rows without a label
 or with a null one aren't learned from; several labels of one id count as the greatest; rows with one id are each learned from
@@ -40,8 +40,6 @@ LEAST = 3
 SHAPES = ((0,), (0, 1), (0, 2))
 #: The intercept's coordinate.
 INTERCEPT = 1 << BITS
-#: Of the fixed-point numbers that states are averaged as.
-UNIT = float(1 << 32)
 
 
 @dataclass(frozen=True)
@@ -178,27 +176,27 @@ def _passed(dealt: DataFrame, z: np.ndarray, n: np.ndarray, rates: Rates, shards
             for i, (s, y) in enumerate(zip(b.column("shard").to_pylist(), b.column("label").to_pylist())):
                 if s != shard:
                     if own is not None:
-                        yield from changes(own, touched)
+                        yield from changes(shard, own, touched)
                     shard, own = s, Learner(*(x.copy() for x in known.value), rates)
                     touched = np.zeros(INTERCEPT + 1, bool)
                 at = np.append(lists[i].values.to_numpy(), INTERCEPT)
                 own.learn(at, y)
                 touched[at] = True
         if own is not None:
-            yield from changes(own, touched)
+            yield from changes(shard, own, touched)
 
-    def changes(own: Learner, touched: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def changes(shard: int, own: Learner, touched: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(touched)
         for part in np.array_split(at, len(at) // 50_000 + 1):
-            dz, dn = (((x[part] - y[part]) * UNIT).round().astype(np.int64).tobytes() for x, y in zip((own.z, own.n), known.value))
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (part.astype(np.int32).tobytes(), dz, dn)], ["at", "dz", "dn"])
+            dz, dn = ((x[part] - y[part]).astype(np.float32).tobytes() for x, y in zip((own.z, own.n), known.value))
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (part.astype(np.int32).tobytes(), dz, dn))], ["shard", "at", "dz", "dn"])
 
-    sums = np.zeros((2, INTERCEPT + 1), np.int64)
-    for r in dealt.mapInArrow(run, "at binary, dz binary, dn binary").collect():  # 20 bytes for each coordinate of a shard at most
+    z, n = z.copy(), n.copy()
+    got = dealt.mapInArrow(run, "shard int, at binary, dz binary, dn binary").collect()  # 12 bytes for each coordinate of a shard at most
+    for r in sorted(got, key=lambda r: r.shard):  # a shard has a coordinate once
         at = np.frombuffer(r.at, np.int32)
-        for total, v in zip(sums, (r.dz, r.dn)):
-            total[at] += np.frombuffer(v, np.int64)  # a shard has a coordinate once
-    z, n = (x + total / UNIT / shards for x, total in zip((z, n), sums))
+        for total, v in zip((z, n), (r.dz, r.dn)):
+            total[at] += np.frombuffer(v, np.float32).astype(np.float64) / shards
     known.destroy()
     return z, n
 
