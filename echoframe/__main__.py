@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import waves
-from .operators import checks, datasets, detect, evaluate, export, model, samples, trains
+from .operators import checks, datasets, detect, evaluate, export, model, samples, training, trains
 from .params import Detection, Fusion, Trains, load_yaml, with_settings
 from .sources import audio, labels, sinks, tables
 
@@ -51,6 +51,10 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--noise")
         s.add_argument("--split", default="train")
         s.add_argument("--val", type=float, default=0.2)
+        s.add_argument("--epochs", type=int, default=0, help="of train: 0 fits the head alone")
+        s.add_argument("--batch", type=int, default=128)
+        s.add_argument("--checkpoints", help="folder of the training's state")
+        s.add_argument("--resume", action="store_true")
     return p
 
 
@@ -59,8 +63,28 @@ def length(rate: int) -> int:
     return int(0.5 * rate)
 
 
-def loaded(a: argparse.Namespace, shape: model.Shape) -> model.Weights:
-    return model.load(a.weights) if a.weights else model.initial(shape, a.seed)
+def network(a: argparse.Namespace) -> tuple[model.Weights, model.Shape]:
+    """The weights given, or seeded ones, and their shape."""
+    if a.weights:
+        weights = model.load(a.weights)
+        return weights, model.shape_of(weights, length(a.rate))
+    shape = model.Shape(length=length(a.rate))
+    return model.initial(shape, a.seed), shape
+
+
+def train_model(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Weights from a training set: all of the network by ``--epochs``, with its history beside them, or the head alone."""
+    rows = tables.read_samples(spark, a.input, "train")
+    weights, shape = network(a)
+    if not a.epochs:
+        model.save(model.train_head(rows, "waveform", "label", weights, shape), a.output)
+        return
+    n = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+    classes = [sum(n.values()) / len(n) / n[c] if c in n else 0.0 for c in range(shape.classes)]
+    settings = training.Settings(batch=a.batch, epochs=a.epochs, seed=a.seed)
+    done = training.fit(rows, tables.read_samples(spark, a.input, "val"), "waveform", "label", "file_id", shape, settings, classes, a.checkpoints, a.resume)
+    model.save(training.scored_form(done.best), a.output)
+    sinks.write_csv(spark.createDataFrame(done.history), a.output.removesuffix(".npz") + "_history")
 
 
 def reported(scored: DataFrame, path: str, a: argparse.Namespace) -> None:
@@ -125,20 +149,18 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         out = datasets.train_val(datasets.balanced(spark.read.parquet(a.input), "label", a.seed, "id"), a.seed, a.val, "id")
         sinks.write_samples(out, a.output)
     elif a.command == "train":
-        shape = model.Shape(length=length(a.rate))
-        rows = tables.read_samples(spark, a.input, "train")
-        model.save(model.train_head(rows, "waveform", "label", loaded(a, shape), shape), a.output)
+        train_model(spark, a)
     elif a.command == "evaluate":
         reported(spark.read.parquet(a.input), "id", a)
     elif a.command == "eval":
-        shape = model.Shape(length=length(a.rate))
+        weights, shape = network(a)
         rows = tables.read_samples(spark, a.input, a.split)
-        reported(rows.select("file_id", "label", model.score(loaded(a, shape), F.col("waveform"), shape).alias("score")), "file_id", a)
+        reported(rows.select("file_id", "label", model.score(weights, F.col("waveform"), shape).alias("score")), "file_id", a)
     elif a.command == "eval-wav":
-        shape = model.Shape(length=length(a.rate))
+        weights, shape = network(a)
         both = [half_second(spark, f"{a.input}/{name}", a.rate).withColumn("label", F.lit(y)) for name, y in (("positive", 1), ("negative", 0))]
         rows = both[0].unionByName(both[1])
-        reported(rows.select("source_file", "label", model.score(loaded(a, shape), F.col("wave"), shape).alias("score")), "source_file", a)
+        reported(rows.select("source_file", "label", model.score(weights, F.col("wave"), shape).alias("score")), "source_file", a)
     elif a.command == "label-report":
         sinks.write_csv(labels.category_report(labels.read_label_json(spark, a.input)), a.output)
     elif a.command == "audacity":

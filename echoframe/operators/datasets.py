@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import waves
+from ..stages import cut
 from .metrics import with_nulls
 
 #: Which parents go to which split; any other parent trains.
@@ -67,6 +68,16 @@ def ranked(df: DataFrame, part: list[str], seed: int, *key: str, rank: str = "_r
     return with_nulls(rows.withColumn("_own", own), counts.drop("_c"), [*part, "_d"]).withColumn(rank, F.col("_own") + F.col("_off")).select(*df.columns, rank, size)
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``_i``, each row's place in the order given, from 0. Rows are sorted by ranges, and a range is moved on by the
+    sizes of those before it: one number for each range is all that meets."""
+    at = F.col("_m")
+    rows = cut(df.orderBy(*order).withColumn("_m", F.monotonically_increasing_id())).withColumns({"_p": F.shiftright(at, 33), "_m": at.bitwiseAND((1 << 33) - 1)})
+    sizes = rows.groupBy("_p").agg(F.count("*").alias("_c"))
+    starts = sizes.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    return rows.join(F.broadcast(starts), "_p").select(*df.columns, (F.col("_m") + F.col("_s")).alias("_i"))
+
+
 def with_extreme(df: DataFrame, label: str, pick) -> DataFrame:
     """Adds ``_size``, the smallest or largest class's size: one row that is joined to all."""
     one = df.groupBy(label).agg(F.count("*").alias("_c")).agg(pick("_c").alias("_size")).withColumn("_k", F.lit(1))

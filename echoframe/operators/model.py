@@ -79,6 +79,23 @@ def load(path: str) -> Weights:
         return {k: f[k] for k in f.files}
 
 
+def shape_of(weights: Weights, length: int = 22050) -> Shape:
+    """The shape that weights fit. Channels, blocks, hidden layer and classes are read from their sizes; steps and dilations,
+    which leave no trace in them, are those of the larger network where there is a hidden layer, of the smaller one else."""
+    base, hidden = weights["stem.w"].shape[0], weights["hidden.w"].shape[0] if "hidden.w" in weights else 0
+    out = []
+    while (name := f"b{len(out)}.1.w") in weights:
+        b = len(out)
+        step, dilation = (2 if b % 2 else 1, 2 ** (b % 3)) if hidden else (2, 1)
+        out.append((weights[name].shape[0], step, dilation))
+    found = Shape(base, tuple(out), hidden, weights["out.w"].shape[0], length)
+    last = out[-1][0] if out else base
+    fits = all(weights[f"b{b}.1.w"].shape == (o, i, 3) and (f"b{b}.skip.w" in weights) == (step != 1 or o != i) for b, ((o, step, _), i) in enumerate(zip(out, [base, *(o for o, _, _ in out)])))
+    if weights["stem.w"].shape != (base, 1, 7) or not fits or weights["hidden.w" if hidden else "out.w"].shape[1] != last:
+        raise ValueError("weights of no known network")
+    return found
+
+
 def convolved(w: Weights, name: str, x: np.ndarray, step: int = 1, dilation: int = 1) -> np.ndarray:
     """(batch, channel, time), padded with zeros to keep the length before the step, then scaled and shifted."""
     k = w[f"{name}.w"].shape[2]

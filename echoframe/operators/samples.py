@@ -2,7 +2,8 @@
 
 Noise is given out by seeded ranks, so that no piece is used twice while there is enough: first to the positives that want
 one noise source, from that source's pieces, then from what is left to the other positives, then to the negatives. Where
-there is less noise than rows, ranks go over the pieces again.
+there is less noise than rows, ranks go over what is left again; where nothing is left, over all pieces. Keys and ranks are
+computed once and cut from their plans; signals are joined to them at the end.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import waves
-from .datasets import draw, ranked
+from ..stages import cut
+from .datasets import draw, numbered, ranked
 
 ONE, ANY = "one_parent", "any_parent"
 
@@ -21,68 +23,62 @@ def spread(df: DataFrame, seed: int, *key: str) -> DataFrame:
     return ranked(df.withColumn("_all", F.lit(0)), ["_all"], seed, *key).drop("_all")
 
 
-def given(wants: DataFrame, pieces: DataFrame) -> DataFrame:
-    """Each row of ``wants`` (_r) with the piece of that rank, over again where ranks go beyond the pieces' number."""
-    size = pieces.agg(F.count("*").alias("_size")).withColumn("_k", F.lit(1))
-    at = wants.withColumn("_k", F.lit(1)).join(F.broadcast(size), "_k").where("_size > 0").withColumn("_r", F.col("_r") % F.col("_size"))
-    return at.join(pieces, "_r").drop("_r", "_k", "_size")
-
-
 def assigned(clean: DataFrame, noise: DataFrame, seed: int, share: float = 0.3, per_clean: float = 1.0) -> tuple[DataFrame, DataFrame]:
     """(file_id, strategy, segment_id, parent_id) of the positives and (segment_id, parent_id) of the negatives.
 
-    ``clean`` has file_id; ``noise`` has segment_id and parent_id. With a single source there is nothing to choose.
+    ``clean`` has file_id; ``noise`` has segment_id and parent_id. Every clean row gets a piece, and there are ``per_clean`` times
+    as many negatives, for any amount of noise but none, which gives no rows. With a single source there is nothing to choose.
     """
+    spark = clean.sparkSession
     pool = noise.select("segment_id", "parent_id")
-    parents = pool.select("parent_id").distinct()
-    one = F.lit(1).alias("_k")
-    counts = parents.agg(F.count("*").alias("_parents"), F.sort_array(F.collect_set("parent_id")).alias("_ids")).select("*", one)  # sources, not pieces
-    rows = clean.select("file_id", one).join(F.broadcast(counts), "_k")
-    wants_one = (draw(seed, "file_id") < share) & (F.col("_parents") > 1)
-    chosen = F.element_at("_ids", (F.floor(draw(seed + 1, "file_id") * F.col("_parents")) + 1).cast("int"))
-    rows = rows.select("file_id", F.when(wants_one, ONE).otherwise(ANY).alias("strategy"), F.when(wants_one, chosen).alias("parent_id"))
+    parents = numbered(pool.select("parent_id").distinct(), "parent_id").withColumnRenamed("parent_id", "_parent")
+    n_parents = parents.count()
+    wants_one = (draw(seed, "file_id") < share) & F.lit(n_parents > 1)
+    index = F.when(wants_one, F.floor(draw(seed + 1, "file_id") * n_parents)).cast("long")
+    rows = cut(clean.select("file_id", index.alias("_i")))
     # those that want one source take its first pieces
-    first = ranked(rows.where(F.col("strategy") == ONE), ["parent_id"], seed + 2, "file_id").drop("_n")
-    own = ranked(pool, ["parent_id"], seed + 3, "segment_id").withColumnRenamed("_n", "_size")
-    sizes = own.select("parent_id", "_size").distinct()
-    first = first.join(sizes, "parent_id").withColumn("_r", F.col("_r") % F.col("_size")).drop("_size")
-    first = first.join(own.drop("_size"), ["parent_id", "_r"]).select("file_id", "strategy", "segment_id", "parent_id")
-    left = pool.join(first.select("segment_id").distinct(), "segment_id", "left_anti")
-    n_any = rows.where(F.col("strategy") == ANY)
-    # the others, and behind them the negatives, take what is left; or all pieces over again where nothing is
-    rest = spread(left, seed + 4, "segment_id").drop("_n")
-    others = given(spread(n_any.select("file_id", "strategy"), seed + 5, "file_id").drop("_n"), rest).select("file_id", "strategy", "segment_id", "parent_id")
-    from_here = n_any.agg(F.count("*").alias("_from")).select("*", one)
-    total = clean.agg(F.floor(F.count("*") * per_clean).alias("_wanted")).select("*", one)
-    places = total.where("_wanted > 0").join(from_here, "_k").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("_wanted") - 1)).alias("_i"), "_from")
-    negatives = given(places.select((F.col("_i") + F.col("_from")).alias("_r")), rest).select("segment_id", "parent_id")
-    return first.unionByName(others), negatives
+    own = cut(ranked(pool, ["parent_id"], seed + 3, "segment_id"))
+    sizes = own.groupBy("parent_id").agg(F.max("_n").alias("_size"))
+    first = rows.where("_i is not null").join(parents, "_i").join(sizes, F.col("_parent").eqNullSafe(F.col("parent_id"))).select("file_id", "parent_id", "_size")
+    first = ranked(first, ["parent_id"], seed + 2, "file_id").withColumn("_r", F.col("_r") % F.col("_size")).select("file_id", F.col("parent_id").alias("_parent"), "_r")
+    first = cut(first.join(own.drop("_n"), F.col("_parent").eqNullSafe(F.col("parent_id")) & (first["_r"] == own["_r"])).select("file_id", F.lit(ONE).alias("strategy"), "segment_id", "parent_id"))
+    # the others, and behind them the negatives, take what is left, or all pieces over again where nothing is
+    rest = cut(spread(pool.join(first.select("segment_id").distinct(), "segment_id", "left_anti").select("segment_id", "parent_id"), seed + 4, "segment_id").drop("_n"))
+    size = rest.count()
+    if not size:
+        rest = cut(spread(pool, seed + 4, "segment_id").drop("_n"))
+        size = rest.count()
+    some = rows.where("_i is null").select("file_id")
+    n_any, n = some.count(), rows.count()
+    if not size:
+        return first, first.select("segment_id", "parent_id").limit(0)
+    others = spread(some, seed + 5, "file_id").select("file_id", (F.col("_r") % size).alias("_r"))
+    others = others.join(rest, "_r").select("file_id", F.lit(ANY).alias("strategy"), "segment_id", "parent_id")
+    places = spark.range(int(n * per_clean)).select(((F.col("id") + n_any) % size).alias("_r"))
+    return first.unionByName(cut(others)), cut(places.join(rest, "_r").select("segment_id", "parent_id"))
 
 
 def training_set(clean: DataFrame, noise: DataFrame, seed: int, snr: tuple[float, float] = (-5.0, 15.0), share: float = 0.3, per_clean: float = 1.0, val: float = 0.2) -> DataFrame:
     """Rows of waveform, label, file_id, split and, for positives, strategy and snr_db; noise_parent for all.
 
-    ``clean`` has file_id and wave, ``noise`` has segment_id, parent_id and wave, all of one length. Signals are joined to the
-    keys at the end. The split is a cut of a seeded order at (1 - val) of the rows.
+    ``clean`` has file_id and wave, ``noise`` has segment_id, parent_id and wave, all of one length. The split is a cut of a seeded
+    order at (1 - val) of the different rows; a negative whose piece is used again stays on one side.
     """
     pos, neg = assigned(clean, noise, seed, share, per_clean)
-    pos = pos.join(clean.select("file_id", F.col("wave").alias("_c")), "file_id").join(noise.select("segment_id", F.col("wave").alias("_z")), "segment_id")
+    none = lambda kind: F.lit(None).cast(kind)
     db = F.lit(snr[0]) + draw(seed + 6, "file_id") * (snr[1] - snr[0])
-    pos = pos.withColumn("snr_db", db).select(
-        waves.mixed(F.col("_c"), F.col("_z"), F.col("snr_db")).alias("waveform"),
-        F.lit(1).alias("label"),
-        F.format_string("%s_noise%d_%s_snr%.1f", F.col("file_id").cast("string"), F.col("parent_id").cast("long"), F.col("segment_id").cast("string"), F.col("snr_db")).alias("file_id"),
-        "strategy",
-        "snr_db",
-        F.col("parent_id").alias("noise_parent"),
-    )
-    neg = neg.join(noise.select("segment_id", F.col("wave").alias("waveform")), "segment_id").select(
-        "waveform", F.lit(0).alias("label"), F.format_string("neg_%d_%s", F.col("parent_id").cast("long"), F.col("segment_id").cast("string")).alias("file_id"), F.lit(None).cast("string").alias("strategy"), F.lit(None).cast("double").alias("snr_db"), F.col("parent_id").alias("noise_parent")
-    )
-    rows = pos.unionByName(neg)
-    order = spread(rows.select("label", "file_id").distinct(), seed + 7, "file_id", "label")
+    named = F.format_string("%s_noise%d_%s_snr%.1f", F.col("_clean").cast("string"), F.col("parent_id").cast("long"), F.col("segment_id").cast("string"), F.col("snr_db"))
+    pos = pos.select(F.col("file_id").alias("_clean"), "strategy", "segment_id", "parent_id", db.alias("snr_db")).withColumns({"label": F.lit(1), "file_id": named})
+    other = F.format_string("neg_%d_%s", F.col("parent_id").cast("long"), F.col("segment_id").cast("string"))
+    neg = neg.withColumns({"label": F.lit(0), "file_id": other, "strategy": none("string"), "snr_db": none("double")})
+    order = spread(pos.select("label", "file_id").unionByName(neg.select("label", "file_id")).distinct(), seed + 7, "file_id", "label")
     split = F.when(F.col("_r") < F.floor(F.col("_n") * (1 - val)), "train").otherwise("val")
-    return rows.join(order.withColumn("split", split).select("label", "file_id", "split"), ["label", "file_id"])
+    splits = cut(order.select("label", "file_id", split.alias("split")))
+    heard = noise.select("segment_id", F.col("wave").alias("_z"))
+    columns = ["label", "file_id", "split", "strategy", "snr_db", F.col("parent_id").alias("noise_parent")]
+    pos = pos.join(splits, ["label", "file_id"]).join(clean.select(F.col("file_id").alias("_clean"), F.col("wave").alias("_c")), "_clean").join(heard, "segment_id")
+    neg = neg.join(splits, ["label", "file_id"]).join(heard, "segment_id")
+    return pos.select(waves.mixed(F.col("_c"), F.col("_z"), F.col("snr_db")).alias("waveform"), *columns).unionByName(neg.select(F.col("_z").alias("waveform"), *columns))
 
 
 def set_stats(samples: DataFrame) -> DataFrame:

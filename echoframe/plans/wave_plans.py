@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -214,6 +215,49 @@ SELECT id, (SELECT round(sqrt(avg(v * v)), 6) FROM fc WHERE fc.id = w.id AND fc.
  (SELECT round(sqrt(avg(v * v)), 6) FROM rs WHERE rs.id = w.id) AS resampled FROM waves w"""
 
 
+#: Signals of a recording that is filtered in pieces.
+LONG = 8
+
+
+def wave_filter_pieces(spark, sf):
+    """Level of each piece of recordings of eight signals, filtered over the pieces: states go on from one to the next."""
+    from ..operators import filtering
+
+    at = F.col("id")
+    pieces = waves(spark, sf).select(F.floor(at / LONG).cast("long").alias("rec"), (at % LONG).alias("k"), "x")
+    # recordings that lack a signal close up
+    order = F.row_number().over(Window.partitionBy("rec").orderBy("k")) - 1
+    pieces = pieces.select("rec", order.cast("long").alias("k"), "x")
+    level = lambda df, name: df.select("rec", "k", F.round(W.rms(X()), 6).alias(name))
+    return level(filtering.filtered(pieces, ["rec"], "x", band()), "causal").join(level(filtering.zero_phase(pieces, ["rec"], "x", band()), "zero_phase"), ["rec", "k"])
+
+
+def filter_pieces_sql() -> str:
+    sos = band()
+    ext = 3 * (2 * len(sos) + 1)
+    return f"""WITH RECURSIVE {WAVES}, p AS (SELECT id // {LONG} AS id, row_number() OVER (PARTITION BY id // {LONG} ORDER BY id) - 1 AS k, x FROM waves),
+s AS (SELECT id, k * {N} + generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM p), z AS (SELECT id, max(i) AS top FROM s GROUP BY id),
+ends AS (SELECT s.id, -s.i AS i, 2 * a.v - s.v AS v FROM s JOIN s a ON a.id = s.id AND a.i = 0 WHERE s.i BETWEEN 1 AND {ext}
+ UNION ALL SELECT s.id, 2 * top - s.i, 2 * b.v - s.v FROM s JOIN z ON z.id = s.id JOIN s b ON b.id = s.id AND b.i = top WHERE s.i BETWEEN top - {ext} AND top - 1),
+ex AS (SELECT id, i + {ext} AS i, v FROM (SELECT id, i, v FROM s UNION ALL SELECT id, i, v FROM ends)),
+{recursion('fc', 's', sos)}, {recursion('fe', 'ex', sos)}, rv AS (SELECT fe.id, top + {2 * ext} - i AS i, v FROM fe JOIN z USING (id) WHERE i >= 0), {recursion('fb', 'rv', sos)},
+c AS (SELECT id, i // {N} AS k, round(sqrt(avg(v * v)), 6) AS causal FROM fc WHERE i >= 0 GROUP BY ALL),
+b AS (SELECT id, (top + {ext} - i) // {N} AS k, round(sqrt(avg(v * v)), 6) AS zero_phase FROM fb JOIN z USING (id) WHERE i BETWEEN {ext} AND top + {ext} GROUP BY ALL)
+SELECT id AS rec, k, causal, zero_phase FROM c JOIN b USING (id, k)"""
+
+
+def network_training(spark, sf):
+    """History of two epochs of the network on the signals and whether their label is odd, a fifth held back."""
+    from ..operators import training
+    from ..operators.model import Shape
+
+    w = waves(spark, sf).select("id", (F.col("label") % 2).alias("y"), "x")
+    held = F.col("id") % 5 == 0
+    shape = Shape(4, ((8, 2, 1),), 0, 2, N)
+    done = training.fit(w.where(~held), w.where(held), "x", "y", "id", shape, training.Settings(batch=1024, group=128, epochs=2, rate=0.01))
+    return spark.createDataFrame(done.history, "epoch int, train_loss double, train_acc double, val_loss double, val_acc double, rate double")
+
+
 def wave_augment(spark, sf):
     """Level of each signal after seeded augmentation, and where the clicks of a train stand (null where it didn't fit)."""
     from ..operators import augment as A
@@ -348,16 +392,25 @@ def sample_stats(spark, sf):
     return out.select("n", *[F.round(c, 6).alias(c) for c in ("min", "max", "mean", "std", "median")])
 
 
-def _training(spark, sf):
+def _training(spark, sf, noisy="id % 3 <> 0"):
     w = waves(spark, sf)
     clean = w.where("id % 3 = 0").select(F.col("id").alias("file_id"), F.col("x").alias("wave"))
-    noise = w.where("id % 3 <> 0").select(F.col("id").alias("segment_id"), (F.col("label") % 4).alias("parent_id"), F.col("x").alias("wave"))
+    noise = w.where(noisy).select(F.col("id").alias("segment_id"), (F.col("label") % 4).alias("parent_id"), F.col("x").alias("wave"))
     return T.training_set(clean, noise, 21, share=0.3, per_clean=0.8)
 
 
-def training_set(spark, sf):
+#: Far fewer pieces of noise than clips: those that want one source take them all.
+SHORT = "id % 50 = 1"
+
+
+def training_set(spark, sf, noisy="id % 3 <> 0"):
     """Clips mixed with noise that is used once, noise alone as negatives, and the split; the level of each."""
-    return _training(spark, sf).select("file_id", "label", "split", "strategy", F.col("noise_parent").cast("long").alias("noise_parent"), F.round("snr_db", 6).alias("snr_db"), r6(W.rms(F.col("waveform")), "rms"))
+    return _training(spark, sf, noisy).select("file_id", "label", "split", "strategy", F.col("noise_parent").cast("long").alias("noise_parent"), F.round("snr_db", 6).alias("snr_db"), r6(W.rms(F.col("waveform")), "rms"))
+
+
+def training_set_short(spark, sf):
+    """The same with less noise than clips: every clip has its positive, by pieces that are used again."""
+    return training_set(spark, sf, SHORT)
 
 
 def training_stats(spark, sf):
@@ -376,7 +429,8 @@ ro AS (SELECT file_id, CASE WHEN {_part(21, 'file_id')} < 0.3 AND np > 1 THEN id
 fr AS (SELECT file_id, parent_id, row_number() OVER (PARTITION BY parent_id ORDER BY {_md5(23, 'file_id')}, file_id) - 1 AS r FROM ro WHERE parent_id IS NOT NULL),
 ow AS (SELECT *, row_number() OVER (PARTITION BY parent_id ORDER BY {_md5(24, 'segment_id')}, segment_id) - 1 AS r, count(*) OVER (PARTITION BY parent_id) AS n FROM no),
 f1 AS (SELECT file_id, 'one_parent' AS strategy, ow.segment_id, ow.parent_id FROM fr JOIN ow ON ow.parent_id = fr.parent_id AND ow.r = fr.r % ow.n),
-le AS (SELECT segment_id, parent_id, row_number() OVER (ORDER BY {_md5(25, 'segment_id')}, segment_id) - 1 AS r, count(*) OVER () AS n FROM no WHERE segment_id NOT IN (SELECT segment_id FROM f1)),
+lf AS (SELECT segment_id, parent_id FROM no WHERE segment_id NOT IN (SELECT segment_id FROM f1)),
+le AS (SELECT segment_id, parent_id, row_number() OVER (ORDER BY {_md5(25, 'segment_id')}, segment_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT * FROM lf UNION ALL SELECT segment_id, parent_id FROM no WHERE NOT EXISTS (SELECT 1 FROM lf))),
 an AS (SELECT file_id, row_number() OVER (ORDER BY {_md5(26, 'file_id')}, file_id) - 1 AS r FROM ro WHERE parent_id IS NULL),
 f2 AS (SELECT file_id, 'any_parent' AS strategy, le.segment_id, le.parent_id FROM an JOIN le ON le.r = an.r % le.n),
 ne AS (SELECT le.segment_id, le.parent_id FROM (SELECT unnest(range(0, (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM cl))) + (SELECT count(*) FROM an) AS r) w JOIN le ON le.r = w.r % le.n),
@@ -396,6 +450,7 @@ PLANS = {
     "level_summary": (level_summary, LEVEL_SQL),
     "sample_stats": (sample_stats, f"WITH {SAMPLES} SELECT count(*) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(median(v), 6) AS median FROM samples"),
     "training_set": (training_set, f"WITH {TRAINING} SELECT file_id, label, split, strategy, CAST(parent_id AS BIGINT) AS noise_parent, round(snr, 6) AS snr_db, round(rms, 6) AS rms FROM ts"),
+    "training_set_short": (training_set_short, f"WITH {TRAINING.replace('id % 3 <> 0', SHORT)} SELECT file_id, label, split, strategy, CAST(parent_id AS BIGINT) AS noise_parent, round(snr, 6) AS snr_db, round(rms, 6) AS rms FROM ts"),
     "training_stats": (training_stats, f"WITH {TRAINING} SELECT split, label, strategy, count(*) AS n, count(DISTINCT parent_id) AS n_parents, round(avg(snr), 6) AS mean_snr_db FROM ts GROUP BY ALL"),
     "training_checks": (training_checks, f"""WITH {TRAINING}, o AS (SELECT count(*) FILTER (split = 'train') AS tr, count(*) FILTER (split = 'val') AS va, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM ts)
  SELECT 'splits' AS "check", tr >= 1 AND va >= 1 AS ok, printf('train=%d val=%d', tr, va) AS detail FROM o UNION ALL SELECT 'labels', p > 0 AND n > 0, printf('pos=%d neg=%d', p, n) FROM o UNION ALL
@@ -403,6 +458,8 @@ PLANS = {
  SELECT 'leakage', count(*) = 0, printf('leaks=%d', count(*)) FROM (SELECT file_id FROM ts GROUP BY file_id HAVING count(DISTINCT split) > 1)"""),
     "wave_transient": (wave_transient, TRANSIENT_SQL),
     "wave_filter": (wave_filter, filter_sql()),
+    "wave_filter_pieces": (wave_filter_pieces, filter_pieces_sql()),
+    "network_training": (network_training, None),
     "wave_augment": (wave_augment, augment_sql()),
     "wave_model_scores": (wave_model_scores, model_sql()),
     "wave_flux": (wave_flux, FLUX_SQL),

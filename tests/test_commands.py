@@ -86,8 +86,13 @@ def test_training_sets(spark):
     n = {r.split: r.n for r in made.groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert n == {"train": 48, "val": 12} and {r.check: r.ok for r in checks.readiness(made, 32).collect()} == dict.fromkeys(["splits", "labels", "balance", "length", "values", "leakage"], True)
     assert not all(r.ok for r in checks.readiness(made.where("label = 1"), 31).collect())
-    few = samples.training_set(clean, noise.limit(10), 5)
-    assert few.count() == 60  # noise is used again
+    for n in (1, 2, 3, 10):  # noise is used again, whoever takes it first
+        for share in (0.0, 0.5, 1.0):
+            pos, neg = samples.assigned(clean, noise.orderBy("segment_id").limit(n), 5, share)
+            assert sorted(r.file_id for r in pos.collect()) == sorted(f"c{i}" for i in range(30)) and neg.count() == 30, (n, share)
+    few = samples.training_set(clean, noise.limit(2), 5)
+    assert few.count() == 60 and few.where("label = 1").select("file_id").distinct().count() == 30
+    assert samples.training_set(clean, noise.limit(0), 5).count() == 0 and samples.assigned(clean, noise, 5, per_clean=2.5)[1].count() == 75
     assert samples.training_set(clean.limit(0), noise, 5).count() == 0
     assert samples.some(made, 1, {"train": 5, "val": 2}).count() == 7
     assert sum(r.n for r in samples.set_stats(made).collect()) == 60
@@ -192,6 +197,11 @@ def test_commands_from_clips_to_a_model(spark, tmp_path):
     run("train", out / "set", out / "w.npz", "--seed", 3)
     run("eval", out / "set", out / "eval", "--weights", out / "w.npz", "--split", "val")
     assert rows_of(out / "eval" / "report")[0]["accuracy"] >= 0.8
+    run("train", out / "set", out / "deep.npz", "--epochs", 1, "--batch", 32, "--checkpoints", out / "states")
+    run("train", out / "set", out / "deep.npz", "--epochs", 2, "--batch", 32, "--checkpoints", out / "states", "--resume")
+    assert spark.read.option("header", True).csv(str(out / "deep_history")).count() == 2
+    run("eval", out / "set", out / "deep", "--weights", out / "deep.npz", "--split", "val")
+    assert rows_of(out / "deep" / "report")[0]["tp"] + rows_of(out / "deep" / "report")[0]["fn"] > 0
     for i in range(4):
         (tmp_path / "wav" / "positive" / f"p{i}.wav").write_bytes(audio.encode(click()[: 3000 + 300 * i], rate))
         (tmp_path / "wav" / "negative" / f"n{i}.wav").write_bytes(audio.encode(rng.normal(0, 0.05, n + 5), rate))
