@@ -108,22 +108,22 @@ def signals(x: pa.Array) -> Iterator[np.ndarray]:
         yield v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid else np.empty(0)
 
 
-def preprocessed_chunks(found: DataFrame, chunk_s: float = 60.0, overlap_s: float = 0.5, rate: int | None = None, cutoff: float | None = None, order: int = 4, mono: str = "mean", which: int = 0, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
+def preprocessed_chunks(found: DataFrame, chunk_s: float = 60.0, overlap_s: float = 0.5, rate: int | None = None, cutoff: float | None = None, order: int = 4, mono: str = "mean", which: int = 0, array_rate: int = ranges.ARRAY_RATE, split_bytes: int = ranges.SPLIT_BYTES) -> DataFrame:
     """The chunks of :func:`audio.chunks` with ``rate`` or ``cutoff``, each made from its own bytes.
 
     A chunk reads its samples and, to resample, the taps around them; the high-pass starts from the states before it. Samples
     are read twice where there is a cutoff, and don't move."""
     grid = ranges.Grid(chunk_s, overlap_s)
-    heads = cut(ranges.headers(found))
+    heads = cut(ranges.headers(found, array_rate))
     rows = ranges.pieces(heads, grid, rate)
-    total = heads.where("error is null").agg(F.sum(F.col("frames") * F.col("channels") * F.regexp_extract("dtype", r"(\d+)$", 1).cast("int"))).first()[0] or 0
+    total = heads.where("error is null").agg(F.sum(F.col("frames") * F.col("channels") * F.col("width"))).first()[0] or 0
     tasks = max(1, -(-int(total) // split_bytes))
     dealt = lambda df: df.repartition(tasks, "source_file", "k")  # noqa: E731  rows are small, what they stand for is not
     rates = [r[0] for r in rows.select("rate").distinct().collect()] if cutoff is not None else []
     sections = {r: kernels.butterworth(order, cutoff, r, "highpass") for r in rates if cutoff < r / 2}
 
     def source(r: dict, f: ranges.Bytes, lo: int, hi: int) -> np.ndarray:
-        at = ranges.of_header(r)
+        at = ranges.layout(f, array_rate)
         if r["rate"] == at.rate:
             return ranges.samples(f, at, lo, hi, mono, which)
         return kernels.resampled_part(lambda a, b: ranges.samples(f, at, a, b, mono, which), at.rate, r["rate"], lo, hi)

@@ -5,8 +5,8 @@ than ``split_bytes`` it reads the header and deals their chunks to tasks of abou
 together and their headers are left to the tasks. Filters on ``source_file``, ``chunk_id``, ``start_sample``, ``start_s`` and
 ``end_s`` are pushed: files and chunks that they rule out are never opened or read. A task holds one chunk.
 
-WAV (whole numbers of 8 to 32 bits, floats, the extensible form, RF64 beyond 4 GB) and NPY arrays are read; a file that is
-neither, or is broken, gives one row with ``error``. Files are opened through Arrow's file systems (local, HDFS, S3, GCS); where
+WAV (whole numbers of 8 to 32 bits, floats, the extensible form, RF64 beyond 4 GB), NPY arrays and MATLAB files are read; a file
+that is none of these, or is broken, gives one row with ``error``. Files are opened through Arrow's file systems (local, HDFS, S3, GCS); where
 only Spark can read a store, ``audio.chunks`` still takes whole files.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 from .. import schemas
+from . import mat
 from .audio import ARRAY_RATE
 
 SCHEMA = schemas.CHUNKS + ", start_s double, end_s double, error string"
@@ -49,6 +50,8 @@ class Layout:
     zero: float = 0.0
     full: float = 1.0
     planar: bool = False
+    #: Where samples are no run of the file's bytes: the array that reads them.
+    array: mat.Array | None = None
 
     @property
     def width(self) -> int:
@@ -100,8 +103,12 @@ def layout(f: Bytes, array_rate: int = ARRAY_RATE) -> Layout:
     head = f.read(0, HEAD)
     if head[:6] == b"\x93NUMPY":
         return _array(f, head, array_rate)
+    if mat.is_mat(head):
+        a, rate = mat.signal(f)
+        planar = a.fast >= a.slow  # the longer side is time
+        return Layout(rate, min(a.fast, a.slow), max(a.fast, a.slow), 0, a.dtype, planar=planar, array=a)
     if head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
-        raise ValueError("neither WAV nor NPY")
+        raise ValueError("neither WAV, NPY nor MATLAB data")
     at, kind, long = 12, None, None
     while at + 8 <= f.size:
         piece = head[at : at + 48] if at + 48 <= len(head) else f.read(at, 48)
@@ -147,21 +154,25 @@ def samples(f: Bytes, at: Layout, lo: int, hi: int, mono: str = "mean", which: i
     a, b = max(0, lo), min(hi, at.frames)
     if b <= a:
         return np.zeros(max(0, hi - lo))
-    one, w = min(which, at.channels - 1), at.width
+    one = min(which, at.channels - 1)
     if at.planar:
         wanted = [one] if mono == "channel" else range(at.channels)
-        x = np.stack([_values(f.read(at.start + (c * at.frames + a) * w, (b - a) * w), at) for c in wanted], axis=1)
+        x = np.stack([_values(f, at, c * at.frames + a, c * at.frames + b) for c in wanted], axis=1)
     else:
-        x = _values(f.read(at.start + a * at.channels * w, (b - a) * at.channels * w), at).reshape(-1, at.channels)
+        x = _values(f, at, a * at.channels, b * at.channels).reshape(-1, at.channels)
         x = x[:, one : one + 1] if mono == "channel" else x
     x = x[:, 0] if x.shape[1] == 1 else x.mean(axis=1)
     return np.pad(x, (a - lo, hi - b)) if a > lo or b < hi else x
 
 
-def _values(raw: bytes, at: Layout) -> np.ndarray:
+def _values(f: Bytes, at: Layout, a: int, b: int) -> np.ndarray:
+    """Values [a, b) in the file's order."""
+    if at.array is not None:
+        return at.array.values(f, a, b).astype(np.float64)
+    raw = f.read(at.start + a * at.width, (b - a) * at.width)
     if at.dtype == "<i3":
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        v = (b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8
+        x = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        v = (x[:, 0] << 8 | x[:, 1] << 16 | x[:, 2] << 24) >> 8
     else:
         v = np.frombuffer(raw, at.dtype)
     return (v.astype(np.float64) - at.zero) / at.full
@@ -343,34 +354,30 @@ def chunks(spark: SparkSession, roots: list[str], pattern: str = "*.wav", **opti
     return scan(spark, roots, pattern, **options).where("error is null").select(*[x.split()[0] for x in schemas.CHUNKS.split(", ")])
 
 
-HEADERS = "source_file string, sample_rate int, channels int, frames long, start long, dtype string, zero double, full double, planar boolean, error string"
+HEADERS = "source_file string, sample_rate int, channels int, frames long, width int, error string"
 
 
 def headers(found: DataFrame, array_rate: int = ARRAY_RATE) -> DataFrame:
-    """One row per file of ``found`` (path) with its layout or its error; only headers are read, in tasks."""
+    """One row per file of ``found`` (path) with its rate, channels, frames and bytes a value, or its error; only headers are
+    read, in tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in HEADERS.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.bool_(), pa.string()]
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string()]
         for b in batches:
             rows = []
             for path in b.column("path").to_pylist():
                 try:
                     with Bytes(path) as f:
                         at = layout(f, array_rate)
-                    rows.append((path, at.rate, at.channels, at.frames, at.start, at.dtype, at.zero, at.full, at.planar, None))
+                    rows.append((path, at.rate, at.channels, at.frames, at.width, None))
                 except (OSError, ValueError, struct.error) as e:
-                    rows.append((path, *[None] * 8, f"{type(e).__name__}: {e}"))
+                    rows.append((path, *[None] * 4, f"{type(e).__name__}: {e}"))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
     return found.select("path").mapInArrow(run, HEADERS)
 
 
-def of_header(r: dict) -> Layout:
-    """The layout of a row of :func:`headers`."""
-    return Layout(r["sample_rate"], r["channels"], r["frames"], r["start"], r["dtype"], r["zero"], r["full"], r["planar"])
-
-
 def pieces(heads: DataFrame, grid: Grid, rate: int | None = None) -> DataFrame:
     """One row for each chunk of each recording, with its bounds [lo, hi) at ``rate`` (its own without), ``step`` and layout."""
     out = F.col("sample_rate") if rate is None else F.lit(rate)
