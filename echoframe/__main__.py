@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import waves
 from .operators import checks, datasets, detect, evaluate, export, model, samples, training, trains
 from .params import Detection, Fusion, Trains, load_yaml, with_settings
-from .sources import audio, labels, sinks, tables
+from .sources import audio, labels, ranges, sinks, tables
 
 COMMANDS = {
     "scan": "headers of recordings, as CSV",
@@ -20,6 +20,8 @@ COMMANDS = {
     "export": "recordings to accepted events, trains, reports and clips",
     "segment-noise": "recordings to windows of noise",
     "preprocess": "recordings and array files, resampled and filtered, to WAV files",
+    "mat-to-wav": "a channel (--channel) of MATLAB files to WAV files at their own rates",
+    "look": "a training set to WAV files of a few rows of each split (--n)",
     "collect-clicks": "clips of many folders, by name, to one table",
     "prepare-data": "files of labelled folders to their parts of the data set, as CSV",
     "build-dataset": "clips and a noise manifest (--noise) to a training set",
@@ -52,6 +54,8 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--split", default="train")
         s.add_argument("--val", type=float, default=0.2)
         s.add_argument("--epochs", type=int, default=0, help="of train: 0 fits the head alone")
+        s.add_argument("--channel", type=int, default=10)
+        s.add_argument("--n", type=int, default=20)
         s.add_argument("--batch", type=int, default=128)
         s.add_argument("--checkpoints", help="folder of the training's state")
         s.add_argument("--resume", action="store_true")
@@ -120,7 +124,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     if a.command == "scan":
         sinks.write_csv(audio.recordings(audio.files(spark, [a.input])).orderBy("filepath"), a.output)
     elif a.command == "detect":
-        cut = audio.chunks(audio.files(spark, [a.input]), detection.chunk_s, detection.overlap_s)
+        cut = ranges.chunks(spark, [a.input], chunk_s=detection.chunk_s, overlap_s=detection.overlap_s)
         detect.events(detect.candidates(cut, detection)).write.mode("overwrite").parquet(a.output)
     elif a.command in ("trains", "fuse"):
         clicks = trains.build_trains(spark.read.parquet(a.input), "peak_time", part, order, train)
@@ -131,11 +135,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif a.command == "export":
         found = audio.files(spark, [a.input])
         result = export.run(found, detection, fusion, train, model.load(a.weights) if a.weights else None, rate=a.rate)
-        export.write(result, audio.chunks(found, detection.chunk_s, detection.overlap_s), a.output, a.rate)
+        export.write(result, ranges.chunks(spark, [a.input], chunk_s=detection.chunk_s, overlap_s=detection.overlap_s), a.output, a.rate)
     elif a.command == "segment-noise":
-        audio.noise_segments(audio.chunks(audio.files(spark, [a.input])), a.seconds).write.mode("overwrite").parquet(a.output)
+        audio.noise_segments(ranges.chunks(spark, [a.input]), a.seconds).write.mode("overwrite").parquet(a.output)
     elif a.command == "preprocess":
-        sinks.write_clips(audio.preprocessed_rows(audio.files(spark, [a.input], "*.{wav,npy}"), a.rate), a.output, a.rate)
+        sinks.write_clips(audio.preprocessed_rows(audio.files(spark, [a.input], "*.{wav,npy,mat}"), a.rate, which=a.channel), a.output, a.rate)
+    elif a.command == "mat-to-wav":
+        found = audio.clips(audio.files(spark, [a.input], "*.mat"), mono="channel", which=a.channel)
+        sinks.write_clips(found.select(F.concat("file_id", F.lit(".wav")).alias("name"), F.col("sample_rate").alias("rate"), "samples"), a.output)
+    elif a.command == "look":
+        rows = tables.read_samples(spark, a.input)
+        splits = [r[0] for r in rows.select("split").distinct().collect()]
+        chosen = samples.some(rows, a.seed, dict.fromkeys(splits, a.n))
+        name = F.concat_ws("_", "split", F.when(F.col("label") == 1, "pos").otherwise("neg"), F.regexp_replace("file_id", "[^A-Za-z0-9._-]", "-"))
+        sinks.write_clips(chosen.select(F.concat(name, F.lit(".wav")).alias("name"), "waveform"), a.output, a.rate, "waveform")
     elif a.command == "collect-clicks":
         named = datasets.collected_names(audio.files(spark, [a.input]).select("path"), "path")
         sinks.write_csv(named, a.output)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..params import Detection, Fusion, Trains
 from ..sources import audio, labels, sinks
+from ..stages import cut
 from . import detect, model, trains, windows
 
 PART, ORDER = ["source_file"], ["peak_time", "peak_idx"]
@@ -32,9 +33,10 @@ def scored(found: DataFrame, weights: model.Weights | None, shape: model.Shape)
 
 
 def accepted(found: DataFrame, fusion: Fusion = Fusion(), train: Trains = Trains()) -> Result:
-    """Decisions over scored candidates, and the trains of those that are accepted."""
+    """Decisions over scored candidates, and the trains of those that are accepted. The decided candidates are computed once:
+    everything that an export writes is read from them."""
     built = trains.build_trains(found, "peak_time", PART, ORDER, train)
-    decided = trains.fused(built, "peak_time", "score", PART, fusion)
+    decided = cut(trains.fused(built, "peak_time", "score", PART, fusion))
     kept = decided.where("accept").drop("train_id", "ici")
     stats = trains.train_stats(trains.build_trains(kept, "peak_time", PART, ORDER, train), "peak_time", "score", PART)
     return Result(decided, kept, stats, trains.fusion_summary(decided, "score", PART, fusion))
@@ -46,13 +48,13 @@ def run(found_files: DataFrame, detection: Detection = Detection(), fusion: Fusi
     return accepted(scored(detect.candidates(audio.chunks(found_files, p.chunk_s, p.overlap_s), p), weights, shape), fusion, train)
 
 
-def train_audio(result: Result, cut: DataFrame, margin_s: float = 0.05) -> DataFrame:
+def train_audio(result: Result, heard: DataFrame, margin_s: float = 0.05) -> DataFrame:
     """The signal of each train with a margin to both sides, peak at 1: file_id, train_id, samples."""
     spans = result.trains.select(F.regexp_extract("source_file", audio.STEM, 1).alias("stem"), (F.col("start_time") - margin_s).alias("start"), (F.col("end_time") + margin_s).alias("end"), F.col("train_id").cast("string").alias("label"))
-    return labels.labelled_segments(cut, spans, 1.0).select("file_id", F.col("label").cast("int").alias("train_id"), "samples")
+    return labels.labelled_segments(heard, spans, 1.0).select("file_id", F.col("label").cast("int").alias("train_id"), "samples")
 
 
-def write(result: Result, cut: DataFrame, folder: str, rate: int, with_audio: bool = True) -> None:
+def write(result: Result, heard: DataFrame, folder: str, rate: int, with_audio: bool = True) -> None:
     """events, trains and reports under ``folder``, and WAV files of clicks (2 ms before to 10 ms behind the peak) and trains."""
     events = detect.events(result.accepted)
     sinks.write_csv(events, f"{folder}/events", "file_id")
@@ -63,5 +65,5 @@ def write(result: Result, cut: DataFrame, folder: str, rate: int, with_audio: bo
         clip = windows.around(int(2 * rate / 1000), int(10 * rate / 1000))
         clicks = result.accepted.select(F.concat_ws("_", "file_id", sinks.clip_name(order, F.col("peak_time"))).alias("name"), clip.alias("samples"))
         sinks.write_clips(clicks, f"{folder}/audio", rate)
-        whole = train_audio(result, cut).withColumn("name", F.format_string("%s_train_%04d.wav", "file_id", "train_id"))
+        whole = train_audio(result, heard).withColumn("name", F.format_string("%s_train_%04d.wav", "file_id", "train_id"))
         sinks.write_clips(whole, f"{folder}/audio", rate)

@@ -246,6 +246,26 @@ b AS (SELECT id, (top + {ext} - i) // {N} AS k, round(sqrt(avg(v * v)), 6) AS ze
 SELECT id AS rec, k, causal, zero_phase FROM c JOIN b USING (id, k)"""
 
 
+def recording_ranges(spark, sf):
+    """Recordings of eight signals each, written as WAV files and read back by byte range: the level of the overlapping chunks
+    that a filter on time leaves."""
+    from ..sources import clips, ranges
+    from ..stages import folder
+
+    one = waves(spark, sf).groupBy(F.floor(F.col("id") / LONG).cast("long").alias("rec")).agg(F.sort_array(F.collect_list(F.struct("id", "x"))).alias("s"))
+    at = folder(spark, "recordings")
+    clips.write(one.select(F.format_string("r%d.wav", "rec").alias("name"), F.lit(RATE).alias("rate"), F.flatten("s.x").alias("samples")), at)
+    found = ranges.scan(spark, [at], chunk_s=N / RATE, overlap_s=N / 4 / RATE).where(f"start_s >= {2 * N / RATE} and end_s < {7 * N / RATE} and error is null")
+    level = F.round(F.sqrt(W.energy(F.col("samples").cast("array<double>")) / F.size("samples")), 4)
+    return found.select(F.expr("substr(file_id, 2)").cast("long").alias("rec"), "chunk_id", "start_sample", F.size("samples").alias("n"), level.alias("rms"))
+
+
+RANGES_SQL = f"""WITH {WAVES}, r AS (SELECT id // {LONG} AS rec, flatten(list(x ORDER BY id)) AS x FROM waves GROUP BY id // {LONG}),
+q AS (SELECT rec, [CAST(CAST(round(greatest(-1, least(1, v)) * 32767) / 32768 AS FLOAT) AS DOUBLE) FOR v IN x] AS x, len(x) AS total FROM r),
+c AS (SELECT rec, total, k, k * {N * 3 // 4} AS lo, least(k * {N * 3 // 4} + {N}, total) AS hi, x FROM q, (SELECT unnest(range(0, {LONG * 2})) AS k) WHERE k = 0 OR (k - 1) * {N * 3 // 4} + {N} < total)
+SELECT rec, CAST(k AS INTEGER) AS chunk_id, CAST(lo AS BIGINT) AS start_sample, CAST(hi - lo AS INTEGER) AS n, round(sqrt(list_sum([v * v FOR v IN x[lo + 1:hi]]) / (hi - lo)), 4) AS rms FROM c WHERE lo >= {2 * N} AND hi < {7 * N}"""
+
+
 def network_training(spark, sf):
     """History of two epochs of the network on the signals and whether their label is odd, a fifth held back."""
     from ..operators import training
@@ -459,6 +479,7 @@ PLANS = {
     "wave_transient": (wave_transient, TRANSIENT_SQL),
     "wave_filter": (wave_filter, filter_sql()),
     "wave_filter_pieces": (wave_filter_pieces, filter_pieces_sql()),
+    "recording_ranges": (recording_ranges, RANGES_SQL),
     "network_training": (network_training, None),
     "wave_augment": (wave_augment, augment_sql()),
     "wave_model_scores": (wave_model_scores, model_sql()),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import kernels
+from . import mat
 
 NAME = r"([^/]+)$"
 STEM = r"([^/]+?)(?:\.[^./]*)?$"
@@ -98,10 +99,16 @@ def float_wav(data: bytes) -> tuple[np.ndarray, int] | None:
 
 
 def decode(data: bytes, array_rate: int = ARRAY_RATE) -> tuple[np.ndarray, int]:
-    """Samples in [-1, 1] (one column per channel if several) and the rate of WAV data, whole numbers or floating-point; NPY
-    data has ``array_rate``."""
+    """Samples in [-1, 1] (one column per channel if several) and the rate of WAV data, whole numbers or floating-point, or of
+    a MATLAB file's signal; NPY data has ``array_rate``."""
     if data[:6] == b"\x93NUMPY":
         return np.load(io.BytesIO(data), allow_pickle=False).astype(np.float64), array_rate
+    if mat.is_mat(data[:8]):
+        f = Memory(data)
+        x, rate = mat.signal(f)
+        m = x.values(f, 0, x.slow * x.fast).astype(np.float64).reshape(x.slow, x.fast)
+        m = m.T if x.fast >= x.slow else m  # the longer side is time
+        return (m if m.shape[1] > 1 else m[:, 0]), rate
     if found := float_wav(data):
         return (found[0] if found[0].shape[1] > 1 else found[0][:, 0]), found[1]
     with wave.open(io.BytesIO(data)) as w:
@@ -116,6 +123,16 @@ def decode(data: bytes, array_rate: int = ARRAY_RATE) -> tuple[np.ndarray, int]:
     return (x.reshape(-1, n) if n > 1 else x), rate
 
 
+class Memory:
+    """Data that is read by ranges."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def read(self, at: int, n: int) -> bytes:
+        return self.data[at : at + max(0, n)]
+
+
 def encode(x: np.ndarray, rate: int) -> bytes:
     """16-bit mono WAV."""
     out = io.BytesIO()

@@ -1,15 +1,10 @@
-"""Writers. Tables go through Spark's own writers; clips are written by the tasks that hold them."""
+"""Writers. Tables go through Spark's own writers; clips are written by the tasks that hold them and put in place at the end."""
 
 from __future__ import annotations
 
-import os
-
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .audio import encode
-
 
 def write_csv(df: DataFrame, path: str, by: str | None = None) -> None:
     """CSV with a header; nested columns as JSON, arrays of click indices left out."""
@@ -43,16 +38,11 @@ def clip_name(ordinal, seconds):
     return F.format_string("click_%04d_%08dms.wav", ordinal, (seconds * 1000).cast("int"))
 
 
-def write_clips(df: DataFrame, folder: str, rate: int, samples: str = "samples", name: str = "name") -> None:
-    """One WAV file per row in a folder that all tasks can reach."""
-
-    def put(rows) -> None:
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            with open(os.path.join(folder, r[name]), "wb") as f:
-                f.write(encode(np.asarray(r[samples], float), rate))
+def write_clips(df: DataFrame, folder: str, rate: int | None = None, samples: str = "samples", name: str = "name") -> None:
+    """One WAV file per row, by a sink that holds whole clips only; without ``rate`` each row has its own."""
+    from . import clips
 
-    df.select(name, samples).foreachPartition(put)
+    clips.write(df.select(F.col(name).alias("name"), (F.lit(rate) if rate else F.col("rate")).alias("rate"), F.col(samples).alias("samples")), folder)
 
 
 def summary_text(row: dict) -> str:
