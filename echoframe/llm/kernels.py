@@ -8,6 +8,7 @@ no guard against somebody who looks for two equal ones; where that would give a
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SLICE_BYTES = 3 << 20
+_LIBC = ctypes.CDLL(None)
 
 #: Bytes between words: space and 0x09-0x0D.
 SEPARATOR = np.zeros(256, bool)
@@ -39,6 +41,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def tidy() -> None:
+    """Gives memory that is free back to the system: workers live from job to job, and what one needed for a moment would stay
+    with it beside what the next one needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row ranges of ``batch`` of about ``limit`` bytes of text each; every row is in exactly one."""
     if not batch.num_rows:
@@ -49,6 +59,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    tidy()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
