@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once per row."""
+    """``body(value)`` with ``value`` evaluated once per row, also where rows are made of the result: an explode pushes a filter
+    on its array's size below the projection that computes ``value``, which else is computed again for every sample. Spark
+    doesn't take it as the argument of a Python function, so functions that are such arguments leave it to their caller."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -70,8 +72,8 @@ def normalized_mad(x: Column) -> Column:
 
 def tkeo(x: Column) -> Column:
     """x[n]^2 - x[n-1] x[n+1] for the inner samples; empty below three samples."""
-    inner = F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0)))
-    return F.transform(inner, lambda v, i: v * v - F.get(x, i) * F.get(x, i + 2))
+    inner = lambda x: F.slice(x, 2, F.greatest(F.size(x) - 2, F.lit(0)))
+    return let(x, lambda x: F.transform(inner(x), lambda v, i: v * v - F.get(x, i) * F.get(x, i + 2)))
 
 
 def zero_crossings(x: Column) -> Column:
@@ -124,10 +126,9 @@ def clipped(x: Column, at: float = 0.99) -> Column:
 
 def padded(x: Column, n: int, mode: str = "constant") -> Column:
     """Centred to ``n`` samples; longer signals keep their head. Modes: constant (zeros), edge, reflect."""
-    left = F.floor((F.lit(n) - F.size(x)) / 2).cast("int")
 
-    def at(i: Column) -> Column:
-        j = i - left
+    def at(x: Column, i: Column) -> Column:
+        j = i - F.floor((F.lit(n) - F.size(x)) / 2).cast("int")
         if mode == "constant":
             return F.when((j >= 0) & (j < F.size(x)), F.get(x, j)).otherwise(0.0)
         if mode == "edge":
@@ -136,7 +137,8 @@ def padded(x: Column, n: int, mode: str = "constant") -> Column:
         k = F.pmod(j, period)
         return F.get(x, F.least(k, period - k))
 
-    return F.when(F.size(x) >= n, F.slice(x, 1, n)).when(F.size(x) == 0, F.array_repeat(F.lit(0.0), n)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
+    whole = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: at(x, i))
+    return F.when(F.size(x) >= n, F.slice(x, 1, n)).when(F.size(x) == 0, F.array_repeat(F.lit(0.0), n)).otherwise(whole)
 
 
 def mirrored_window(x: Column, center: Column, half: int) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.waves import let
+from ..stages import cut
 from .matching import ratio
 
 
@@ -54,8 +56,13 @@ def in_ranges(df: DataFrame, value: str, out: str, n: int = 256, part: list[str]
     part = part or []
     shares = [k / n for k in range(1, n)]
     bounds = df.groupBy(*part).agg(F.percentile_approx(value, shares, 10 * n).alias("_bounds"))
-    # how many bounds lie below the value: the place at which it would stand among them
-    place = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    # how many bounds lie below the value, found by halving: the place at which it would stand among them
+    place = F.lit(0)
+    step = 1 << max(0, (n - 1).bit_length() - 1)
+    while step:
+        place = let(place, lambda p, step=step: F.when(F.get("_bounds", p + step - 1) < F.col(value), p + step).otherwise(p))
+        step //= 2
+    place = F.when(F.col("_bounds").isNotNull(), place)
     both = with_nulls(df, bounds, part) if part else df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
     return both.withColumn(out, place).select(*df.columns, out)
 
@@ -74,6 +81,7 @@ def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float
     only there are values ordered.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*part, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    counts = cut(counts)  # bounds, totals and ranks are read from it
     counts = in_ranges(counts, "_v", "_range", part=part)
     totals = counts.groupBy(*part, "_range").agg(F.sum("_c").alias("_m"))
     w = Window.partitionBy(*part)
@@ -94,28 +102,28 @@ def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float
     return rows.select(*part, *[x.alias(n) for n, x in between.items()])
 
 
-def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, points: DataFrame | None = None) -> DataFrame:
     """Area under the ROC curve by pairs: the share of positive-negative pairs in order, ties as half; null for one class.
 
     Each distinct score adds its negatives times (positives above + half its own positives): the trapezoid rule, without
     ordering the curve again.
     """
-    c = curve(df, label, score)
+    c = curve(df, label, score) if points is None else points
     own = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(label)).alias("_p"), (F.count("*") - F.sum(F.col(label))).alias("_q"))
     pairs = c.join(own, "threshold").agg(F.sum(F.col("_q") * (F.col("tp") - F.col("_p") / 2)).alias("a"), F.max("n_pos").alias("p"), F.max("n_neg").alias("n"))
     return pairs.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("a") / (F.col("p") * F.col("n"))).alias("roc_auc"))
 
 
-def pr_points(df: DataFrame, label: str, score: str) -> DataFrame:
+def pr_points(df: DataFrame, label: str, score: str, points: DataFrame | None = None) -> DataFrame:
     """threshold, precision, recall and f1 at every distinct score."""
-    c = curve(df, label, score).select("threshold", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("n_pos")).alias("recall"), "_part")
+    c = (curve(df, label, score) if points is None else points).select("threshold", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("n_pos")).alias("recall"), "_part")
     p, r = F.col("precision"), F.col("recall")
     return c.withColumn("f1", ratio(2 * p * r, p + r))
 
 
-def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
+def pr_auc(df: DataFrame, label: str, score: str, points: DataFrame | None = None) -> DataFrame:
     """Area under precision over recall by trapezoids, from the point (0, 1) on."""
-    pts = pr_points(df, label, score).withColumn("point", F.struct("recall", "precision"))
+    pts = pr_points(df, label, score, points).withColumn("point", F.struct("recall", "precision"))
     # trapezoids within each range of scores, whose first begins at the last point of the range above: one row a range
     ends = pts.groupBy("_part").agg(F.min_by("point", "threshold").alias("end"))
     start = F.struct(F.lit(0.0).alias("recall"), F.lit(1.0).alias("precision"))
@@ -126,9 +134,9 @@ def pr_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     return pts.agg(F.sum(step).alias("pr_auc"))
 
 
-def best_threshold(df: DataFrame, label: str, score: str) -> DataFrame:
+def best_threshold(df: DataFrame, label: str, score: str, points: DataFrame | None = None) -> DataFrame:
     """The threshold with the largest f1, the highest of equals."""
-    return pr_points(df, label, score).agg(F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct("f1", "threshold")).alias("b")).select("b.*")
+    return pr_points(df, label, score, points).agg(F.max_by(F.struct("threshold", "precision", "recall", "f1"), F.struct("f1", "threshold")).alias("b")).select("b.*")
 
 
 def class_report(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -120,26 +120,44 @@ def suppressed(df: DataFrame, t: str, score: str, part: list[str], order: list[s
     """
     names = df.columns
 
-    def stays(x: pa.Table) -> pa.Table:
-        at, score = (v.astype(float) if v.dtype == object else v for v in (x.column("_t").to_numpy(), x.column("_s").to_numpy()))  # decimals
-        out, kept = np.zeros(len(at), bool), np.zeros(len(at), bool)
-        lo, hi = np.searchsorted(at, at - width, "right"), np.searchsorted(at, at + width, "left")
-        for i in np.argsort(-score, kind="stable").tolist():
-            if not out[i]:
-                kept[i] = True
-                out[lo[i] : max(hi[i], i + 1)] = True
-        return x.select(names).filter(pa.array(kept))
+    def stays(x: pa.Table | pa.RecordBatch) -> pa.Table | pa.RecordBatch:
+        """Of whole islands, the rows that stay."""
+        at = [float(v) for v in x.column("_t").to_pylist()]
+        score = [-float(v) if v is not None and v == v else float("inf") for v in x.column("_s").to_pylist()]
+        begins = [i for i, new in enumerate(x.column("_first").to_pylist()) if new or i == 0]
+        kept = [True] * len(at)
+        for a, z in zip(begins, [*begins[1:], len(at)]):
+            if z - a == 1:
+                continue
+            out = [False] * (z - a)
+            for i in sorted(range(a, z), key=score.__getitem__):
+                if out[i - a]:
+                    kept[i] = False
+                    continue
+                j = i - 1
+                while j >= a and at[j] > at[i] - width:
+                    out[j - a] = True
+                    j -= 1
+                j = i + 1
+                while j < z and at[j] < at[i] + width:
+                    out[j - a] = True
+                    j += 1
+        return x.select(names).filter(pa.array(kept, pa.bool_()))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # of the island that is open
         for b in batches:
-            cuts = np.flatnonzero(b.column("_first").to_numpy(zero_copy_only=False)).tolist()
-            for a, z in zip([0, *cuts], [*cuts, b.num_rows]):
-                if a in cuts and held:
-                    yield from stays(pa.Table.from_batches(held)).to_batches()
-                    held = []
-                if z > a:
-                    held.append(b.slice(a, z - a))
+            begins = np.flatnonzero(b.column("_first").to_numpy(zero_copy_only=False))
+            if not len(begins):
+                held.append(b)
+                continue
+            a, z = int(begins[0]), int(begins[-1])
+            before = [*held, b.slice(0, a)]
+            if any(x.num_rows for x in before):
+                yield from stays(pa.Table.from_batches(before)).to_batches()
+            if z > a:
+                yield stays(b.slice(a, z - a))
+            held = [b.slice(z)]
         if held:
             yield from stays(pa.Table.from_batches(held)).to_batches()
 

@@ -66,11 +66,11 @@ def wave_tkeo(spark, sf):
 
 
 def wave_pre_emphasis(spark, sf):
-    return _long(waves(spark, sf).select("id", W.pre_emphasis(X()).alias("y")), "y")
+    return _long(waves(spark, sf).select("id", W.let(X(), lambda x: W.pre_emphasis(x)).alias("y")), "y")
 
 
 def wave_pad_reflect(spark, sf):
-    return _long(waves(spark, sf).select("id", W.padded(X(), 100, "reflect").alias("y")), "y")
+    return _long(waves(spark, sf).select("id", W.let(X(), lambda x: W.padded(x, 100, "reflect")).alias("y")), "y")
 
 
 def wave_pad_edges(spark, sf):
