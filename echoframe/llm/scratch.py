@@ -33,8 +33,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+#: Every folder that was opened by this driver, in order; names, not data.
+_OPENED: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _OPENED.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _OPENED[-1]
+
+
+class Intermediates:
+    """Folders that were opened since this was made, whoever opened them: for a caller who has written what was computed from
+    them and reads none of them again."""
+
+    def __init__(self) -> None:
+        self.start = len(_OPENED)
+        self.paths: list[str] = []
+
+    def end(self) -> Intermediates:
+        self.paths = _OPENED[self.start :]
+        return self
+
+    def remove(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            removed(spark, path)
 
 
 def removed(spark: SparkSession, path: str) -> None:
