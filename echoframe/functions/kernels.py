@@ -293,6 +293,13 @@ def channel(x: np.ndarray, which: int) -> np.ndarray:
     return x[:, min(which, x.shape[1] - 1)]
 
 
+def records(b: pa.RecordBatch, samples: str = "samples"):
+    """Rows of an Arrow batch as dictionaries, their signals as arrays of the column's own buffer."""
+    names = [n for n in b.schema.names if n != samples]
+    for v, row in zip(b.column(samples), zip(*(b.column(n).to_pylist() for n in names))):
+        yield dict(zip(names, row)) | {samples: v.values.to_numpy(zero_copy_only=False).astype(np.float64) if v.is_valid else np.empty(0)}
+
+
 def same_length(x: pa.Array):
     """Rows of an Arrow column of arrays and their signals as a matrix, for each length but 0."""
     sizes = np.asarray(pc.fill_null(pc.list_value_length(x), 0))

@@ -31,8 +31,8 @@ def frame_table(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                f = kernels.frame_features(np.asarray(r["samples"], float), r["sample_rate"], p.window_ms, p.step_ms, p.high_hz)
+            for r in kernels.records(b):
+                f = kernels.frame_features(r["samples"], r["sample_rate"], p.window_ms, p.step_ms, p.high_hz)
                 n = len(f["ste"])
                 step = max(1, int(r["sample_rate"] * p.step_ms / 1000))
                 columns = [pa.array([r["source_file"]] * n), pa.array([r["chunk_id"]] * n, pa.int32()), pa.array(np.arange(n, dtype=np.int32)), *(pa.array(f[k]) for k in kernels.FEATURES)]
@@ -59,8 +59,8 @@ def peaks(chunks: DataFrame, p: Detection = Detection()) -> DataFrame:
         names = [x.split()[0] for x in PEAKS.split(", ")]
         kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), *[pa.float64()] * len(_NUMBERS), pa.list_(pa.float32()), pa.int32()]
         for b in batches:
-            for r in b.to_pylist():
-                x, rate = np.asarray(r["samples"], np.float64), r["sample_rate"]
+            for r in kernels.records(b):
+                x, rate = r["samples"], r["sample_rate"]
                 f = kernels.frame_features(x, rate, p.window_ms, p.step_ms, p.high_hz)
                 z = {k: kernels.robust_z(f[k]) for k in ("tkeo", "ste", "hfc")}
                 t = z["tkeo"]

@@ -248,8 +248,8 @@ def noise_segments(cut: DataFrame, seconds: float, overlap: float = 0.0, level:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                x, n = np.asarray(r["samples"], np.float64), int(seconds * r["sample_rate"])
+            for r in kernels.records(b):
+                x, n = r["samples"], int(seconds * r["sample_rate"])
                 step = max(1, int(n * (1 - overlap)))
                 starts = list(range(0, len(x) - n + 1, step))
                 rest = len(x) - (starts[-1] + n if starts else 0)
