@@ -62,3 +62,12 @@ def test_op1_equals_its_sql(spark):
     got = queries.op1_quality_rules(spark, SF).toPandas().sort_values("doc_id").reset_index(drop=True)
     for n in want.columns:
         assert ((got[n] - want[n]).abs() < 1e-8).all() if n == "host_rate" else (got[n] == want[n]).all(), n
+
+
+def test_nothing_but_the_last_stage_s_input_is_left(spark):
+    from echoframe.llm import scratch
+
+    start = len(scratch._OPENED)
+    out = corpus_pipeline.run(spark, SF)
+    left = [p for p in scratch._OPENED[start:] if spark._jvm.org.apache.hadoop.fs.Path(p).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(spark._jvm.org.apache.hadoop.fs.Path(p))]
+    assert len(left) == 1 and "pipeline-secret-scans" in left[0] and out.count() > 0
