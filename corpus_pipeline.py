@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echoframe.llm import bpe, decontaminate, minhash, quality_rules, secret_scan
-from echoframe.llm.scratch import Tables
+from echoframe.llm.scratch import Intermediates, Tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token ids of the documents that are left, by all stages in order; each stage's table goes when the next is written.
+    """Token ids of the documents that are left, by all stages in order; each stage's table, and what it wrote on its way, go when the
+    next is written.
 
     Defined cases: null and empty texts fail the quality rules; rows with one id are one document; very long texts are taken
     whole; equal texts leave the one with the least id; an empty table gives an empty result; further columns of the
@@ -58,7 +59,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Tables(spark, "pipeline") as tables:
         for name, stage in STAGES[:-1]:
-            done = tables.put(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made = Intermediates()
+            kept = stage(spark, docs, sf_dir)
+            made.end()
+            done = tables.put(kept, name.replace(" ", "-"))
+            made.remove(spark)
             tables.drop(docs)
             docs = done
         tables.keep(docs)
