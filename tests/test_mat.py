@@ -212,3 +212,17 @@ def test_matlab_files_as_recordings(spark, folder):
     found = audio.files(spark, [str(folder)], "{chunks,packed}.mat")
     got = filtering.preprocessed_chunks(found, 0.01, 0.002, rate=16000, cutoff=1000.0, mono="channel", which=2)
     assert {r.sample_rate for r in got.collect()} == {16000} and got.count() > 4
+
+
+def test_matlab_to_wav_and_clips_to_look_at(spark, folder, tmp_path):
+    from echoframe import __main__ as cli
+
+    cli.main(["mat-to-wav", str(folder), str(tmp_path / "wav"), "--channel", "1"], spark)
+    for name, (_, rate, x) in made().items():
+        got, r = audio.decode((tmp_path / "wav" / f"{name[:-4]}.wav").read_bytes())
+        assert r == rate and np.allclose(got, np.clip(x[:, min(1, x.shape[1] - 1)], -1, 1), atol=1e-4)
+    rows = [(f"a/b {i}", i % 2, "train" if i < 8 else "val", [0.1 * i, -0.5]) for i in range(12)]
+    spark.createDataFrame(rows, "file_id string, label int, split string, waveform array<double>").write.partitionBy("split").parquet(str(tmp_path / "set"))
+    cli.main(["look", str(tmp_path / "set"), str(tmp_path / "look"), "--n", "3", "--seed", "4"], spark)
+    names = sorted(p.name for p in (tmp_path / "look").iterdir())
+    assert len(names) == 6 and sum(n.startswith("train_") for n in names) == 3 and all("_a-b-" in n and n.endswith(".wav") for n in names)
