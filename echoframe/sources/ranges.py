@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, IsNull, LessThan, LessThanOrEqual, StringContains, StringEndsWith, StringStartsWith
 
 from .. import schemas
-from . import mat
+from . import audio, mat
 from .audio import ARRAY_RATE
 
 SCHEMA = schemas.CHUNKS + ", start_s double, end_s double, error string"
@@ -350,7 +350,15 @@ def scan(spark: SparkSession, roots: list[str], pattern: str = "*.wav", **option
 
 
 def chunks(spark: SparkSession, roots: list[str], pattern: str = "*.wav", **options) -> DataFrame:
-    """The chunks of :func:`audio.chunks`, by byte range; files that can't be read give none."""
+    """The chunks of :func:`audio.chunks`, by byte range; files that can't be read give none. From stores that only Spark can open
+    whole files are taken."""
+    try:
+        for r in roots:
+            system, name = located(r)
+            system.get_file_info(name)
+    except (ValueError, NotImplementedError, OSError):
+        some = {k: v for k, v in options.items() if k in ("chunk_s", "overlap_s", "mono", "which", "array_rate")}
+        return audio.chunks(audio.files(spark, roots, pattern), **some)
     return scan(spark, roots, pattern, **options).where("error is null").select(*[x.split()[0] for x in schemas.CHUNKS.split(", ")])
 
 

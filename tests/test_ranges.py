@@ -95,6 +95,17 @@ def test_chunks_equal_those_of_whole_files(spark, folder, mono, which, chunk_s,
         assert got[k][:3] == v[:3] and np.array_equal(got[k][3], v[3]), k
 
 
+def test_stores_that_only_spark_opens_are_read_whole(spark, folder, monkeypatch):
+    want = by_chunk(ranges.chunks(spark, [folder], "f*.wav", chunk_s=0.5, overlap_s=0.1))
+
+    def unknown(path):
+        raise ValueError("unrecognised scheme")
+
+    monkeypatch.setattr(ranges, "located", unknown)
+    got = by_chunk(ranges.chunks(spark, [folder], "f*.wav", chunk_s=0.5, overlap_s=0.1, split_bytes=1000))
+    assert set(got) == set(want) and all(np.array_equal(got[k][3], v[3]) for k, v in want.items()) and want
+
+
 def test_a_file_beyond_four_gigabytes_is_told_by_its_long_header(folder):
     with ranges.Bytes(f"{folder}/huge.wav") as f:
         at = ranges.layout(f)
