@@ -121,9 +121,8 @@ def roc_curve(spark, sf):
 
 
 def label_counts(spark, sf):
-    g = table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"))
-    total = table(spark, sf, "documents").count()
-    return g.select("lang", "n", F.round(100.0 * F.col("n") / total, 6).alias("percent"))
+    g = L.category_report(table(spark, sf, "documents").select(F.col("lang").alias("category")))
+    return g.select(F.col("category").alias("lang"), "n", F.round("percent", 6).alias("percent"))
 
 
 def file_amp_stats(spark, sf):

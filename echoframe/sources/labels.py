@@ -46,8 +46,8 @@ def read_label_json(spark: SparkSession, path: str) -> DataFrame:
 
 def category_report(labels: DataFrame) -> DataFrame:
     """Count and share of each category."""
-    total = labels.count()
-    return labels.groupBy("category").agg(F.count("*").alias("n")).withColumn("percent", 100.0 * F.col("n") / max(1, total))
+    counts = labels.groupBy("category").agg(F.count("*").alias("n"))
+    return counts.withColumn("percent", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()))  # a row for each category
 
 
 #: Of a folder's files with one stem, labels go to the first of these endings; other endings come behind.
