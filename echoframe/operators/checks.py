@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import waves
+from ..stages import cut
 from .metrics import quantiles
 
 
@@ -19,13 +20,14 @@ def level_columns(samples: str) -> dict[str, Column]:
 def level_summary(df: DataFrame, samples: str) -> DataFrame:
     """Mean, median, min, max and deviation of RMS, peak and median absolute deviation over all signals: a row for each."""
     levels = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), v.alias("v")) for n, v in level_columns(samples).items()])).alias("l")).select("l.*")
+    levels = cut(levels)  # sums and quantiles are read from it
     g = levels.groupBy("measure").agg(F.avg("v").alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"), F.stddev_pop("v").alias("std"))
     return g.join(quantiles(levels, "v", ["measure"], {"median": 0.5}), "measure").select("measure", "mean", "median", "min", "max", "std")
 
 
 def sample_stats(df: DataFrame, samples: str) -> DataFrame:
     """Number, min, max, mean, deviation and median of all samples of all signals, from sums of each signal; the median from
-    counts of values."""
+    the values close to it."""
     x = F.col(samples)
     parts = df.select(F.size(x).alias("n"), F.array_min(x).alias("lo"), F.array_max(x).alias("hi"), waves.total(x).alias("s"), waves.energy(x).alias("q"))
     mean = F.sum("s") / F.sum("n")

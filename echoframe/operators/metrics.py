@@ -11,6 +11,11 @@ from ..functions.waves import let
 from ..stages import cut
 from .matching import ratio
 
+#: A rank by a sketch is off by the part's rows over this at most.
+SKETCH = 10000
+#: Up to so many parts, their bounds are sent to all tasks.
+PARTS = 10000
+
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     """One row: tn, fp, fn, tp, accuracy, precision, recall, f1; ratios are 0 where undefined."""
@@ -50,12 +55,11 @@ def curve(df: DataFrame, label: str, score: str) -> DataFrame:
     )
 
 
-def in_ranges(df: DataFrame, value: str, out: str, n: int = 256, part: list[str] | None = None) -> DataFrame:
-    """Adds the number of the range, of about ``n`` of like size (in each ``part``), that a value lies in. The bounds are
-    approximate, and only deal rows to tasks: equal values are always in one range."""
-    part = part or []
+def in_ranges(df: DataFrame, value: str, out: str, n: int = 256) -> DataFrame:
+    """Adds the number of the range, of about ``n`` of like size, that a value lies in. The bounds are approximate, and only
+    deal rows to tasks: equal values are always in one range."""
     shares = [k / n for k in range(1, n)]
-    bounds = df.groupBy(*part).agg(F.percentile_approx(value, shares, 10 * n).alias("_bounds"))
+    bounds = df.agg(F.percentile_approx(value, shares, 10 * n).alias("_bounds"))
     # how many bounds lie below the value, found by halving: the place at which it would stand among them
     place = F.lit(0)
     step = 1 << max(0, (n - 1).bit_length() - 1)
@@ -63,33 +67,40 @@ def in_ranges(df: DataFrame, value: str, out: str, n: int = 256, part: list[str]
         place = let(place, lambda p, step=step: F.when(F.get("_bounds", p + step - 1) < F.col(value), p + step).otherwise(p))
         step //= 2
     place = F.when(F.col("_bounds").isNotNull(), place)
-    both = with_nulls(df, bounds, part) if part else df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
+    both = df.withColumn("_k", F.lit(1)).join(F.broadcast(bounds.withColumn("_k", F.lit(1))), "_k")
     return both.withColumn(out, place).select(*df.columns, out)
 
 
-def with_nulls(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """An inner join on equal keys, where null is a key like any other."""
+def with_nulls(df: DataFrame, other: DataFrame, keys: list[str], everywhere: bool = False) -> DataFrame:
+    """An inner join on equal keys, where null is a key like any other; ``everywhere`` sends ``other`` to all tasks."""
     named = other.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], *[c for c in other.columns if c not in keys])
     same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)])
-    return df.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
+    return df.join(F.broadcast(named) if everywhere else named, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float]) -> DataFrame:
     """Exact quantiles, interpolated between neighbours, of each part: one row with a column for each of ``probs``.
 
-    Rows collapse to distinct values with counts; values are dealt by ranges, whose totals say in which of them a rank lies;
-    only there are values ordered.
+    A sketch says which values lie a little below and above each rank. How many rows lie between and at these bounds, which is
+    counted, says in which range the rank is, whatever the sketch's error; only rows of those ranges move, collapse to
+    distinct values and are ordered. ``df`` is read three times, so a plan that costs more than a scan should be cut before.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*part, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    counts = cut(counts)  # bounds, totals and ranks are read from it
-    counts = in_ranges(counts, "_v", "_range", part=part)
-    totals = counts.groupBy(*part, "_range").agg(F.sum("_c").alias("_m"))
+    rows = df.where(F.col(value).isNotNull()).select(*part, F.col(value).alias("_v"))
+    shares = sorted({min(1.0, max(0.0, p + d / SKETCH)) for p in probs.values() for d in (-2, 2)})
+    bounds = cut(rows.groupBy(*part).agg(F.percentile_approx("_v", shares, SKETCH).alias("_bounds")))
+    few = bounds.count() <= PARTS
+    # a bound is a range of its own, as many rows may have its value
+    at_bounds = [F.get("_bounds", F.lit(i)) for i in range(len(shares))]
+    place = reduce(lambda a, b: a + b, [(b < F.col("_v")).cast("int") + (b <= F.col("_v")).cast("int") for b in at_bounds])
+    rows = with_nulls(rows, bounds, part, few).select(*part, "_v", place.alias("_range"))
+    totals = rows.groupBy(*part, "_range").agg(F.count("*").alias("_m"))
     w = Window.partitionBy(*part)
     totals = totals.withColumns({"_before": F.coalesce(F.sum("_m").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_all": F.sum("_m").over(w)})
     at = {name: (F.col("_all") - 1) * p for name, p in probs.items()}
     ranks = [f(x) for x in at.values() for f in (F.floor, F.ceil)]
     here = F.exists(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_m")))
-    near = with_nulls(counts, totals.where(here).select(*part, "_range", "_before", "_all"), [*part, "_range"])
+    near = with_nulls(rows, totals.where(here).select(*part, "_range", "_before", "_all"), [*part, "_range"], few)
+    near = near.groupBy(*part, "_range", "_before", "_all", "_v").agg(F.count("*").alias("_c"))
     upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(*part, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("_upto", upto)
 
@@ -97,9 +108,9 @@ def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float
         return F.max(F.when((rank >= F.col("_upto") - F.col("_c")) & (rank < F.col("_upto")), F.col("_v")))
 
     picked = [value_at(f(x)).alias(f"_{n}_{i}") for n, x in at.items() for i, f in enumerate((F.floor, F.ceil))]
-    rows = near.groupBy(*part).agg(F.max("_all").alias("_all"), *picked)
+    found = near.groupBy(*part).agg(F.max("_all").alias("_all"), *picked)
     between = {n: F.col(f"_{n}_0") + (F.col(f"_{n}_1") - F.col(f"_{n}_0")) * (x - F.floor(x)) for n, x in at.items()}
-    return rows.select(*part, *[x.alias(n) for n, x in between.items()])
+    return found.select(*part, *[x.alias(n) for n, x in between.items()])
 
 
 def roc_auc(df: DataFrame, label: str, score: str, points: DataFrame | None = None) -> DataFrame:

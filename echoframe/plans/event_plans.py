@@ -11,6 +11,7 @@ from ..operators import series as R
 from ..operators import trains as T
 from ..operators.detect import fits, passes
 from ..params import Detection, Fusion, Trains
+from ..stages import cut
 from .base import CLICKS, QUARTILES, clicks, table
 
 WEEK = 604800.0
@@ -352,7 +353,7 @@ FROM (SELECT doc_id, n_chars, unnest(range(0, n_chars // 550 + 2)) AS i FROM doc
 
 def train_report(spark, sf):
     """Exact summary of train durations and gaps: count, mean, deviation, quartiles."""
-    s = T.train_stats(trained(spark, sf), "t", "conf", ["src"])
+    s = cut(T.train_stats(trained(spark, sf), "t", "conf", ["src"]).select("duration"))  # sums and quantiles are read from it
     g = s.agg(F.count("*").alias("n"), F.round(F.avg("duration"), 5).alias("mean"), F.round(F.stddev_samp("duration"), 5).alias("std"), F.round(F.max("duration"), 5).alias("max"))
     q = metrics.quantiles(s.withColumn("_k", F.lit(1)), "duration", ["_k"], QUARTILES)
     return g.withColumn("_k", F.lit(1)).join(q, "_k").drop("_k").withColumns({n: F.round(n, 5) for n in QUARTILES})
