@@ -11,8 +11,8 @@ from ..functions.waves import let
 from ..stages import cut
 from .matching import ratio
 
-#: A rank by a sketch is off by the part's rows over this at most.
-SKETCH = 10000
+#: Size of a sketch (390 KB at most, however many are merged), and the share of a part's rows by which a rank by it may be off.
+SKETCH, OFF = 16384, 4e-4
 #: Up to so many parts, their bounds are sent to all tasks.
 PARTS = 10000
 
@@ -86,8 +86,11 @@ def quantiles(df: DataFrame, value: str, part: list[str], probs: dict[str, float
     distinct values and are ordered. ``df`` is read three times, so a plan that costs more than a scan should be cut before.
     """
     rows = df.where(F.col(value).isNotNull()).select(*part, F.col(value).alias("_v"))
-    shares = sorted({min(1.0, max(0.0, p + d / SKETCH)) for p in probs.values() for d in (-2, 2)})
-    bounds = cut(rows.groupBy(*part).agg(F.percentile_approx("_v", shares, SKETCH).alias("_bounds")))
+    shares = sorted({min(1.0, max(0.0, p + d * OFF)) for p in probs.values() for d in (-2, 2)})
+    # percentile_approx keeps the values of all merged sketches, and copies them at each merge
+    sketch = rows.groupBy(*part).agg(F.kll_sketch_agg_double(F.col("_v").cast("double"), SKETCH).alias("_sketch"))
+    held = F.kll_sketch_get_n_double("_sketch") > 0  # it takes no NaN
+    bounds = cut(sketch.select(*part, F.when(held, F.kll_sketch_get_quantile_double("_sketch", F.array(*map(F.lit, shares)))).alias("_bounds")))
     few = bounds.count() <= PARTS
     # a bound is a range of its own, as many rows may have its value
     at_bounds = [F.get("_bounds", F.lit(i)) for i in range(len(shares))]
